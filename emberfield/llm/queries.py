@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, simhash, warc, wordpiece
+from . import bpe, lmscore, neighbours, packing, privacy, quality, simhash, substring, warc, wordpiece
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,10 +18,26 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(read(spark, sf_dir, "documents"))
+
+
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(read(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(read(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(read(spark, sf_dir, "documents")).drop("text")
+
+
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(read(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -40,9 +56,40 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(read(spark, sf_dir, "documents"), vocabulary_path())
 
 
-def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_bpe, op6_simhash, op7_warc, op8_packing, op9_token_counts)}
+def op10_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.personal_data(read(spark, sf_dir, "documents"))
+
 
+def queries() -> dict[str, Query]:
+    found = (
+        op1_quality, op2_neighbours, op3_bpe, op4_substring, op5_lm_score, op6_simhash, op7_warc, op8_packing,
+        op9_token_counts, op10_privacy,
+    )
+    return {f.__name__: f for f in found}
+
+
+OP4_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents
+), s AS (
+  SELECT doc_id, CAST(unnest(range(1, len(words) - 18)) AS BIGINT) AS i, words FROM w WHERE len(words) >= 20
+), k AS (
+  SELECT doc_id, i, md5(array_to_string(words[i:i + 19], ' ')) AS win FROM s
+), r AS (
+  SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS n FROM k) WHERE n > 1
+), c AS (
+  SELECT doc_id, list(DISTINCT j) AS gone FROM (SELECT doc_id, unnest(range(i, i + 20)) AS j FROM r) GROUP BY doc_id
+), o AS (
+  SELECT w.doc_id, len(words) AS n,
+    CASE WHEN gone IS NULL THEN words
+      ELSE list_transform(list_filter(range(1, len(words) + 1), lambda p: NOT list_contains(gone, p)), lambda p: words[p]) END AS kept
+  FROM w LEFT JOIN c USING (doc_id)
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(kept) AS BIGINT) AS n_removed,
+  sha256(array_to_string(kept, ' ')) AS kept_sha256
+FROM o
+"""
 
 OP7_SQL = """
 WITH p AS (
@@ -60,4 +107,4 @@ FROM h
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": OP7_SQL}
+    return {"op4_substring": OP4_SQL, "op7_warc": OP7_SQL}
