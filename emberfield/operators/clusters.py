@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import RADIUS, haversine
-from ..sources.files import shared_folder
+from ..sources.files import written
 from .clean import keep_first
 from .spatial import bucket_join
 
@@ -27,20 +25,14 @@ def event_edges(events: DataFrame, km: float = 25.0, hours: float = 168.0) -> Da
     return met.filter(near).select(F.col("id").alias("id_a"), F.col("right_id").alias("id_b"), "km")
 
 
-def _written(df: DataFrame) -> DataFrame:
-    path = shared_folder(df.sparkSession, f"labels-{uuid.uuid4().hex[:8]}")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, component): smallest id reachable.  Labels are passed on and then jumped; each round is written out.
 
     Stops when no label changes; raises if that takes more than ``rounds`` rounds.
     """
     both = edges.select("id_a", "id_b").unionAll(edges.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
-    both = _written(both)
-    labels = _written(nodes.select("id", F.col("id").alias("component")))
+    both = written(both, "edges")
+    labels = written(nodes.select("id", F.col("id").alias("component")), "labels")
     for _ in range(rounds):
         named = labels.select(F.col("id").alias("id_b"), F.col("component").alias("other"))
         least = both.join(named, "id_b").groupBy(F.col("id_a").alias("id")).agg(F.min("other").alias("least"))
@@ -48,7 +40,7 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFram
         # A label is itself a node: take that node's label too.
         jump = passed.select(F.col("id").alias("next"), F.col("next").alias("jumped"))
         after = passed.join(jump, "next", "left").select("id", F.least("next", "jumped").alias("new"), "component")
-        after = _written(after)
+        after = written(after, "labels")
         changed = after.filter("new <> component").limit(1).count()
         labels = after.select("id", F.col("new").alias("component"))
         if not changed:

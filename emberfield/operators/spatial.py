@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import RADIUS, degrees_of, haversine
+from ..sources.files import written
 
 
 def _cells(lat: Column, lon: Column, size: float, dlat: Column | float, dlon: Column | float) -> Column:
@@ -71,15 +72,17 @@ def nearest_distance(
     all points of the category are taken and the minimum is combined before the shuffle.  Points are
     reduced to distinct places first.  Null where a category has no points.
     """
-    wanted = places.select("id", "latitude", "longitude")
+    wanted = written(places.select("id", "latitude", "longitude"), "places")
     spots = points.filter("latitude is not null and longitude is not null").select("category", "latitude", "longitude").distinct()
+    spots = written(spots, "spots")
     open_ = wanted.select("*", F.explode(F.array(*map(F.lit, categories))).alias("category"))
     found = []
     for km in rings:
+        # Each ring is written out: the next one starts from what it left open.
         met = bucket_join(open_, spots, km).filter("category = right_category")
-        near = met.groupBy("id", "category").agg(F.min("km").alias("km"))
+        near = written(met.groupBy("id", "category").agg(F.min("km").alias("km")), "ring")
         found.append(near)
-        open_ = open_.join(near.select("id", "category"), ["id", "category"], "left_anti")
+        open_ = written(open_.join(near.select("id", "category"), ["id", "category"], "left_anti"), "open")
     far = open_.join(spots.select("category", F.col("latitude").alias("y"), F.col("longitude").alias("x")), "category")
     far = far.withColumn("km", haversine(F.col("latitude"), F.col("longitude"), F.col("y"), F.col("x")))
     found.append(far.groupBy("id", "category").agg(F.min("km").alias("km")))

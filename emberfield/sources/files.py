@@ -19,6 +19,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table, written to a new shared folder and read back."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_detections(spark: SparkSession, paths: Sequence[str], schema: T.StructType = RAW_TEXT) -> DataFrame:
     """CSV files with a header, each read by its own column names, united and aligned."""
     parts = [standardize_columns(spark.read.option("header", True).csv(p)) for p in paths]
