@@ -111,6 +111,21 @@ def hashed(key: Column) -> Column:
     return F.md5(key.cast("string").cast("binary"))
 
 
+def hash_rank(df: DataFrame, group: str, key: Column, name: str = "hash_rank") -> DataFrame:
+    """Adds the rank of each row within its group by the hash of its key.
+
+    A group may hold most rows: ranks are taken within 4096 ranges of the hash, and the sizes of the
+    ranges before are added, so no task gets a whole group.
+    """
+    rows = df.withColumns({"_h": hashed(key), "_key": key.cast("string")}).withColumn("_range", F.substring("_h", 1, 3))
+    sizes = rows.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = sizes.select(group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    own = Window.partitionBy(group, "_range").orderBy("_h", "_key")
+    ranked = rows.withColumn("_own", F.row_number().over(own)).join(firsts.hint("shuffle_hash"), [group, "_range"])
+    return ranked.withColumn(name, F.col("_first") + F.col("_own")).drop("_h", "_key", "_range", "_first", "_own")
+
+
 def class_capped(labelled: DataFrame, cap: int) -> DataFrame:
     """At most ``cap`` rows per class in a fixed random order, without low-confidence unknowns."""
     usable = labelled.filter(~((F.col("fire_type") == "unknown") & (F.col("label_confidence") == "low")))
@@ -119,15 +134,10 @@ def class_capped(labelled: DataFrame, cap: int) -> DataFrame:
 
 
 def balanced(daily: DataFrame, ratio: int = 2) -> DataFrame:
-    """All positive cell-days and at most ``ratio`` times as many negative ones, in a fixed random order.
-
-    Only the order of one class matters; the limit is a broadcast of two counts.
-    """
-    key = F.concat_ws(":", "grid_id", "date")
+    """All positive cell-days and at most ``ratio`` times as many negative ones, in a fixed random order."""
     limit = daily.agg((F.sum("wildfire_next_24h") * ratio).alias("limit"))
-    negative = daily.filter("wildfire_next_24h = 0").withColumn("h", hashed(key)).withColumn("key", key)
-    ranked = negative.withColumn("n", F.row_number().over(Window.partitionBy("wildfire_next_24h").orderBy("h", "key")))
-    kept = ranked.crossJoin(F.broadcast(limit)).filter("n <= limit").drop("h", "key", "n", "limit")
+    ranked = hash_rank(daily.filter("wildfire_next_24h = 0"), "wildfire_next_24h", F.concat_ws(":", "grid_id", "date"), "n")
+    kept = ranked.crossJoin(F.broadcast(limit)).filter("n <= limit").select(*daily.columns)
     return daily.filter("wildfire_next_24h = 1").unionByName(kept)
 
 

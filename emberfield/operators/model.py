@@ -6,10 +6,10 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labels import hashed
+from .labels import hash_rank
 
 #: Feature groups of the ablation.
 GROUPS = {
@@ -53,10 +53,10 @@ def varying(df: DataFrame, features: tuple[str, ...]) -> DataFrame:
 
 def split_stratified(df: DataFrame, share: float = 0.2, key: str = "event_id", label: str = "fire_type") -> DataFrame:
     """Adds ``part``: the first ``share`` of each class in a fixed random order is the test part."""
-    order = Window.partitionBy(label).orderBy(hashed(F.col(key)), key)
-    n = F.count("*").over(Window.partitionBy(label))
-    test = F.row_number().over(order) <= F.floor(n * share + 0.5)
-    return df.withColumn("part", F.when(test, "test").otherwise("train"))
+    sizes = df.groupBy(label).agg(F.count("*").alias("_all"))
+    ranked = hash_rank(df, label, F.col(key)).join(sizes.hint("shuffle_hash"), label)
+    test = F.col("hash_rank") <= F.floor(F.col("_all") * share + 0.5)
+    return ranked.withColumn("part", F.when(test, "test").otherwise("train")).drop("hash_rank", "_all")
 
 
 def train(df: DataFrame, features: tuple[str, ...], trees: int = 20, depth: int = 6) -> PipelineModel:
