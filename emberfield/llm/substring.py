@@ -8,16 +8,18 @@ whose word sequence also starts earlier (smaller doc_id, or same document and ea
    (one count per anchor hash, combined before the shuffle).  Neighbouring windows that share an
    anchor form a segment.  Of documents with equal texts only the first is looked at; the others are
    repeats as a whole.
-2. Segments are dealt out by anchor and sorted; each partition cuts them into shards of bounded size.
-   A shard's segments become one text.  Its suffixes are sorted by their first ``window`` words, the
+2. Segments are dealt out by anchor and sorted.  Later copies of a whole segment are repeats; anchors
+   left with several different segments are gathered into shards of bounded size.  A shard's
+   segments become one text.  Its suffixes are sorted by their first ``window`` words, the
    Burrows-Wheeler transform goes into a wavelet matrix of packed bits, and the segments are streamed
    through backward search from their ends: every step extends the match by one word to the left,
    and a match that has reached the window length is first cut to ``window`` - 1 words (the interval
    widens to its group).  These matching statistics, capped at the window length, give for each
    window its suffix interval; the window is reported if the interval holds an earlier place.
 3. An anchor with more than ``hot`` places (a passage in a large share of all documents) would
-   overfill one shard.  Its windows are compared by window hash instead: the earliest place of each
-   hash is found by a grouped minimum, combined before the shuffle.
+   overfill one shard.  Its segments are compared by the hash of their content instead, and what is
+   left by the hash of single windows: the earliest place of each hash is found by a grouped minimum,
+   combined before the shuffle.
 4. Reported intervals are merged per document and their words removed.
 
 Word and window hashes have 64 bits; words within a shard are told apart by 32 of them, beside the
@@ -218,7 +220,11 @@ PLACES = "hot boolean, key long, doc_id long, start int, words binary"
 
 
 def _places(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """Segments of repeated anchors, and single windows of hot ones; docs has doc_id, text, cold and hot."""
+    """Segments of repeated anchors; docs has doc_id, text, cold and hot.
+
+    A cold segment is keyed by its anchor and holds its word codes; a hot one is keyed by its content
+    and holds its window hashes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -240,14 +246,14 @@ def _places(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                     start.append(int(first[k]))
                     words.append(codes[first[k] : last[k] + window].tobytes())
                 if hot.any():
-                    w = _rolling(h, window).view(np.int64)
+                    w = _rolling(h, window)
                     for k in np.flatnonzero(hot):
-                        for s in range(int(first[k]), int(last[k]) + 1):
-                            hot_.append(True)
-                            key.append(int(w[s]))
-                            doc_.append(doc)
-                            start.append(s)
-                            words.append(None)
+                        own_windows = w[first[k] : last[k] + 1].tobytes()
+                        hot_.append(True)
+                        key.append(xxhash.xxh64_intdigest(own_windows) - (1 << 63))
+                        doc_.append(doc)
+                        start.append(int(first[k]))
+                        words.append(own_windows)
             types = (pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip((hot_, key, doc_, start, words), types, strict=True)],
@@ -278,30 +284,77 @@ def _by_index(segments: DataFrame, window: int, shard_words: int) -> DataFrame:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, int, bytes]] = []
+        shard: list[tuple[int, int, bytes]] = []
+        group: list[tuple[int, int, bytes]] = []  # segments of one anchor
         size, previous = 0, None
+        later: list[tuple[int, int, int]] = []
+
+        def close_group() -> int:
+            """Later copies of a segment are repeats as a whole; different segments of an anchor go to the shard."""
+            group.sort(key=lambda r: r[:2])
+            first: dict[bytes, tuple[int, int, bytes]] = {}
+            for doc, start, codes in group:
+                if (place := first.setdefault(codes, (doc, start, codes))) and place[:2] < (doc, start):
+                    later.append((doc, start, start + len(codes) // 4))
+            group.clear()
+            if len(first) < 2:
+                return 0
+            shard.extend(first.values())
+            return sum(map(len, first)) // 4
+
+        def copies() -> pa.RecordBatch:
+            columns = zip(*later, strict=True) if later else [[]] * 3
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "end"])
+            later.clear()
+            return batch
+
         for b in batches:
             for key, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if size >= shard_words and key != previous:
-                    yield search(rows)
-                    rows, size = [], 0
-                previous = key
-                rows.append(tuple(row))
-                size += len(row[2]) // 4
-        if rows:
-            yield search(rows)
+                if key != previous:
+                    size += close_group()
+                    if size >= shard_words:
+                        yield search(shard)
+                        shard.clear()
+                        size = 0
+                    previous = key
+                group.append(tuple(row))
+            yield copies()
+        close_group()
+        if shard:
+            yield search(shard)
+        yield copies()
 
     dealt = segments.select("key", "doc_id", "start", "words").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "doc_id long, start long, end long")
 
 
-def _by_minimum(windows: DataFrame, window: int) -> DataFrame:
-    """The same for windows given by their hash: all but the earliest place of each hash."""
-    first = windows.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("n"))
-    first = first.filter("n > 1").select("key", "first")
-    later = windows.select("key", "doc_id", "start").join(first.hint("merge"), "key")
-    later = later.filter(F.struct("doc_id", "start") > F.col("first"))
-    return later.select("doc_id", F.col("start").cast("long").alias("start"), (F.col("start") + window).cast("long").alias("end"))
+def _later(rows: DataFrame, *carried: str) -> tuple[DataFrame, DataFrame]:
+    """(earliest place of each key with the carried columns, rows at later places)."""
+    first = rows.groupBy("key").agg(F.min(F.struct("doc_id", "start", *carried)).alias("first"), F.count("*").alias("n"))
+    twice = first.filter("n > 1").select("key", F.struct("first.doc_id", "first.start").alias("first"))
+    later = rows.join(twice.hint("merge"), "key").filter(F.struct("doc_id", "start") > F.col("first"))
+    return first.select("key", "first.*"), later
+
+
+def _by_minimum(segments: DataFrame, window: int) -> DataFrame:
+    """The same for hot segments: later copies of a content as a whole, then later copies of single windows."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.frombuffer(w, "<i8") for w in b.column(2).to_pylist()]
+            n = np.array([len(w) for w in own], np.int64)
+            doc = np.repeat(b.column(0).to_numpy(), n)
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(b.column(1).to_numpy(), n)
+            key = np.concatenate([*own, np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(at)], ["key", "doc_id", "start"])
+
+    first, copies = _later(segments.select("key", "doc_id", "start", "words"), "words")
+    single = first.select("doc_id", F.col("start").cast("long"), "words").mapInArrow(windows, "key long, doc_id long, start long")
+    _, again = _later(single)
+    end = F.col("start") + F.octet_length("words") / 8 + (window - 1)
+    return copies.select("doc_id", F.col("start").cast("long").alias("start"), end.cast("long").alias("end")).unionByName(
+        again.select("doc_id", "start", (F.col("start") + window).alias("end"))
+    )
 
 
 def _text_key() -> list[Column]:
