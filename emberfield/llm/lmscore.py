@@ -40,6 +40,17 @@ END = b"\n"  # can't be a word
 _END_ID, _OTHER_ID = 0, 1
 
 
+class _Ids(dict):
+    """Ids of words; another word has a fixed id."""
+
+    def __init__(self, ids: dict[bytes, int], other: int):
+        super().__init__(ids)
+        self.other = other
+
+    def __missing__(self, word: bytes) -> int:
+        return self.other
+
+
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_LOWER).split() + [END]
 
@@ -91,46 +102,62 @@ class Gru:
         """One step for inputs (rows of the input table): new state, and what the gradient needs."""
         n = self.hidden
         hu = h @ self.w["u"]
-        zr = 1 / (1 + np.exp(-(x[:, : 2 * n] + hu[:, : 2 * n])))
+        zr = x[:, : 2 * n] + hu[:, : 2 * n]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
         z, r = zr[:, :n], zr[:, n:]
-        c = np.tanh(x[:, 2 * n :] + r * hu[:, 2 * n :])
-        return z * h + (1 - z) * c, z, r, c, hu[:, 2 * n :]
+        c = r * hu[:, 2 * n :]
+        c += x[:, 2 * n :]
+        np.tanh(c, out=c)
+        new = h - c
+        new *= z
+        new += c
+        return new, z, r, c, hu[:, 2 * n :]
+
+    @staticmethod
+    def _softmax(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Exponentials (in place), their sums, and log probability at one column per row; logits are held below 60."""
+        np.minimum(s, 60, out=s)
+        rows = np.arange(len(s))
+        logit = s[rows, at]
+        np.exp(s, out=s)
+        total = s @ np.ones(s.shape[1], s.dtype)
+        return s, total, logit - np.log(total)
 
     def outputs(self, h: np.ndarray, place: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probability of each target place given its state; adds output gradients if asked."""
-        w, cls = self.w, self.cls[place]
-        s = h @ w["wc"] + w["bc"]
-        s -= s.max(1, keepdims=True)
-        e = np.exp(s)
-        total = e.sum(1)
+        w = self.w
+        # Rows are put in class order once, so that each class works on a slice.
+        order = np.argsort(place.astype(np.int16) if len(self.cls) < 1 << 15 else place, kind="stable")
+        h, place = h[order], place[order]
+        cls = self.cls[place]
         rows = np.arange(len(h))
-        logp = s[rows, cls] - np.log(total)
+        e, total, logp = self._softmax(h @ w["wc"] + w["bc"], cls)
         dh = None
         if grads is not None:
-            d = e / total[:, None]
-            d[rows, cls] -= 1
-            grads["wc"] += h.T @ d
-            grads["bc"] += d.sum(0)
-            dh = d @ w["wc"].T
-        order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(len(self.bounds)))
+            e /= total[:, None]
+            e[rows, cls] -= 1
+            grads["wc"] += h.T @ e
+            grads["bc"] += e.sum(0)
+            dh = e @ w["wc"].T
+        cut = np.searchsorted(place, self.bounds)
         for k in np.flatnonzero(np.diff(cut)):
-            own = order[cut[k] : cut[k + 1]]
+            own = slice(cut[k], cut[k + 1])
             a, b = self.bounds[k], self.bounds[k + 1]
-            hk = h[own]
-            s = hk @ w["wo"][:, a:b] + w["bo"][a:b]
-            s -= s.max(1, keepdims=True)
-            e = np.exp(s)
-            total = e.sum(1)
-            t = place[own] - a
-            logp[own] += s[np.arange(len(own)), t] - np.log(total)
+            hk, t = h[own], place[own] - a
+            e, total, lp = self._softmax(hk @ w["wo"][:, a:b] + w["bo"][a:b], t)
+            logp[own] += lp
             if grads is not None:
-                d = e / total[:, None]
-                d[np.arange(len(own)), t] -= 1
-                grads["wo"][:, a:b] += hk.T @ d
-                grads["bo"][a:b] += d.sum(0)
-                dh[own] += d @ w["wo"][:, a:b].T
-        return logp, dh
+                e /= total[:, None]
+                e[rows[: len(t)], t] -= 1
+                grads["wo"][:, a:b] += hk.T @ e
+                grads["bo"][a:b] += e.sum(0)
+                dh[own] += e @ w["wo"][:, a:b].T
+        back = np.empty_like(order)
+        back[order] = rows
+        return logp[back], None if dh is None else dh[back]
 
     def score(self, docs: list[np.ndarray], window: int = 32) -> np.ndarray:
         """Natural log probability of each document (arrays of ids, end included), state carried to its end."""
@@ -140,16 +167,19 @@ class Gru:
         table = self.w["x"] + self.w["b"]
         h = np.zeros((len(docs), self.hidden), np.float32)
         last = np.full(len(docs), self.place[_END_ID])  # a document begins after an end
-        for at in range(0, int(sizes[0]) if len(sizes) else 0, window):
+        longest, at = int(sizes[0]) if len(sizes) else 0, 0
+        while at < longest:
             on = int(np.searchsorted(-sizes, -at, "left"))
-            part = np.zeros((on, window), np.int64)
+            # Few documents left: longer windows, so that each holds enough rows.
+            steps = min(max(window, 8192 // on), longest - at)
+            part = np.zeros((on, steps), np.int64)
             for row, i in enumerate(order[:on]):
-                own = docs[i][at : at + window]
+                own = docs[i][at : at + steps]
                 part[row, : len(own)] = own
             part = self.place[part]
             h, last = h[:on], last[:on]
             states, lanes, targets = [], [], []
-            for t in range(window):
+            for t in range(steps):
                 live = int(np.searchsorted(-sizes[:on], -(at + t), "left"))
                 if not live:
                     break
@@ -161,6 +191,7 @@ class Gru:
                 last = part[:live, t]
             logp, _ = self.outputs(np.concatenate(states), np.concatenate(targets))
             out[order[:on]] += np.bincount(np.concatenate(lanes), weights=logp, minlength=on)
+            at += steps
         return out
 
     def train(self, stream: np.ndarray, adam: dict, rate: float, lanes: int = 256, window: int = 16) -> None:
@@ -178,34 +209,47 @@ class Gru:
         for at in range(0, width, window):
             steps = min(window, width - at)
             table = self.w["x"] + self.w["b"]
-            saved, states, inputs = [], [], []
+            saved, inputs = [], np.empty((steps, lanes), np.int64)
+            states = np.empty((steps, lanes, n), np.float32)
+            fresh = []
             for t in range(steps):
-                h = np.where((last == end)[:, None], np.float32(0), h)  # a new document starts afresh
+                ended = np.flatnonzero(last == end)
+                fresh.append(ended)
+                if len(ended):
+                    h = h.copy()
+                    h[ended] = 0  # a new document starts afresh
                 before = h
                 h, z, r, c, hu = self.step(table[last], h)
-                saved.append((before, z, r, c, hu, last))
-                states.append(h)
-                inputs.append(last)
+                saved.append((before, z, r, c, hu))
+                states[t], inputs[t] = h, last
                 last = grid[:, at + t]
             grads = {k: np.zeros_like(v) for k, v in self.w.items()}
-            _, dh_all = self.outputs(np.concatenate(states), grid[:, at : at + steps].T.ravel(), grads)
+            flat = states.reshape(-1, n)
+            _, dh_all = self.outputs(flat, grid[:, at : at + steps].T.ravel(), grads)
             dh_all = dh_all.reshape(steps, lanes, n)
             carry = np.zeros((lanes, n), np.float32)
-            gates = []
+            gates = np.empty((steps, lanes, 3 * n), np.float32)
             for t in reversed(range(steps)):
-                before, z, r, c, hu, x = saved[t]
+                before, z, r, c, hu = saved[t]
                 dh = dh_all[t] + carry
-                dc = dh * (1 - z) * (1 - c * c)
-                dz = dh * (before - c) * z * (1 - z)
-                dr = dc * hu * r * (1 - r)
-                dhu = np.concatenate([dz, dr, dc * r], 1)
+                g = gates[t]
+                dc, dz, dr = g[:, 2 * n :], g[:, :n], g[:, n : 2 * n]
+                np.multiply(dh, 1 - z, out=dc)
+                dc *= 1 - c * c
+                np.multiply(dh, before - c, out=dz)
+                dz *= z * (1 - z)
+                np.multiply(dc, hu, out=dr)
+                dr *= r * (1 - r)
+                dhu = g.copy()
+                dhu[:, 2 * n :] *= r
                 grads["u"] += before.T @ dhu
-                gates.append(np.concatenate([dz, dr, dc], 1))
-                carry = np.where((x == end)[:, None], np.float32(0), dh * z + dhu @ self.w["u"].T)
-            dx = np.concatenate(gates)
+                carry = dh * z
+                carry += dhu @ self.w["u"].T
+                carry[fresh[t]] = 0
+            dx = gates.reshape(-1, 3 * n)
             grads["b"] += dx.sum(0)
-            which = np.concatenate(inputs[::-1])
-            order = np.argsort(which, kind="stable")
+            which = inputs.ravel()
+            order = np.argsort(which.astype(np.int16) if len(self.place) < 1 << 15 else which, kind="stable")
             heads = np.flatnonzero(np.concatenate([[True], np.diff(which[order]) > 0]))
             grads["x"][which[order][heads]] = np.add.reduceat(dx[order], heads)
             self._update(grads, adam, rate, lanes * steps)
@@ -249,10 +293,11 @@ def corpus_counts(docs: DataFrame, most: int = 300_000) -> DataFrame:
 def _streams(batches: Iterator[pa.RecordBatch], ids: dict[bytes, int], least: int = 200_000) -> Iterator[np.ndarray]:
     parts: list[np.ndarray] = []
     size = 0
+    get = _Ids(ids, _OTHER_ID).__getitem__
     for b in batches:
         for text in b.column(0).to_pylist():
             t = tokens(text)
-            parts.append(np.fromiter((ids.get(w, _OTHER_ID) for w in t), np.int32, len(t)))
+            parts.append(np.fromiter(map(get, t), np.int32, len(t)))
             size += len(t)
             if size >= least:
                 yield np.concatenate(parts)
@@ -294,7 +339,7 @@ def _averaged(docs: DataFrame, model: Gru, ids: dict[bytes, int], rate: float, p
     return np.concatenate([np.array(r["w"]) / r["n"] for r in rows])
 
 
-def score(docs: DataFrame, words: int = 1022, hidden: int = 16, sample: int = 300, block_bytes: int = 10 << 20) -> DataFrame:
+def score(docs: DataFrame, words: int = 1022, hidden: int = 16, sample: int = 300, block_bytes: int = 20 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -329,21 +374,19 @@ def score(docs: DataFrame, words: int = 1022, hidden: int = 16, sample: int = 30
     scale = np.log10(total + 0.1 * (distinct + 1))
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        at = {w: i for i, w in enumerate(right["word"].to_pylist())}
+        present = right["word"].to_pylist()
+        get = _Ids(dict(zip(present, range(len(present)), strict=True)), len(present)).__getitem__
         c = np.concatenate([right["c"].to_numpy(), [0]]).astype(np.int64)
-        model_id = np.array([*(ids.get(w, _OTHER_ID) for w in at), _OTHER_ID], np.int32)
-        unseen = len(at)
+        model_id = np.fromiter(map(_Ids(ids, _OTHER_ID).__getitem__, [*present, b""]), np.int32, len(present) + 1)
+        log_share, other_share = np.log10(c + 0.1), np.where(model_id == _OTHER_ID, np.log10(c + 0.1) - np.log10(outside), 0.0)
         seqs, n_known, base, rest = [], [], [], []
         for text in left["text"].to_pylist():
             t = tokens(text)
-            idx = np.fromiter((at.get(w, unseen) for w in t), np.int64, len(t))
-            own = c[idx]
+            idx = np.fromiter(map(get, t), np.int64, len(t))
             seqs.append(model_id[idx])
-            n_known.append(int((own > 0).sum()))
-            logs = np.log10(own + 0.1)
-            base.append(float(logs.sum() - len(t) * scale))
-            other = seqs[-1] == _OTHER_ID
-            rest.append(float(logs[other].sum() - other.sum() * np.log10(outside)))
+            n_known.append(int(np.count_nonzero(c[idx])))
+            base.append(float(log_share[idx].sum() - len(t) * scale))
+            rest.append(float(other_share[idx].sum()))
         n = len(seqs)
         return pa.table({
             "doc_id": left["doc_id"], "held_out": left["held_out"],
