@@ -2,7 +2,7 @@
 
 Base spans (email, ip, card, phone) come from strict patterns and checks.  Looser candidates are
 found beside them: addresses spelt with "at" and "dot", phone numbers without a plus sign, card
-numbers that fail the checksum.  Labelers vote on every span, yes, no or not at all: the strict pattern,
+numbers that fail the checksum or stand beside another number.  Labelers vote on every span, yes, no or not at all: the strict pattern,
 the shape of the number, a gazetteer of cue words before the span, its borders, and a gazetteer of
 domain endings.  Votes are counted per combination (a bounded number of combinations, whatever the
 corpus size), expectation-maximisation on these counts estimates each labeler's reliability per
@@ -41,6 +41,8 @@ SPELT = (
     r"(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?[a-z0-9-]{2,63}+){1,4}+"
 )
 NUMBER = r"(?:(?<![0-9A-Za-z+.,:/_=#-])|\G)[0-9(](?:[\x20().-]{0,2}+[0-9]){6,19}+(?![0-9A-Za-z_/=])"
+#: Runs of 13 to 19 digits, or four groups of four, also where another number stands beside them.
+CARD_LIKE = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9])"
 
 #: Cue words of the gazetteer by kind, in the languages at hand.
 CUES = {
@@ -111,9 +113,10 @@ def find(docs: DataFrame, *more: str) -> DataFrame:
         F.sort_array(F.concat(*(_named(b, k) for k, b in enumerate(base)))).alias("base"),
         _only(spelt, _found(text, SPELT)).alias("spelt"),
         _only(F.col("digit") & text.rlike(r"[0-9](?:[\x20().-]{0,2}[0-9]){6}"), _found(text, NUMBER)).alias("numbers"),
+        _only(F.col("digit") & text.rlike(CARD_LIKE), _found(text, CARD_LIKE)).alias("cards"),
     )
     free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    cards = F.filter("numbers", lambda s: F.length(_digits(s["match"])).between(13, 19) & free(s))
+    cards = F.filter("cards", free)
     phones = F.filter("numbers", lambda s: F.length(_digits(s["match"])).between(7, 12) & free(s))
     loose = F.concat(_named(F.filter("spelt", free), 0), _named(cards, 2), _named(phones, 3))
     df = df.select("doc_id", *more, "text", "base", F.sort_array(loose).alias("loose"))

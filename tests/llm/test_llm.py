@@ -424,7 +424,8 @@ def hand_spans(t):
 ODD = [
     None, "", "a@b", "x a.b+c@d-e.f.g_h@i.j, k@l..m n@o.p@q.r", "1.2.3.4.5.6.7.8 256.1.1.1 001.02.3.255", "4111 1111 1111 1111 and 4111-1111-1111-1112",
     "+1 (988) 555-2485 or +12 3 + 49 +49.30/123 +1234567890123456", "éü😀 a@b.cd 😀 10.0.0.1", "9" * 5000, "a" * 3000 + "@b.c", ". ".join(f"{i}.1.1.1" for i in range(300)),
-    "Call 555-123-4567 now or tel: (030) 1234-5678, order 1234567890", "write to joe (at) example (dot) org please", "0 0 0 0 0 0 0 0 0 0 0 0 0 0 1.1.1.1@a.b +1111111111",
+    "Call 555-123-4567 now or tel: (030) 1234-5678, order 1234567890", "card 4111 1111 1111 1111 7536784127813051, visa: 4845168114407329 7536784127813051 then 7536784127813051",
+    "write to joe (at) example (dot) org please", "0 0 0 0 0 0 0 0 0 0 0 0 0 0 1.1.1.1@a.b +1111111111",
 ]
 
 
@@ -439,6 +440,8 @@ def test_base_spans_and_added_ones(spark):
         assert [r[f"n_{k}"] for k in BASE] == [sum(s[3] == k for s in want) for k in BASE]
         assert set(listed) <= set(r["spans"].split(",")) | ({""} if not listed else set())
     assert "phone:" in got[11]["spans"]
+    at = ODD[12].index("4845168114407329")
+    assert f"card:{at}:{at + 16}" in got[12]["spans"] and f"card:{at + 17}:{at + 33}" not in got[12]["spans"]
     assert privacy.personal_data(df.limit(0)).count() == 0
 
 
