@@ -98,102 +98,155 @@ class Gru:
             self.w[k] = flat[at : at + v.size].astype(np.float32).reshape(v.shape)
             at += v.size
 
+    def inputs(self, places: np.ndarray) -> np.ndarray:
+        """What input places (steps, lanes) add to the gates: (steps, 3 hidden, lanes), lanes last."""
+        table = self.w["x"] + self.w["b"]
+        return np.ascontiguousarray(table[places].transpose(0, 2, 1))
+
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """One step for inputs (rows of the input table): new state, and what the gradient needs."""
+        """One step for all lanes (columns): new state, and what the gradient needs."""
         n = self.hidden
-        hu = h @ self.w["u"]
-        zr = x[:, : 2 * n] + hu[:, : 2 * n]
+        hu = self.w["u"].T @ h
+        zr = x[: 2 * n] + hu[: 2 * n]
         np.negative(zr, out=zr)
         np.exp(zr, out=zr)
         zr += 1
         np.reciprocal(zr, out=zr)
-        z, r = zr[:, :n], zr[:, n:]
-        c = r * hu[:, 2 * n :]
-        c += x[:, 2 * n :]
+        z, r = zr[:n], zr[n:]
+        c = r * hu[2 * n :]
+        c += x[2 * n :]
         np.tanh(c, out=c)
         new = h - c
         new *= z
         new += c
-        return new, z, r, c, hu[:, 2 * n :]
+        return new, z, r, c, hu[2 * n :]
 
     @staticmethod
-    def _softmax(s: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Exponentials (in place), their sums, and log probability at one column per row; logits are held below 60."""
-        np.minimum(s, 60, out=s)
-        rows = np.arange(len(s))
-        logit = s[rows, at]
+    def _softmax(s: np.ndarray, at: np.ndarray, held: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Exponentials (in place), their sums, and log probability at one column per row; ``held`` logits are below 60."""
+        if not held:
+            np.minimum(s, 60, out=s)
+        logit = s[np.arange(len(s)), at]
         np.exp(s, out=s)
         total = s @ np.ones(s.shape[1], s.dtype)
         return s, total, logit - np.log(total)
 
     def outputs(self, h: np.ndarray, place: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probability of each target place given its state; adds output gradients if asked."""
-        w = self.w
+        n = self.hidden
+        # Biases are one more row of weights, for a last state that is always one.
+        wc, wo = (np.concatenate([self.w[k], self.w[b][None]]) for k, b in (("wc", "bc"), ("wo", "bo")))
+        # States are within -1 and 1, which bounds the logits.
+        held = max(np.abs(wc).sum(0).max(), np.abs(wo).sum(0).max()) < 60
         # Rows are put in class order once, so that each class works on a slice.
         order = np.argsort(place.astype(np.int16) if len(self.cls) < 1 << 15 else place, kind="stable")
-        h, place = h[order], place[order]
+        sorted_h = np.ones((len(h), n + 1), h.dtype)
+        sorted_h[:, :n] = np.take(h, order, axis=0)
+        h, place = sorted_h, place[order]
         cls = self.cls[place]
         rows = np.arange(len(h))
-        e, total, logp = self._softmax(h @ w["wc"] + w["bc"], cls)
+        e, total, logp = self._softmax(h @ wc, cls, held)
         dh = None
         if grads is not None:
             e /= total[:, None]
             e[rows, cls] -= 1
-            grads["wc"] += h.T @ e
-            grads["bc"] += e.sum(0)
-            dh = e @ w["wc"].T
+            g = h.T @ e
+            grads["wc"] += g[:n]
+            grads["bc"] += g[n]
+            dh = e @ self.w["wc"].T
         cut = np.searchsorted(place, self.bounds)
         for k in np.flatnonzero(np.diff(cut)):
             own = slice(cut[k], cut[k + 1])
             a, b = self.bounds[k], self.bounds[k + 1]
+            if b - a == 1:
+                continue  # the only word of its class
             hk, t = h[own], place[own] - a
-            e, total, lp = self._softmax(hk @ w["wo"][:, a:b] + w["bo"][a:b], t)
+            e, total, lp = self._softmax(hk @ wo[:, a:b], t, held)
             logp[own] += lp
             if grads is not None:
                 e /= total[:, None]
                 e[rows[: len(t)], t] -= 1
-                grads["wo"][:, a:b] += hk.T @ e
-                grads["bo"][a:b] += e.sum(0)
-                dh[own] += e @ w["wo"][:, a:b].T
+                g = hk.T @ e
+                grads["wo"][:, a:b] += g[:n]
+                grads["bo"][a:b] += g[n]
+                dh[own] += e @ self.w["wo"][:, a:b].T
         back = np.empty_like(order)
         back[order] = rows
-        return logp[back], None if dh is None else dh[back]
+        return np.take(logp, back), None if dh is None else np.take(dh, back, axis=0)
+
+    def score(self, docs: list[np.ndarray], rows: int = 16384) -> np.ndarray:
+        """Natural log probability of each document (arrays of ids, end included), state carried to its end.
 
-    def score(self, docs: list[np.ndarray], window: int = 32) -> np.ndarray:
-        """Natural log probability of each document (arrays of ids, end included), state carried to its end."""
+        A window takes about ``rows`` tokens of all documents that reach it: fewer documents, more steps.
+        """
         out = np.zeros(len(docs))
-        order = np.argsort([-len(d) for d in docs], kind="stable")
-        sizes = np.array([len(docs[i]) for i in order])
-        table = self.w["x"] + self.w["b"]
-        h = np.zeros((len(docs), self.hidden), np.float32)
+        if not len(docs):
+            return out
+        lengths = np.array([len(d) for d in docs])
+        order = np.argsort(-lengths, kind="stable")
+        sizes, starts = lengths[order], (np.cumsum(lengths) - lengths)[order]
+        stream = self.place[np.concatenate(docs)]
+        h = np.zeros((self.hidden, len(docs)), np.float32)
         last = np.full(len(docs), self.place[_END_ID])  # a document begins after an end
-        longest, at = int(sizes[0]) if len(sizes) else 0, 0
+        longest, at = int(sizes[0]), 0
         while at < longest:
             on = int(np.searchsorted(-sizes, -at, "left"))
-            # Few documents left: longer windows, so that each holds enough rows.
-            steps = min(max(window, 8192 // on), longest - at)
-            part = np.zeros((on, steps), np.int64)
-            for row, i in enumerate(order[:on]):
-                own = docs[i][at : at + steps]
-                part[row, : len(own)] = own
-            part = self.place[part]
-            h, last = h[:on], last[:on]
-            states, lanes, targets = [], [], []
-            for t in range(steps):
-                live = int(np.searchsorted(-sizes[:on], -(at + t), "left"))
-                if not live:
-                    break
-                h, last = h[:live], last[:live]
-                h = self.step(table[last], h)[0]
-                states.append(h)
-                lanes.append(np.arange(live))
-                targets.append(part[:live, t])
-                last = part[:live, t]
-            logp, _ = self.outputs(np.concatenate(states), np.concatenate(targets))
-            out[order[:on]] += np.bincount(np.concatenate(lanes), weights=logp, minlength=on)
-            at += steps
+            steps = np.arange(at, at + min(max(1, rows // on), longest - at))
+            live = np.searchsorted(-sizes, -steps, "left")
+            # Places behind a document's end repeat its last one; they are not scored.
+            part = stream[starts[:on] + np.minimum(steps[:, None], sizes[:on] - 1)]
+            x = self.inputs(np.concatenate([last[None, :on], part[:-1]]))
+            last = part[-1]
+            states = []
+            for t, n in enumerate(live.tolist()):
+                h = self.step(x[t, :, :n], h[:, :n])[0]
+                states.append(h.T)
+            lane = np.concatenate([np.arange(n) for n in live])
+            step = np.repeat(np.arange(len(live)), live)
+            logp, _ = self.outputs(np.concatenate(states), part[step, lane])
+            out[order[:on]] += np.bincount(lane, weights=logp, minlength=on)
+            at += len(steps)
         return out
 
+    def gradients(self, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray, float]:
+        """Gradients of one window of places (steps, lanes) from a state, the state after it, and its log probability."""
+        (steps, lanes), n = inputs.shape, self.hidden
+        x = self.inputs(inputs)
+        going_on = (inputs != self.place[_END_ID]).astype(h.dtype)  # a new document starts afresh
+        before, kept = [], []
+        for t in range(steps):
+            before.append(h * going_on[t])
+            h, *rest = self.step(x[t], before[t])
+            kept.append((h, *rest))
+        before = np.stack(before)
+        states, z, r, c, hu = map(np.stack, zip(*kept, strict=True))
+        grads = {k: np.zeros_like(v) for k, v in self.w.items()}
+        logp, dh_all = self.outputs(states.transpose(0, 2, 1).reshape(-1, n), targets.ravel(), grads)
+        dh_all = np.ascontiguousarray(dh_all.reshape(steps, lanes, n).transpose(0, 2, 1))
+        # By the state's gradient these give those of: update gate, reset gate, candidate's recurrent part, candidate.
+        by = np.empty((steps, 4, n, lanes), h.dtype)
+        keep = 1 - z
+        np.multiply(keep, 1 - c * c, out=by[:, 3])
+        np.multiply(by[:, 3], r, out=by[:, 2])
+        np.multiply(by[:, 2] * hu, 1 - r, out=by[:, 1])
+        np.multiply((before - c) * z, keep, out=by[:, 0])
+        carry = np.zeros((n, lanes), h.dtype)
+        for t in reversed(range(steps)):
+            dh = dh_all[t] + carry
+            by[t] *= dh
+            carry = self.w["u"] @ by[t, :3].reshape(3 * n, lanes)
+            carry += dh * z[t]
+            carry *= going_on[t]
+        grads["u"] += np.matmul(before, by[:, :3].reshape(steps, 3 * n, lanes).transpose(0, 2, 1)).sum(0)
+        by[:, 2] = by[:, 3]
+        dx = by[:, :3].reshape(steps, 3 * n, lanes).transpose(0, 2, 1).reshape(-1, 3 * n)
+        grads["b"] += dx.sum(0)
+        which = inputs.ravel()
+        order = np.argsort(which.astype(np.int16) if len(self.place) < 1 << 15 else which, kind="stable")
+        heads = np.flatnonzero(np.concatenate([[True], np.diff(which[order]) > 0]))
+        grads["x"][which[order][heads]] = np.add.reduceat(dx[order], heads)
+        return grads, h, float(logp.sum())
+
     def train(self, stream: np.ndarray, adam: dict, rate: float, lanes: int = 256, window: int = 16) -> None:
         """One pass over a stream of ids (documents end to end), cut into lanes with carried state."""
         place = self.place[stream]
@@ -201,58 +254,13 @@ class Gru:
         width = len(place) // lanes
         if width < 1:
             return
-        end = self.place[_END_ID]
-        grid = place[: lanes * width].reshape(lanes, width)
-        h = np.zeros((lanes, self.hidden), np.float32)
-        last = np.full(lanes, end)
-        n = self.hidden
+        targets = np.ascontiguousarray(place[: lanes * width].reshape(lanes, width).T)
+        inputs = np.concatenate([np.full((1, lanes), self.place[_END_ID]), targets[:-1]])
+        h = np.zeros((self.hidden, lanes), np.float32)
         for at in range(0, width, window):
-            steps = min(window, width - at)
-            table = self.w["x"] + self.w["b"]
-            saved, inputs = [], np.empty((steps, lanes), np.int64)
-            states = np.empty((steps, lanes, n), np.float32)
-            fresh = []
-            for t in range(steps):
-                ended = np.flatnonzero(last == end)
-                fresh.append(ended)
-                if len(ended):
-                    h = h.copy()
-                    h[ended] = 0  # a new document starts afresh
-                before = h
-                h, z, r, c, hu = self.step(table[last], h)
-                saved.append((before, z, r, c, hu))
-                states[t], inputs[t] = h, last
-                last = grid[:, at + t]
-            grads = {k: np.zeros_like(v) for k, v in self.w.items()}
-            flat = states.reshape(-1, n)
-            _, dh_all = self.outputs(flat, grid[:, at : at + steps].T.ravel(), grads)
-            dh_all = dh_all.reshape(steps, lanes, n)
-            carry = np.zeros((lanes, n), np.float32)
-            gates = np.empty((steps, lanes, 3 * n), np.float32)
-            for t in reversed(range(steps)):
-                before, z, r, c, hu = saved[t]
-                dh = dh_all[t] + carry
-                g = gates[t]
-                dc, dz, dr = g[:, 2 * n :], g[:, :n], g[:, n : 2 * n]
-                np.multiply(dh, 1 - z, out=dc)
-                dc *= 1 - c * c
-                np.multiply(dh, before - c, out=dz)
-                dz *= z * (1 - z)
-                np.multiply(dc, hu, out=dr)
-                dr *= r * (1 - r)
-                dhu = g.copy()
-                dhu[:, 2 * n :] *= r
-                grads["u"] += before.T @ dhu
-                carry = dh * z
-                carry += dhu @ self.w["u"].T
-                carry[fresh[t]] = 0
-            dx = gates.reshape(-1, 3 * n)
-            grads["b"] += dx.sum(0)
-            which = inputs.ravel()
-            order = np.argsort(which.astype(np.int16) if len(self.place) < 1 << 15 else which, kind="stable")
-            heads = np.flatnonzero(np.concatenate([[True], np.diff(which[order]) > 0]))
-            grads["x"][which[order][heads]] = np.add.reduceat(dx[order], heads)
-            self._update(grads, adam, rate, lanes * steps)
+            part = slice(at, at + window)
+            grads, h, _ = self.gradients(inputs[part], targets[part], h)
+            self._update(grads, adam, rate, targets[part].size)
 
     def _update(self, grads: dict, adam: dict, rate: float, n: int) -> None:
         adam["t"] = t = adam.get("t", 0) + 1

@@ -293,13 +293,29 @@ def test_model_is_a_distribution_and_learns():
     docs = [np.array([2, 3, 4, 5, 0]), np.array([2, 3])]
     before = model.score(docs)
     one = [model.score([d])[0] for d in docs]
-    assert np.allclose(before, one, atol=1e-4) and np.allclose(before, model.score(docs, window=2), atol=1e-4)
+    assert np.allclose(before, one, atol=1e-4) and np.allclose(before, model.score(docs, rows=3), atol=1e-4)
     adam = {}
     for _ in range(20):
         model.train(seq, adam, 0.02, lanes=16)
     assert model.score(docs)[0] > before[0] + 2
 
 
+def test_gradients_are_those_of_the_log_probability():
+    rng = np.random.default_rng(1)
+    model = lmscore.Gru(np.array([5.0, 4, 9, 1, 7, 2, 3, 3, 2, 1]), hidden=4)
+    model.w = {k: rng.normal(0, 0.5, v.shape) for k, v in model.w.items()}
+    inputs, targets, h = rng.integers(0, 10, (6, 5)), rng.integers(0, 10, (6, 5)), rng.normal(0, 0.5, (4, 5))
+    grads, _, _ = model.gradients(inputs, targets, h)
+    for k, v in model.w.items():
+        for at in rng.integers(0, v.size, 12):
+            sides = []
+            for step in (1e-5, -1e-5):
+                v.flat[at] += step
+                sides.append(model.gradients(inputs, targets, h)[2])
+                v.flat[at] -= step
+            assert -grads[k].flat[at] == pytest.approx((sides[0] - sides[1]) / 2e-5, abs=1e-5)
+
+
 # 6 near duplicates
 
 
