@@ -44,3 +44,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
     """Keep Arrow batches of whole texts small, so that a Python worker's memory stays bounded."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+#: Name of the column that carries a row's other columns through an operator.
+REST = "_rest"
+
+
+def rest_packed(docs: DataFrame, *without: str) -> DataFrame:
+    """Documents with their columns once more in one struct, to be carried with the row."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in without]
+    return docs.select("*", F.struct(F.lit(0).alias("_"), *rest).alias(REST))
+
+
+def rest_unpacked(df: DataFrame, docs: DataFrame, **new: str) -> DataFrame:
+    """The columns of docs from the carried struct; those in ``new`` from the named column."""
+    return df.select(*((F.col(new[c]) if c in new else F.col(REST).getField(c)).alias(c) for c in docs.columns))

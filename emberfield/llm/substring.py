@@ -396,18 +396,19 @@ def _kept(words: list[bytes], found: list[dict] | None, whole: bool | None, wind
     return kept + words[upto:]
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, **how) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, carry: str | None = None, **how) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and text of every document.
 
     The text stays as it is where nothing is removed; otherwise it is the kept words joined by one
-    space.
+    space.  Each row gives one row, also where ids repeat; the column ``carry`` stays as it was.
     """
+    carried = [carry] if carry else []
     found = intervals(docs, window, **how)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, removed, digest, texts = [], [], [], []
-            for text, own, whole in zip(*(c.to_pylist() for c in b.columns[1:]), strict=True):
+            for text, own, whole in zip(*(c.to_pylist() for c in b.columns[1:4]), strict=True):
                 words = (text or "").encode().split()
                 kept = _kept(words, own, whole, window)
                 joined = b" ".join(kept)
@@ -416,11 +417,12 @@ def remove_repeats(docs: DataFrame, window: int = 20, **how) -> DataFrame:
                 digest.append(hashlib.sha256(joined).hexdigest())
                 texts.append(text if len(kept) == len(words) else joined.decode())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest), pa.array(texts, pa.string())],
-                ["doc_id", "n_words", "n_removed", "kept_sha256", "text"],
+                [b.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest), pa.array(texts, pa.string()), *b.columns[4:]],
+                ["doc_id", "n_words", "n_removed", "kept_sha256", "text", *carried],
             )
 
-    rows = docs.select("doc_id", "text").join(found.hint("merge"), "doc_id", "left")
-    return rows.select("doc_id", "text", "intervals", "whole").mapInArrow(
-        run, "doc_id long, n_words long, n_removed long, kept_sha256 string, text string"
+    rows = docs.select("doc_id", "text", *carried).join(found.hint("merge"), "doc_id", "left")
+    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
+    return rows.select("doc_id", "text", "intervals", "whole", *carried).mapInArrow(
+        run, f"doc_id long, n_words long, n_removed long, kept_sha256 string, text string{kinds}"
     )

@@ -502,3 +502,20 @@ def test_pipeline_stages(spark, tmp_path, docs):
     assert all(r["n_chars"] == len(r["text"]) for r in kept.collect())
     packed = pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in kept.collect()}
+
+
+def test_pipeline_keeps_one_row_per_row(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(5)
+    text = [passage(rng, 80) for _ in range(4)]
+    rows = [(1, text[0], "en"), (1, text[0], "en"), (1, text[0], "en"), (2, text[1], "en"), (None, text[2], "fr"), (None, text[3], None)]
+    df = spark.createDataFrame([(i, t, lang, "a", len(t)) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(pipeline.STAGES)
+    same = lambda got, want: sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert same(stage["quality"](spark, df, str(tmp_path)), df)
+    assert same(stage["repeated_passages"](spark, df, str(tmp_path)), df)
+    once = spark.createDataFrame([df.collect()[i] for i in (0, 3, 4, 5)], df.schema)
+    assert same(stage["near_duplicates"](spark, df, str(tmp_path)), once)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    packed = pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter(r["doc_id"] for r in packed) == {1: 1, 2: 1, None: 2}
