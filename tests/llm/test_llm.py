@@ -519,3 +519,34 @@ def test_pipeline_keeps_one_row_per_row(spark, tmp_path):
     df.write.parquet(str(tmp_path / "documents.parquet"))
     packed = pipeline.run(spark, str(tmp_path)).collect()
     assert Counter(r["doc_id"] for r in packed) == {1: 1, 2: 1, None: 2}
+
+
+@pytest.mark.parametrize("list_rows", [2048, 3])
+def test_pipeline_near_duplicates_by_similarity(spark, tmp_path, list_rows):
+    from emberfield.llm import minhash
+
+    rng = random.Random(8)
+    rows = []
+    for _ in range(12):
+        own = passage(rng, 200, 5000).split()
+        rows.append(" ".join(own))
+        for changed in (1, 3, 4, 9):
+            copy = list(own)
+            for at in range(8, 200, 200 // changed):
+                copy[at] = "z%d" % rng.randrange(10**6)
+            rows.append(" ".join(copy).upper())
+    rows += ["", None, "a", "a", "a b c", "A B c"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (words((t or "").lower()) for t in rows)]
+    similar = lambda a, b: a == b or len(a & b) >= 0.8 * len(a | b)
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if similar(sets[i], sets[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = minhash.first_of_each(df, list_rows=list_rows).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(set(label))
+    pipeline = pytest.importorskip("corpus_pipeline")
+    if list_rows == 2048:
+        assert {r["doc_id"] for r in dict(pipeline.STAGES)["near_duplicates"](spark, df, str(tmp_path)).collect()} == set(label)
