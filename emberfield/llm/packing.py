@@ -5,7 +5,9 @@ only if it is longer; its first piece takes the remainder.  Pieces are items wit
 tokens, one document, and attention cost (length squared).  A bin offers ``size`` tokens,
 ``max_docs`` documents and ``max_cost`` attention cost.  Items are placed longest first into the open
 bin that fits under every constraint and scores best, by weighted dot-product of demand and residual
-or by least residual norm; where none fits, a new bin opens.
+or by least residual norm; where none fits, a new bin opens.  The defaults weigh the three residuals
+alike.  A whole piece of ``size`` tokens costs size squared, so the default attention capacity can't
+be lower than that and only shapes the choice; the documents of a sequence are held to ``max_docs``.
 
 Items of one length are alike, so the choice is made on the histogram of lengths (at most ``size``
 numbers, whatever the corpus size).  Bins with the same history stand together as one run of bins.
@@ -78,65 +80,62 @@ def pieces(docs: DataFrame, path: str, size: int = 1024, end_id: int = 2) -> Dat
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
+#: Production capacities and weights: see ``best_fit``.
+MAX_DOCS = 128
+WEIGHTS = (1.0, 1.0, 1.0)
+
+
 def best_fit(
     counts: dict[int, int],
     size: int = 1024,
-    max_docs: int = 1024,
+    max_docs: int = MAX_DOCS,
     max_cost: int | None = None,
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0),
+    weights: tuple[float, float, float] = WEIGHTS,
     rule: str = "norm",
 ) -> list[tuple[int, int, int, int, int]]:
     """Places for all items of a length histogram: rows (length, rank_from, rank_to, bin_from, offset).
 
     ``weights`` are those of tokens, documents and attention cost, each as a share of its capacity.
     ``rule`` is 'dot' (largest weighted dot-product of demand and residual) or 'norm' (least weighted
-    norm of what would be left).  The defaults minimise the number of sequences.
+    norm of what would be left).  Ties go to the run of bins that opened first.  ``max_cost`` is
+    size squared unless given: a whole piece of ``size`` tokens needs that much.
     """
-    capacity = (size, max_docs, size * size if max_cost is None else max_cost)
-    runs: list[list] = []  # [first bin, bins, residual tokens, residual docs, residual cost]
-    by_tokens: list[list[int]] = [[] for _ in range(size + 1)]  # runs by residual tokens
+    capacity = np.array([size, max_docs, size * size if max_cost is None else max_cost], np.int64)
+    weigh = np.asarray(weights, float)
+    first, bins = np.zeros(64, np.int64), np.zeros(64, np.int64)  # runs of bins with the same history
+    residual = np.zeros((64, 3), np.int64)
+    used, opened = 0, 0
     out: list[tuple[int, int, int, int, int]] = []
-    bins = 0
 
-    def score(residual: tuple, demand: tuple) -> float:
-        if rule == "dot":
-            return sum(w * r * d / (c * c) for w, r, d, c in zip(weights, residual, demand, capacity, strict=True))
-        return -sum(w * ((r - d) / c) ** 2 for w, r, d, c in zip(weights, residual, demand, capacity, strict=True))
+    def add(at: int, n: int, left: np.ndarray) -> None:
+        nonlocal used, first, bins, residual
+        if used == len(first):
+            first, bins, residual = (np.concatenate([x, np.zeros_like(x)]) for x in (first, bins, residual))
+        first[used], bins[used], residual[used] = at, n, left
+        used += 1
 
     for length in sorted(counts, reverse=True):
         left, rank = counts[length], 0
-        demand = (length, 1, length * length)
-        if any(d > c for d, c in zip(demand, capacity, strict=True)):
-            raise ValueError(f"an item of {length} tokens exceeds the capacities {capacity}")
+        demand = np.array([length, 1, length * length], np.int64)
+        if (demand > capacity).any():
+            raise ValueError(f"an item of {length} tokens exceeds the capacities {capacity.tolist()}")
         while left > 0:
-            best = None
-            for tokens in range(length, size + 1):
-                for i in by_tokens[tokens]:
-                    residual = tuple(runs[i][2:])
-                    if all(d <= r for d, r in zip(demand, residual, strict=True)):
-                        s = score(residual, demand)
-                        if best is None or s > best[0]:
-                            best = (s, i)
-                if best is not None and rule == "norm" and weights[1:] == (0.0, 0.0):
-                    break  # a bin with more tokens left can't score better
-            if best is None:
-                per = min(capacity[0] // length, capacity[1], capacity[2] // (length * length))
-                n = -(-left // per)
-                runs.append([bins, n, *capacity])
-                by_tokens[size].append(len(runs) - 1)
-                bins += n
+            fits = np.flatnonzero((residual[:used] >= demand).all(axis=1))
+            if not len(fits):
+                n = -(-left // int((capacity // demand).min()))
+                add(opened, n, capacity)
+                opened += n
                 continue
-            i = best[1]
-            first, n, tokens, docs, cost = runs[i]
-            take = min(n, left)
-            after = [first, take, tokens - length, docs - 1, cost - length * length]
-            out.append((length, rank, rank + take, first, size - tokens))
-            by_tokens[tokens].remove(i)
-            if take < n:
-                runs.append([first + take, n - take, tokens, docs, cost])
-                by_tokens[tokens].append(len(runs) - 1)
-            runs.append(after)
-            by_tokens[after[2]].append(len(runs) - 1)
+            if rule == "dot":
+                score = (residual[fits] / capacity * (demand / capacity)) @ weigh
+            else:
+                score = -(((residual[fits] - demand) / capacity) ** 2 @ weigh)
+            i = int(fits[np.argmax(score)])
+            take, after = min(int(bins[i]), left), residual[i] - demand
+            out.append((length, rank, rank + take, int(first[i]), int(size - residual[i, 0])))
+            if take < bins[i]:
+                add(int(first[i]) + take, int(bins[i]) - take, residual[i].copy())
+            bins[i], residual[i] = take, after
             left, rank = left - take, rank + take
     return out
 

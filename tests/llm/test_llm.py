@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from emberfield.llm import bpe, graph, lmscore, neighbours, packing, privacy, quality, simhash, substring, warc, wordpiece
 from emberfield.llm.queries import vocabulary_path
@@ -184,19 +185,45 @@ def test_packing_is_whole_and_tight(spark, docs, texts, tokenizer):
 
 
 @pytest.mark.parametrize("rule", ["dot", "norm"])
-def test_best_fit_keeps_every_capacity(rule):
-    counts = {3: 40, 7: 11, 20: 9, 33: 4, 64: 2}
-    places = packing.best_fit(counts, 64, max_docs=5, max_cost=2000 if rule == "norm" else 64 * 64, weights=(1.0, 0.5, 0.5), rule=rule) if rule == "dot" else packing.best_fit(counts, 64, max_docs=5, weights=(1.0, 0.5, 0.5), rule=rule)
-    bins, seen = defaultdict(list), Counter()
-    for length, a, b, first, offset in places:
-        for k in range(b - a):
-            bins[first + k].append((offset, length))
-            seen[length] += 1
-    assert seen == counts
+@pytest.mark.parametrize(
+    ("counts", "max_docs", "max_cost", "binding"),
+    [
+        ({n: 40 for n in range(1, 33)}, 64, 64 * 64, "tokens"),
+        ({1: 300, 2: 200, 3: 100, 20: 10}, 5, 64 * 64, "docs"),
+        ({8: 300, 12: 200, 20: 50, 30: 10}, 64, 1000, "cost"),
+    ],
+)
+def test_best_fit_keeps_every_capacity(rule, counts, max_docs, max_cost, binding):
+    places = packing.best_fit(counts, 64, max_docs=max_docs, max_cost=max_cost, rule=rule)
+    bins = defaultdict(list)
+    for length, a, z, first, offset in places:
+        for i in range(z - a):
+            bins[first + i].append((offset, length))
+    assert {n: sum(z - a for m, a, z, *_ in places if m == n) for n in counts} == counts
+    assert sorted(bins) == list(range(len(bins)))
+    full = {"tokens": 0, "docs": 0, "cost": 0}
     for placed in bins.values():
-        assert len(placed) <= 5 and sum(x[1] for x in placed) <= 64
-        ends = sorted((o, o + n) for o, n in placed)
-        assert all(x[1] <= y[0] for x, y in zip(ends, ends[1:], strict=False))
+        placed.sort()
+        assert placed[0][0] == 0 and all(x[0] + x[1] == y[0] for x, y in zip(placed, placed[1:], strict=False))
+        used = {"tokens": sum(n for _, n in placed), "docs": len(placed), "cost": sum(n * n for _, n in placed)}
+        least = min(counts)
+        assert used["tokens"] <= 64 and used["docs"] <= max_docs and used["cost"] <= max_cost
+        full["tokens"] += used["tokens"] + least > 64
+        full["docs"] += used["docs"] == max_docs
+        full["cost"] += used["cost"] + least * least > max_cost
+    assert full[binding]  # it closes bins, and bounds their number from below
+    bound = {"tokens": sum(n * c for n, c in counts.items()) / 64, "docs": sum(counts.values()) / max_docs, "cost": sum(n * n * c for n, c in counts.items()) / max_cost}
+    assert max(bound, key=bound.get) == binding and len(bins) <= 1.25 * max(bound.values()) + 1
+
+
+def test_vector_rules_cost_no_sequence_on_the_corpus(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    lengths = {r["length"]: r["n"] for r in packing.pieces(docs, vocabulary_path()).groupBy("length").agg(F.count("*").alias("n")).collect()}
+    count = lambda places: max(first + z - a for _, a, z, first, _ in places)
+    tokens_only = count(packing.best_fit(lengths, max_docs=1024, weights=(1.0, 0.0, 0.0)))
+    bound = -(-sum(n * c for n, c in lengths.items()) // 1024)
+    assert bound <= count(packing.best_fit(lengths)) <= tokens_only
+    assert tokens_only <= bound + 3
 
 
 def test_word_pieces_by_greedy_search(spark, docs, texts):
