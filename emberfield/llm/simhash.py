@@ -4,9 +4,11 @@ A fingerprint has a bit set where over half of the text's shingle hashes have it
 word shingles in lower case; repeats count).  Fingerprints with at most ``distance`` differing bits
 share at least 8 - ``distance`` of their 8 bytes at the same positions.  For the usual distance of 4
 these are 4 of 8, and among any 4 positions one of 20 fixed position triples is contained, so the
-index posts each distinct fingerprint under its 20 byte triples.  Within a posting list the shared
-positional bytes of each pair are tallied, pairs below the guaranteed minimum are dropped, and the
-rest are verified bit by bit.  Lists longer than ``list_rows`` are dealt out as pairs of blocks.
+index posts each distinct fingerprint under its 20 byte triples.  A posting list holds a triple, so
+its pairs share three positional bytes; within the list the equal bytes of each pair are tallied over
+all positions.  Pairs below the guaranteed minimum are dropped by their count alone; only the rest
+are verified bit by bit.  Lists longer than
+``list_rows`` are dealt out as pairs of blocks.
 A list yields a spanning forest of its verified links, never all pairs.
 
 Defined results: a text without words (or null) has fingerprint zero and is linked like any other;
@@ -80,6 +82,27 @@ def fingerprints(docs: DataFrame, n: int = 4) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
+def _bytes(fp: np.ndarray, positions: int = 8) -> np.ndarray:
+    return np.ascontiguousarray(fp).view(np.uint8).reshape(-1, positions)
+
+
+def _tallies(left: np.ndarray, right: np.ndarray, shared: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of two sets of fingerprints that share at least so many positional bytes.
+
+    A pair counts one for every position at which both are posted under the same byte.
+    """
+    a, b = _bytes(left), _bytes(right)
+    tally = np.zeros((len(a), len(b)), np.uint8)
+    for x, y in zip(a.T.copy(), b.T.copy(), strict=True):
+        tally += x[:, None] == y[None, :]
+    return np.nonzero(tally >= shared)
+
+
+def _paired(left: np.ndarray, right: np.ndarray, shared: int) -> np.ndarray:
+    """The same for pairs that stand side by side: which of them share so many positional bytes."""
+    return np.count_nonzero(_bytes(left) == _bytes(right), axis=1) >= shared
+
+
 def _forest(fp: np.ndarray, shared: int, distance: int, block: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Verified links of one posting list: each member to a smaller-placed one, no more than its members."""
     n = len(fp)
@@ -88,12 +111,12 @@ def _forest(fp: np.ndarray, shared: int, distance: int, block: int = 2048) -> It
     for lo in range(0, n, block):
         left = fp[lo : lo + block]
         for at in range(lo, n, block):
-            x = left[:, None] ^ fp[None, at : at + block]
-            tally = sum(((x >> np.uint64(8 * p)) & np.uint64(255)) == 0 for p in range(8))
-            i, j = np.nonzero((tally >= shared) & (np.bitwise_count(x) <= distance))
+            i, j = _tallies(left, fp[at : at + block], shared)
             i, j = i + lo, j + at
             keep = i < j
             i, j = i[keep], j[keep]
+            near = np.bitwise_count(fp[i] ^ fp[j]) <= distance
+            i, j = i[near], j[near]
             while len(i):
                 a, b = label[i], label[j]
                 open_ = a != b
@@ -148,11 +171,10 @@ def links(fps: DataFrame, distance: int = 4, list_rows: int = 4096) -> DataFrame
             us, vs = [], []
             # Lists of two, by far the most, in one go.
             two = starts[:-1][size == 2]
-            x = fp[two] ^ fp[two + 1]
-            tally = sum(((x >> np.uint64(8 * p)) & np.uint64(255)) == 0 for p in range(8))
-            hit = (tally >= shared) & (np.bitwise_count(x) <= distance)
-            us.append(fp[two][hit])
-            vs.append(fp[two + 1][hit])
+            two = two[_paired(fp[two], fp[two + 1], shared)]
+            two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= distance]
+            us.append(fp[two])
+            vs.append(fp[two + 1])
             for k in np.flatnonzero(size > 2):
                 own = fp[starts[k] : starts[k + 1]]
                 for i, j in _forest(own, shared, distance):
