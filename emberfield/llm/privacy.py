@@ -56,28 +56,97 @@ ENDINGS = ("com", "org", "net", "edu", "gov", "info", "io", "co", "de", "fr", "e
 LABELERS = ("strict", "shape", "cue", "border", "ending")
 
 
+SPANS = "array<struct<start:int,end:int,match:string>>"
+
+
+def _walked(n: Column, state: Column, step, kind: str, block: int = 256) -> Column:
+    """What ``step(state, i) -> (state, wanted or None, element)`` gives for i = 0 ... n - 1, in an array of ``kind``.
+
+    Elements are gathered in blocks, as every addition to an array copies it.
+    """
+
+    def one(acc: Column, i: Column) -> Column:
+        moved, wanted, element = step(acc["state"], i)
+        out = F.array_append(acc["out"], element)
+        return F.struct(moved.alias("state"), (out if wanted is None else F.when(wanted, out).otherwise(acc["out"])).alias("out"))
+
+    def many(acc: Column, g: Column) -> Column:
+        start = F.struct(acc["state"].alias("state"), F.array().cast(kind).alias("out"))
+        done = F.aggregate(F.sequence(g * block, F.least((g + 1) * block, n) - 1), start, one)
+        # One-element array to name the block's result.
+        joined = F.transform(
+            F.array(done), lambda r: F.struct(r["state"].alias("state"), F.array_append(acc["out"], r["out"]).alias("out"))
+        )
+        return F.get(joined, 0)
+
+    blocks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int"))).otherwise(F.array().cast("array<int>"))
+    start = F.struct(state.alias("state"), F.array().cast(f"array<{kind}>").alias("out"))
+    return F.flatten(F.aggregate(blocks, start, many)["out"])
+
+
 def _found(text: Column, pattern: str) -> Column:
     """All matches, left to right, as array of (start, end, match): pieces between them give the places."""
     parts = F.struct(F.split(text, pattern).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
 
     def placed(s: Column) -> Column:
-        empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
-
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(s["p"], i))
+        def step(at: Column, i: Column) -> tuple:
+            start = at + F.length(F.get(s["p"], i))
             end = start + F.length(F.get(s["m"], i))
-            span = F.struct(start.alias("start"), end.alias("end"), F.get(s["m"], i).alias("match"))
-            return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
+            return end, None, F.struct(start.alias("start"), end.alias("end"), F.get(s["m"], i).alias("match"))
 
-        n = F.size(s["m"])
-        steps = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(steps, empty, step)["out"]
+        return _walked(F.size(s["m"]), F.lit(0), step, SPANS)
 
     return F.get(F.transform(F.array(parts), placed), 0)
 
 
+CHUNK = 1000
+
+
+def _chunks(text: Column, wanted: Column) -> Column:
+    """The text in chunks of so many characters, where they are wanted."""
+    return F.when(wanted, F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % CHUNK), F.lit(0)))
+
+
+def _part(chunks: Column, at: Column, n: Column) -> Column:
+    """The n characters from a place on, without a walk from the text's beginning."""
+    first = F.floor(at / CHUNK).cast("int")
+    last = F.floor((at + F.greatest(n, F.lit(1)) - 1) / CHUNK).cast("int")
+    joined = F.array_join(F.slice(chunks, first + 1, last - first + 1), "")
+    return F.substring(joined, at - first * CHUNK + 1, n)
+
+
 def _only(holds: Column, spans: Column) -> Column:
-    return F.when(holds, spans).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
+    return F.when(holds, spans).otherwise(F.array().cast(SPANS))
+
+
+def _free(base: Column, spans: Column) -> Column:
+    """The spans that overlap no base span: one walk from the left, one from the right, over both by start."""
+    kind = "array<struct<start:int,own:int,k:int,end:int,match:string>>"
+
+    def tagged(x: Column, own: int) -> Column:
+        return F.transform(
+            x, lambda s: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["k"].alias("k"), s["end"].alias("end"), s["match"].alias("match"))
+        )
+
+    def walk(x: Column, mark: Column, moved, fits) -> Column:
+        # ``mark`` is what base spans met so far reach; spans within that reach are left out.
+        def step(m: Column, i: Column, own: Column) -> tuple:
+            s = F.get(own, i)
+            return F.when(s["own"] == 0, moved(m, s)).otherwise(m), (s["own"] == 1) & fits(m, s), s
+
+        return F.get(F.transform(F.array(x), lambda own: _walked(F.size(own), mark, lambda m, i: step(m, i, own), kind)), 0)
+
+    walls = tagged(base, 0)
+    left = walk(
+        F.sort_array(F.concat(walls, tagged(spans, 1))), F.lit(0), lambda m, s: F.greatest(m, s["end"]), lambda m, s: m <= s["start"]
+    )
+    # A wall that starts within a span stands right of its start.
+    right = walk(
+        F.reverse(F.sort_array(F.concat(walls, left))), F.lit((1 << 31) - 1), lambda m, s: s["start"], lambda m, s: s["end"] <= m
+    )
+    return F.transform(
+        F.reverse(right), lambda s: F.struct(s["start"].alias("start"), s["k"].alias("k"), s["end"].alias("end"), s["match"].alias("match"))
+    )
 
 
 def _digits(match: Column) -> Column:
@@ -115,11 +184,11 @@ def find(docs: DataFrame, *more: str) -> DataFrame:
         _only(F.col("digit") & text.rlike(r"[0-9](?:[\x20().-]{0,2}[0-9]){6}"), _found(text, NUMBER)).alias("numbers"),
         _only(F.col("digit") & text.rlike(CARD_LIKE), _found(text, CARD_LIKE)).alias("cards"),
     )
-    free = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    cards = F.filter("cards", free)
-    phones = F.filter("numbers", lambda s: F.length(_digits(s["match"])).between(7, 12) & free(s))
-    loose = F.concat(_named(F.filter("spelt", free), 0), _named(cards, 2), _named(phones, 3))
+    numbers = F.filter("numbers", lambda s: F.length(_digits(s["match"])).between(7, 12))
+    candidates = F.concat(_named(F.col("spelt"), 0), _named(F.col("cards"), 2), _named(numbers, 3))
+    loose = F.when(F.size("base") > 0, _free(F.col("base"), candidates)).otherwise(candidates)
     df = df.select("doc_id", *more, "text", "base", F.sort_array(loose).alias("loose"))
+    df = df.withColumn("chunks", _chunks(F.col("text"), F.size("base") + F.size("loose") > 0))
     return df.select(
         "doc_id", *more, "text",
         F.transform("base", lambda s: _voted(s, True)).alias("base"),
@@ -133,9 +202,9 @@ def _by_kind(k: Column, values: list[Column]) -> Column:
 
 def _voted(s: Column, strict: bool) -> Column:
     """A span with the votes of the labelers: 1 yes, 0 no, -1 none."""
-    text, start, end, k, match = F.col("text"), s["start"], s["end"], s["k"], s["match"]
-    before = F.lower(F.substring(text, F.greatest(start - 31, F.lit(1)), F.least(start, F.lit(32))))
-    after = F.substring(text, end + 1, F.lit(1))
+    chunks, start, end, k, match = F.col("chunks"), s["start"], s["end"], s["k"], s["match"]
+    before = F.lower(_part(chunks, F.greatest(start - 32, F.lit(0)), F.least(start, F.lit(32))))
+    after = _part(chunks, end, F.lit(1))
     no, yes, none = F.lit(0), F.lit(1), F.lit(-1)
     digits = _digits(match)
     dated = digits.rlike("^(?:19|20)[0-9]{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12][0-9]|3[01])$")
@@ -261,22 +330,21 @@ def mask(docs: DataFrame) -> DataFrame:
     """Documents with every span replaced by its kind in brackets; other columns stay."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in others)).alias("_rest"))
-    w = train(vote_counts(materialize(find(docs).select("base", "loose"), "votes")))
-    marked = find(packed, "_rest").withColumn("all", F.sort_array(F.concat(_plain(F.col("base")), _plain(_accepted(w)))))
+    found = materialize(find(packed, "_rest"), "spans")
+    w = train(vote_counts(found))
+    marked = found.withColumn("all", F.sort_array(F.concat(_plain(F.col("base")), _plain(_accepted(w)))))
     kinds = F.array(*map(F.lit, KINDS))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        put = F.concat(acc["out"], gap, F.lit("["), F.upper(F.get(kinds, s["k"])), F.lit("]"))
-        inside = s["start"] < acc["at"]
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(put).alias("out")
-        )
+    def step(at: Column, i: Column, own: Column) -> tuple:
+        s = F.get(own["all"], i)
+        gap = F.when(s["start"] > at, _part(own["chunks"], at, s["start"] - at)).otherwise(F.lit(""))
+        return F.greatest(at, s["end"]), s["start"] >= at, F.concat(gap, F.lit("["), F.upper(F.get(kinds, s["k"])), F.lit("]"))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate(
-        "all", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    )
+    # One-element array to name spans and chunks, lest they are made anew for every span.
+    named = F.array(F.struct("all", _chunks(F.col("text"), F.size("all") > 0).alias("chunks")))
+    put = F.get(F.transform(named, lambda own: _walked(F.size(own["all"]), F.lit(0), lambda at, i: step(at, i, own), "array<string>")), 0)
+    behind = F.substring(F.col("text"), F.array_max(F.transform("all", lambda s: s["end"])) + 1, F.length("text"))
+    masked = F.concat(F.array_join(put, ""), behind)
     text = F.when(F.size("all") > 0, masked).otherwise(F.col("text"))
     own = {"doc_id": F.col("doc_id"), "text": text.alias("text")}
     return marked.select(*(own.get(c, F.col("_rest").getField(c).alias(c)) for c in docs.columns))

@@ -592,3 +592,24 @@ def test_pipeline_near_duplicates_by_similarity(spark, tmp_path, list_rows):
     pipeline = pytest.importorskip("corpus_pipeline")
     if list_rows == 2048:
         assert {r["doc_id"] for r in dict(pipeline.STAGES)["near_duplicates"](spark, df, str(tmp_path)).collect()} == set(label)
+
+
+def test_personal_data_of_a_text_full_of_it(spark):
+    """Thousands of spans in one text, more than a block of the folds holds, and loose ones beside base ones."""
+    n = 1500
+    text = "".join(f"user{i}@host{i}.com and 10.2.{i % 200}.{i % 250} or call 555-123-{1000 + i} x\u00e9 " for i in range(n))
+    df = spark.createDataFrame([(1, text), (None, "a@b.com"), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in privacy.personal_data(df).collect()}
+    assert (got[1]["n_email"], got[1]["n_ip"], got[1]["n_card"], got[1]["n_phone"]) == (n, n, 0, 0)
+    assert got[None]["n_email"] == 1 and got[2]["spans"] == ""
+    spans = [x.split(":") for x in got[1]["spans"].split(",")]
+    for kind, a, z in spans:
+        found = text[int(a) : int(z)]
+        assert re.fullmatch({"email": r"user\d+@host\d+\.com", "ip": r"10\.2\.\d+\.\d+", "phone": r"555-123-\d{4}"}[kind], found)
+    masked = {r["doc_id"]: r["text"] for r in privacy.mask(df).collect()}
+    want, at = [], 0
+    for kind, a, z in sorted(((k, int(a), int(z)) for k, a, z in spans), key=lambda x: x[1]):
+        want += [text[at:a], f"[{kind.upper()}]"]
+        at = z
+    assert masked[1] == "".join(want) + text[at:]
+    assert masked[None] == "[EMAIL]"
