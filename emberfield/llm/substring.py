@@ -26,7 +26,8 @@ Word and window hashes have 64 bits; words within a shard are told apart by 32 o
 anchor's 64.
 
 Defined results: a null text has no words; a document shorter than the window keeps all its words;
-rows with the same doc_id and text count as one place; rows without doc_id are kept whole and take no
+rows with the same doc_id and text count as one place; texts that share a doc_id are judged one by one,
+in the order of a hash of the text (which also tells their rows apart); rows without doc_id are kept whole and take no
 part; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -38,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialize
@@ -196,31 +197,32 @@ def repeated_in_shard(segments: list[np.ndarray], window: int) -> tuple[np.ndarr
 
 
 def _anchor_counts(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(doc_id, anchor): one row per stretch of windows that share an anchor."""
+    """(doc_id, part, anchor): one row per stretch of windows that share an anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, found = [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            ids, parts, found = [], [], []
+            for doc, part, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 h = _word_hashes((text or "").encode().split())
                 if len(h) >= window:
                     runs, at = _anchors(h, window, anchor)
                     own = runs[at[_stretches(at)[0]]]
                     ids.append(np.full(len(own), doc, np.int64))
+                    parts.append(np.full(len(own), part, np.int64))
                     found.append(own.view(np.int64))
             empty = np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(ids or [empty])), pa.array(np.concatenate(found or [empty]))], ["doc_id", "anchor"]
-            )
+            columns = [pa.array(np.concatenate(c or [empty])) for c in (ids, parts, found)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "part", "anchor"])
 
-    return docs.mapInArrow(run, "doc_id long, anchor long")
+    return docs.select("doc_id", "part", "text").mapInArrow(run, "doc_id long, part long, anchor long")
 
 
-PLACES = "hot boolean, key long, doc_id long, start int, words binary"
+PLACES = "hot boolean, key long, doc_id long, part long, start int, words binary"
+ROW = ["doc_id", "part"]
 
 
 def _places(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """Segments of repeated anchors; docs has doc_id, text, cold and hot.
+    """Segments of repeated anchors; docs has doc_id, part, text, cold and hot.
 
     A cold segment is keyed by its anchor and holds its word codes; a hot one is keyed by its content
     and holds its window hashes.
@@ -228,21 +230,22 @@ def _places(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hot_, key, doc_, start, words = [], [], [], [], []
-            for i, (doc, text) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
+            hot_, key, doc_, part_, start, words = [], [], [], [], [], []
+            for i, (doc, part, text) in enumerate(zip(*(c.to_pylist() for c in b.columns[:3]), strict=True)):
                 h = _word_hashes((text or "").encode().split())
                 if len(h) < window:
                     continue
                 runs, at = _anchors(h, window, anchor)
                 first, last = _stretches(at)
                 own = runs[at[first]]
-                sets = [np.array(c[i].as_py() or [], np.int64).view(np.uint64) for c in (b.column(2), b.column(3))]
+                sets = [np.array(c[i].as_py() or [], np.int64).view(np.uint64) for c in (b.column(3), b.column(4))]
                 cold, hot = (np.isin(own, s) if len(s) else np.zeros(len(own), bool) for s in sets)
                 codes = (h >> np.uint64(32)).astype("<u4")
                 for k in np.flatnonzero(cold):
                     hot_.append(False)
                     key.append(int(own[k].view(np.int64)))
                     doc_.append(doc)
+                    part_.append(part)
                     start.append(int(first[k]))
                     words.append(codes[first[k] : last[k] + window].tobytes())
                 if hot.any():
@@ -252,23 +255,25 @@ def _places(docs: DataFrame, window: int, anchor: int) -> DataFrame:
                         hot_.append(True)
                         key.append(xxhash.xxh64_intdigest(own_windows) - (1 << 63))
                         doc_.append(doc)
+                        part_.append(part)
                         start.append(int(first[k]))
                         words.append(own_windows)
-            types = (pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            types = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip((hot_, key, doc_, start, words), types, strict=True)],
-                ["hot", "key", "doc_id", "start", "words"],
+                [pa.array(c, t) for c, t in zip((hot_, key, doc_, part_, start, words), types, strict=True)],
+                ["hot", "key", "doc_id", "part", "start", "words"],
             )
 
-    return docs.mapInArrow(run, PLACES)
+    return docs.select("doc_id", "part", "text", "cold", "hot").mapInArrow(run, PLACES)
 
 
 def _by_index(segments: DataFrame, window: int, shard_words: int) -> DataFrame:
-    """(doc_id, start, end) of repeated word intervals, by the FM-indexes of all shards."""
+    """(doc_id, part, start, end) of repeated word intervals, by the FM-indexes of all shards."""
+    names = ["doc_id", "part", "start", "end"]
 
-    def search(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: r[:2])
-        seg, at = repeated_in_shard([np.frombuffer(r[2], "<u4") for r in rows], window)
+    def search(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        rows.sort(key=lambda r: r[:3])
+        seg, at = repeated_in_shard([np.frombuffer(r[3], "<u4") for r in rows], window)
         order = np.lexsort([at, seg])
         seg, at = seg[order], at[order]
         # Neighbouring windows of a segment make one interval.
@@ -277,25 +282,25 @@ def _by_index(segments: DataFrame, window: int, shard_words: int) -> DataFrame:
             new[1:] = (seg[1:] != seg[:-1]) | (at[1:] != at[:-1] + 1)
         first = np.flatnonzero(new)
         last = np.concatenate([first[1:], [len(seg)]])[: len(first)] - 1
-        doc = np.array([r[0] for r in rows], np.int64)[seg[first]]
-        base = np.array([r[1] for r in rows], np.int64)[seg[first]]
+        doc, part, base = (np.array([r[k] for r in rows], np.int64)[seg[first]] for k in range(3))
         return pa.RecordBatch.from_arrays(
-            [pa.array(doc), pa.array(base + at[first]), pa.array(base + at[last] + window)], ["doc_id", "start", "end"]
+            [pa.array(doc), pa.array(part), pa.array(base + at[first]), pa.array(base + at[last] + window)], names
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard: list[tuple[int, int, bytes]] = []
-        group: list[tuple[int, int, bytes]] = []  # segments of one anchor
+        shard: list[tuple[int, int, int, bytes]] = []
+        group: list[tuple[int, int, int, bytes]] = []  # segments of one anchor
         size, previous = 0, None
-        later: list[tuple[int, int, int]] = []
+        later: list[tuple[int, int, int, int]] = []
 
         def close_group() -> int:
             """Later copies of a segment are repeats as a whole; different segments of an anchor go to the shard."""
-            group.sort(key=lambda r: r[:2])
-            first: dict[bytes, tuple[int, int, bytes]] = {}
-            for doc, start, codes in group:
-                if (place := first.setdefault(codes, (doc, start, codes))) and place[:2] < (doc, start):
-                    later.append((doc, start, start + len(codes) // 4))
+            group.sort(key=lambda r: r[:3])
+            first: dict[bytes, tuple[int, int, int, bytes]] = {}
+            for row in group:
+                *place, codes = row
+                if first.setdefault(codes, row)[:3] < row[:3]:
+                    later.append((*place, row[2] + len(codes) // 4))
             group.clear()
             if len(first) < 2:
                 return 0
@@ -303,8 +308,8 @@ def _by_index(segments: DataFrame, window: int, shard_words: int) -> DataFrame:
             return sum(map(len, first)) // 4
 
         def copies() -> pa.RecordBatch:
-            columns = zip(*later, strict=True) if later else [[]] * 3
-            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "end"])
+            columns = zip(*later, strict=True) if later else [[]] * 4
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
             later.clear()
             return batch
 
@@ -324,16 +329,19 @@ def _by_index(segments: DataFrame, window: int, shard_words: int) -> DataFrame:
             yield search(shard)
         yield copies()
 
-    dealt = segments.select("key", "doc_id", "start", "words").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "doc_id long, start long, end long")
+    dealt = segments.select("key", *ROW, "start", "words").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "doc_id long, part long, start long, end long")
 
 
 def _later(rows: DataFrame, *carried: str) -> tuple[DataFrame, DataFrame]:
-    """(earliest place of each key with the carried columns, rows at later places)."""
-    first = rows.groupBy("key").agg(F.min(F.struct("doc_id", "start", *carried)).alias("first"), F.count("*").alias("n"))
-    twice = first.filter("n > 1").select("key", F.struct("first.doc_id", "first.start").alias("first"))
-    later = rows.join(twice.hint("merge"), "key").filter(F.struct("doc_id", "start") > F.col("first"))
-    return first.select("key", "first.*"), later
+    """(earliest place of each key with the carried columns, rows at later places).
+
+    Later rows are those that are not the first of their key, found by their own place, so that a key
+    with very many rows is spread over all tasks.
+    """
+    place = [*ROW, "start"]
+    first = rows.groupBy("key").agg(F.min(F.struct(*place, *carried)).alias("first")).select("key", "first.*")
+    return first, rows.join(first.select("key", *place).hint("merge"), [*place, "key"], "left_anti")
 
 
 def _by_minimum(segments: DataFrame, window: int) -> DataFrame:
@@ -341,48 +349,49 @@ def _by_minimum(segments: DataFrame, window: int) -> DataFrame:
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [np.frombuffer(w, "<i8") for w in b.column(2).to_pylist()]
+            own = [np.frombuffer(w, "<i8") for w in b.column(3).to_pylist()]
             n = np.array([len(w) for w in own], np.int64)
-            doc = np.repeat(b.column(0).to_numpy(), n)
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(b.column(1).to_numpy(), n)
+            doc, part = (np.repeat(b.column(k).to_numpy(), n) for k in range(2))
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(b.column(2).to_numpy(), n)
             key = np.concatenate([*own, np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(at)], ["key", "doc_id", "start"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, doc, part, at)], ["key", *ROW, "start"])
 
-    first, copies = _later(segments.select("key", "doc_id", "start", "words"), "words")
-    single = first.select("doc_id", F.col("start").cast("long"), "words").mapInArrow(windows, "key long, doc_id long, start long")
+    first, copies = _later(segments.select("key", *ROW, "start", "words"), "words")
+    single = first.select(*ROW, F.col("start").cast("long"), "words").mapInArrow(windows, "key long, doc_id long, part long, start long")
     _, again = _later(single)
     end = F.col("start") + F.octet_length("words") / 8 + (window - 1)
-    return copies.select("doc_id", F.col("start").cast("long").alias("start"), end.cast("long").alias("end")).unionByName(
-        again.select("doc_id", "start", (F.col("start") + window).alias("end"))
+    return copies.select(*ROW, F.col("start").cast("long").alias("start"), end.cast("long").alias("end")).unionByName(
+        again.select(*ROW, "start", (F.col("start") + window).alias("end"))
     )
 
 
-def _text_key() -> list[Column]:
-    return [F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(11), "text").alias("h2")]
+def with_part(docs: DataFrame) -> DataFrame:
+    """Adds ``part``, a hash of the text: doc_id and part tell rows apart, and order rows of one id."""
+    return docs.withColumn("part", F.xxhash64(F.coalesce("text", F.lit(""))))
 
 
 def intervals(docs: DataFrame, window: int = 20, anchor: int = 6, hot: int = 2000, shard_words: int = 400_000) -> DataFrame:
-    """Per document: ``intervals`` (array of start, end in words), and ``whole`` if its text is a later copy."""
+    """Per row (doc_id, part): ``intervals`` (array of start, end in words), and ``whole`` if its text is a later copy."""
     bounded_batches(docs.sparkSession)
-    docs = docs.filter("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    keyed = docs.select("doc_id", *_text_key())
-    firsts = keyed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    firsts = firsts.filter("n > 1").drop("n")
-    copies = keyed.join(firsts.hint("merge"), ["h1", "h2"]).filter("doc_id <> first").select("doc_id").distinct()
+    docs = docs.filter("doc_id is not null").select(*ROW, F.coalesce("text", F.lit("")).alias("text"))
+    keyed = docs.select(*ROW, F.xxhash64(F.lit(11), "text").alias("again"))
+    # The first of each text; any other row with an equal text has another id and is a later copy.
+    firsts = keyed.groupBy("part", "again").agg(F.min("doc_id").alias("doc_id"))
+    copies = keyed.join(firsts.hint("merge"), ["doc_id", "part", "again"], "left_anti").select(*ROW).distinct()
     copies = materialize(copies.withColumn("whole", F.lit(True)), "copies")
 
     placed = _anchor_counts(docs, window, anchor)
     counts = placed.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
     counts = materialize(counts.select("anchor", (F.col("n") > hot).alias("is_hot")), "anchors")
-    flagged = placed.join(counts.hint("merge"), "anchor").groupBy("doc_id").agg(
+    flagged = placed.join(counts.hint("merge"), "anchor").groupBy(*ROW).agg(
         F.collect_set(F.when(~F.col("is_hot"), F.col("anchor"))).alias("cold"),
         F.collect_set(F.when(F.col("is_hot"), F.col("anchor"))).alias("hot"),
     )
-    todo = flagged.join(copies.hint("merge"), "doc_id", "left_anti")
-    places = materialize(_places(docs.join(todo.hint("merge"), "doc_id"), window, anchor), "places")
+    todo = flagged.join(copies.hint("merge"), ROW, "left_anti")
+    places = materialize(_places(docs.join(todo.hint("merge"), ROW), window, anchor), "places")
     found = _by_index(places.filter("not hot"), window, shard_words).unionByName(_by_minimum(places.filter("hot"), window))
-    merged = found.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("intervals"))
-    return merged.join(copies.hint("merge"), "doc_id", "full_outer")
+    merged = found.groupBy(*ROW).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("intervals"))
+    return merged.join(copies.hint("merge"), ROW, "full_outer")
 
 
 def _kept(words: list[bytes], found: list[dict] | None, whole: bool | None, window: int) -> list[bytes]:
@@ -403,7 +412,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, carry: str | None = None,
     space.  Each row gives one row, also where ids repeat; the column ``carry`` stays as it was.
     """
     carried = [carry] if carry else []
-    found = intervals(docs, window, **how)
+    own = with_part(docs.select("doc_id", "text", *carried))
+    found = intervals(own, window, **how)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -421,7 +431,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, carry: str | None = None,
                 ["doc_id", "n_words", "n_removed", "kept_sha256", "text", *carried],
             )
 
-    rows = docs.select("doc_id", "text", *carried).join(found.hint("merge"), "doc_id", "left")
+    rows = own.join(found.hint("merge"), ROW, "left")
     kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
     return rows.select("doc_id", "text", "intervals", "whole", *carried).mapInArrow(
         run, f"doc_id long, n_words long, n_removed long, kept_sha256 string, text string{kinds}"

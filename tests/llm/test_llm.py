@@ -594,6 +594,25 @@ def test_pipeline_near_duplicates_by_similarity(spark, tmp_path, list_rows):
         assert {r["doc_id"] for r in dict(pipeline.STAGES)["near_duplicates"](spark, df, str(tmp_path)).collect()} == set(label)
 
 
+@pytest.mark.parametrize("how", [{}, {"hot": 1}])
+def test_repeats_with_shared_and_missing_ids(spark, how):
+    rng = random.Random(11)
+    a, b, c = (passage(rng, 40, 4000) for _ in range(3))
+    rows = [(0, a), (1, a), (1, b), (2, c), (2, c), (3, a + " " + c), (None, a), (4, None), (None, None)]
+    got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), **how).collect()
+    assert len(got) == len(rows)
+    removed = defaultdict(list)
+    for r in got:
+        removed[r["doc_id"]].append((r["n_words"], r["n_removed"]))
+    assert removed[0] == [(40, 0)] and sorted(removed[1]) == [(40, 0), (40, 40)]
+    assert removed[2] == [(40, 0)] * 2 and removed[4] == [(0, 0)]
+    assert removed[3] == [(80, 80)] and sorted(removed[None]) == [(0, 0), (40, 0)]
+    assert {r["text"] for r in got if r["doc_id"] == 1} == {b, ""}
+    shared = " ".join([passage(rng, 25, 4000), a])  # two texts of one id repeat one passage: the later part loses it
+    got = substring.remove_repeats(spark.createDataFrame([(1, shared), (1, a + " " + b)], "doc_id long, text string"), **how).collect()
+    assert sorted(r["n_removed"] for r in got) == [0, 40]
+
+
 def test_personal_data_of_a_text_full_of_it(spark):
     """Thousands of spans in one text, more than a block of the folds holds, and loose ones beside base ones."""
     n = 1500
