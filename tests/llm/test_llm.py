@@ -613,6 +613,59 @@ def test_repeats_with_shared_and_missing_ids(spark, how):
     assert sorted(r["n_removed"] for r in got) == [0, 40]
 
 
+def brute_mcd(x, coverage, starts=60, seed=0):
+    """Best of many random starts, each with exact concentration steps on the nearest share of rows."""
+    rng = np.random.default_rng(seed)
+    ridge = np.diag(np.square(quality.RIDGE))
+    h, best = int(np.ceil(coverage * len(x))), None
+    for _ in range(starts):
+        own = rng.choice(len(x), 3 * quality.DIMS, replace=False)
+        for _ in range(50):
+            mean, cov = x[own].mean(0), np.cov(x[own].T, bias=True) + ridge
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            after = np.argsort(d, kind="stable")[:h]
+            if set(after) == set(own):
+                break
+            own = after
+        det = np.linalg.slogdet(cov)[1]
+        if best is None or det < best[0]:
+            best = det, mean, cov, d
+    return best
+
+
+def test_estimates_match_a_search_over_many_subsets(spark):
+    rng = np.random.default_rng(8)
+    mix = rng.normal(size=(5, 5)) * 0.3 + np.eye(5)
+    good, bad = rng.normal(size=(900, 5)) @ mix, rng.normal(size=(180, 5)) * 0.4 + np.array([9, -7, 8, 6, -9])
+    x = np.concatenate([good, bad])
+    rows = [("g", *map(float, r)) for r in x]
+    base = spark.createDataFrame(rows, "grp string, x0 double, x1 double, x2 double, x3 double, x4 double")
+    got = quality.estimates(base).collect()[0]
+    _, mean, cov, d = brute_mcd(x, 0.75)
+    lower = np.zeros((5, 5))
+    for i in range(5):
+        for j in range(i + 1):
+            lower[i, j] = got[f"l{i}_{j}"]
+    assert np.allclose([got[f"m{i}"] for i in range(5)], mean, atol=0.12)
+    assert np.allclose(lower @ lower.T, cov, atol=0.15 * np.abs(cov).max())
+    z = np.linalg.solve(lower, (x - [got[f"m{i}"] for i in range(5)]).T)
+    far, want = (z**2).sum(0) * got["scale"], d * quality.CHI2_MEDIAN / np.median(d)
+    assert set(np.flatnonzero(far > 60)) == set(np.flatnonzero(want > 60)) == set(range(900, 1080))
+
+
+def test_small_sources_and_languages_are_judged_by_larger_ones(spark):
+    rng = random.Random(2)
+    plain = lambda: " ".join("w%d" % rng.randrange(3000) + "x" * rng.randrange(3) for _ in range(rng.randrange(60, 200)))
+    junk = lambda: " ".join("#$%&*<>|" * 6 for _ in range(70))
+    rows = [(i, plain(), "en", "big") for i in range(260)] + [(1000, junk(), "en", "tiny"), (1001, plain(), "en", "tiny")]
+    rows += [(1002, junk(), "xx", "rare"), (1003, plain(), "xx", "rare"), (1004, plain(), None, None), (None, plain(), "en", "big"), (7, None, "en", "big")]
+    got = defaultdict(list)
+    for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect():
+        got[r["doc_id"]].append(r["kept"])
+    assert got[1000] == got[1002] == [False] and got[1001] == got[1003] == got[1004] == got[None] == [True]
+    assert sorted(got[7]) == [False, True]
+
+
 def test_personal_data_of_a_text_full_of_it(spark):
     """Thousands of spans in one text, more than a block of the folds holds, and loose ones beside base ones."""
     n = 1500
