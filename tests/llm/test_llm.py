@@ -666,6 +666,46 @@ def test_small_sources_and_languages_are_judged_by_larger_ones(spark):
     assert sorted(got[7]) == [False, True]
 
 
+def test_the_index_meets_fewer_pairs_than_brute_force(spark):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    met = []
+    got = defaultdict(list)
+    for r in neighbours.search(df, "vec_id % 20 = 0", met=met).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    rows = df.collect()
+    x = {r["vec_id"]: np.array(r["embedding"], float) for r in rows}
+    ids, table = np.array(list(x)), np.stack(list(x.values()))
+    queries = [i for i in x if i % 20 == 0]
+    hit = 0
+    for q in queries:
+        s = table @ x[q]
+        order = [i for i in ids[np.lexsort([ids, -s])] if i != q][:20]
+        found = sorted(got[q])
+        assert [n for n, *_ in found] == list(range(1, 21))
+        assert all(abs(score - x[i] @ x[q]) < 1e-12 for _, i, score in found)
+        hit += len(set(order) & {i for _, i, _ in found})
+    assert hit / (20 * len(queries)) >= 0.9
+    assert 0 < met[0] < len(queries) * len(x)
+
+
+def test_equal_vectors_and_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(60, 8)).tolist()
+    hot = [1.0] + [0.0] * 7
+    rows = [(i, hot) for i in range(100, 400)] + [(i, v[i]) for i in range(60)] + [(5, v[5]), (None, hot), (500, [0.0] * 8), (501, [1.0])]
+    got = defaultdict(list)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for r in neighbours.search(df, "vec_id % 20 = 0", k=5).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    # A vector that most rows share: its nearest are its smallest ids, without the query.
+    for q in range(100, 400, 20):
+        assert sorted(got[q]) == [(n, i, 1.0) for n, i in enumerate([i for i in range(100, 107) if i != q][:5], 1)]
+    assert set(got) == {0, 20, 40, *range(100, 400, 20)}
+    for q in (0, 20, 40):
+        every = sorted(((-float(np.dot(v[q], x)), i) for i, x in [*enumerate(v), *((i, hot) for i in range(100, 400))] if i != q))[:5]
+        assert [i for _, i, _ in sorted(got[q])] == [i for _, i in every]
+
+
 def test_personal_data_of_a_text_full_of_it(spark):
     """Thousands of spans in one text, more than a block of the folds holds, and loose ones beside base ones."""
     n = 1500
