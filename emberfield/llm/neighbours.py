@@ -9,9 +9,9 @@ windows.  A query meets the window that holds its key and the neighbour window o
 every ordering and never beyond it.
 
 Windows hold vectors in bytes (one scale per vector).  The error of a product on them is bounded, so a
-window passes on every pair that may belong to the best ``k`` + 1 it holds; pairs below what the sample
-alone reaches are left out at once.  Merged over all windows, the pairs that may still belong to the
-best are scored exactly in double precision on the original vectors and ranked.
+window passes on every pair that may belong to the best ``k`` + 1 it holds.  An eighth of the orderings
+come first; what a query reaches in them is its lower bound in the others.  Merged over all windows,
+the pairs that may still belong to the best are scored exactly in double precision on the original vectors and ranked.
 
 ``share`` is the part of an ordering that a query meets.  Vectors without low-dimensional structure need
 windows in proportion to the table for a given recall; for others a smaller share will do.
@@ -116,8 +116,8 @@ def search(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` largest inner products found for each query row.
 
-    ``is_query`` is a condition on vec_id.  ``sample`` bounds the rows from which directions and lower
-    bounds are taken; every row is indexed.  A window has ``share`` / 2 of the classes, ``least`` at
+    ``is_query`` is a condition on vec_id.  ``sample`` bounds the rows from which directions are
+    taken; every row is indexed.  A window has ``share`` / 2 of the classes, ``least`` at
     least.  To ``met``, if given, the number of products computed in windows is added.
     """
     spark = vectors.sparkSession
@@ -150,33 +150,24 @@ def search(
         lows.append(low - shift)
         scales.append((1 << bits) / (1.5 * wide))
     bounded_batches(spark, 4000)
-    # Where the sample is a large part of the table, its best alone would leave a query fewer than k.
-    bounding = max(k + 1, -(-4 * (k + 1) * len(fitted) // total))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
             x = _block(b.column(1), width)
-            asked = b.column(2).to_numpy(zero_copy_only=False)
             scale = np.abs(x).max(1) / 127
             code = _packed(np.rint(x / scale[:, None]).astype(np.int8))
-            # What a query reaches among the sample bounds what it will find from below.
-            bound = np.full(len(x), -np.inf)
-            if len(fitted) > bounding and asked.any():
-                reached = np.partition(x[asked] @ fitted.T, -bounding, axis=1)[:, -bounding]
-                bound[asked] = reached - 1e-9 * np.abs(reached)
-            asking = [pa.array(asked), pa.array(bound)]
             for c in range(orderings):
                 cells = np.clip(((x - centre) @ planes[c] - lows[c]) * scales[c], 0, (1 << bits) - 1)
                 key = hilbert_keys(cells.astype(np.int64), bits)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(x), c, np.int32)), pa.array(key), b.column(0), pa.array(scale), code, *asking],
-                    ["ordering", "key", "cls", "scale", "code", "asked", "bound"],
+                    [pa.array(np.full(len(x), c, np.int32)), pa.array(key), b.column(0), pa.array(scale), code, b.column(2)],
+                    ["ordering", "key", "cls", "scale", "code", "asked"],
                 )
 
     keyed = classes.select("cls", "v", "asked").mapInArrow(
-        placed, "ordering int, key long, cls long, scale double, code binary, asked boolean, bound double"
+        placed, "ordering int, key long, cls long, scale double, code binary, asked boolean"
     )
     order = ["ordering", "key", "cls"]
     ranges = max(1, -(-total * orderings // range_rows))
@@ -197,8 +188,18 @@ def search(
     asked = ranked.filter("asked").withColumn("window", F.explode(F.array("window", beside)))
     asked = asked.filter(F.col("window").between(0, last_window))
     columns = ["ordering", "window", "asked", "cls", "scale", "code", "bound"]
-    groups = ranked.withColumn("asked", F.lit(False)).select(*columns).unionByName(asked.select(*columns))
-    groups = groups.repartition("ordering", "window").sortWithinPartitions("ordering", "window", "asked", "cls")
+
+    def grouped(some, bounds: DataFrame | None) -> DataFrame:
+        """Windows of some orderings: their classes, then the queries that meet them, with what these have reached."""
+        asking = asked.filter(some).select(*columns[:-1])
+        if bounds is None:
+            asking = asking.withColumn("bound", F.lit(None).cast("double"))
+        else:
+            asking = asking.join(bounds.hint("merge"), "cls", "left")
+        own = ranked.filter(some).withColumn("asked", F.lit(False)).withColumn("bound", F.lit(None).cast("double"))
+        both = own.select(*columns).unionByName(asking.select(*columns))
+        return both.repartition("ordering", "window").sortWithinPartitions("ordering", "window", "asked", "cls")
+
     slack = np.sqrt(width) / 2
 
     def pairs(group: np.ndarray, cls: np.ndarray, scale: np.ndarray, code: np.ndarray, bound: np.ndarray):
@@ -236,7 +237,7 @@ def search(
             )
 
         for b in batches:
-            c = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)] + [_unpacked(b.column(5), "i1", width), b.column(6).to_numpy()]
+            c = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)] + [_unpacked(b.column(5), "i1", width), b.column(6).fill_null(-np.inf).to_numpy()]
             c = c if held is None else [np.concatenate(x) for x in zip(held, c, strict=True)]
             if not len(c[0]):
                 continue
@@ -249,12 +250,23 @@ def search(
             yield found(held)
 
     shape = "query long, cls long, low double, high double, products long"
-    maybe = groups.mapInArrow(meet, shape)
-    merged = maybe.groupBy("query", "cls").agg(F.max("low").alias("low"), F.max("high").alias("high"), F.sum("products").alias("products"))
     of_query = Window.partitionBy("query")
-    merged = merged.withColumn("n", F.row_number().over(of_query.orderBy(F.desc("low"), "cls")))
-    merged = merged.withColumn("floor", F.max(F.when(F.col("n") == k + 1, F.col("low"))).over(of_query))
-    merged = materialize(merged.drop("n"), "pairs")
+
+    def with_floor(found: DataFrame) -> DataFrame:
+        """Pairs once each, and the query's k + 1-th lower bound: pairs whose upper bound is below it can't count."""
+        once = found.groupBy("query", "cls").agg(
+            F.max("low").alias("low"), F.max("high").alias("high"), F.sum("products").alias("products")
+        )
+        once = once.withColumn("n", F.row_number().over(of_query.orderBy(F.desc("low"), "cls")))
+        return once.withColumn("floor", F.max(F.when(F.col("n") == k + 1, F.col("low"))).over(of_query)).drop("n")
+
+    # A few orderings first; what a query reaches there bounds what it takes from the others.
+    early = F.col("ordering") < max(1, orderings // 8)
+    pairs_shape = ["query", "cls", "low", "high", "products"]
+    first = materialize(with_floor(grouped(early, None).mapInArrow(meet, shape)), "pairs")
+    bounds = first.groupBy(F.col("query").alias("cls")).agg(F.max("floor").alias("bound"))
+    later = grouped(~early, bounds).mapInArrow(meet, shape)
+    merged = materialize(with_floor(first.select(*pairs_shape).unionByName(later)), "pairs")
     if met is not None:
         met.append(merged.agg(F.sum("products")).first()[0] or 0)
     close = merged.filter("floor is null or high >= floor").select("query", "cls")

@@ -690,7 +690,7 @@ def test_the_index_meets_fewer_pairs_than_brute_force(spark):
 
 def test_equal_vectors_and_repeated_ids(spark):
     rng = np.random.default_rng(4)
-    v = rng.normal(size=(60, 8)).tolist()
+    v = (rng.normal(size=(60, 8)) * 0.1).tolist()
     hot = [1.0] + [0.0] * 7
     rows = [(i, hot) for i in range(100, 400)] + [(i, v[i]) for i in range(60)] + [(5, v[5]), (None, hot), (500, [0.0] * 8), (501, [1.0])]
     got = defaultdict(list)
