@@ -3,18 +3,21 @@
 Tokens are words with A-Z in lower case, then one end token per document.  Documents whose
 crc32(doc_id as text) mod 10 is 0 are held out; everything is learnt from the others.
 
-Counts.  Every task counts the words of its documents; one grouped sum gives the corpus counts.  To
-score, documents are dealt into blocks of bounded size by a hash of their id; each block gets the
-counts of its own words by a join, so no task ever needs the whole vocabulary.
+Counts.  Documents are read in blocks of bounded size where they lie; each becomes numbers of its block's
+own words, so texts are split once and never shuffled.  One grouped sum of the blocks' words gives the
+corpus counts, and a join gives each block the counts of its words, so no task needs the whole
+vocabulary.
 
 Model.  The most frequent ``words`` training words (a parameter, so the model's size is fixed), the end
 and one id for all other words are the classes' members: words are dealt into frequency classes and
 P(word) = P(class | state) P(word | class, state); a word outside is also weighed by its smoothed
 share among all words outside.  The recurrent layer is a gated recurrent unit in numpy.
 
-Training is truncated backpropagation through time with carried state.  A bounded sample of training
-documents (``sample`` of them) gives the common start; then every task trains from that start on all
-of its training documents, and the weights are averaged, weighted by tokens (salted, in two levels).
+Training is truncated backpropagation through time with carried state.  Documents are dealt to shards by
+a hash of id and content and sorted in each, so the result doesn't depend on the table's partitions.
+The beginning of the first shard (``start_tokens``) gives the common start.  Then every shard trains by
+itself from the present weights, which are averaged, weighted by tokens, after each of ``rounds``
+rounds; each shard has its turn in one of them, so all training documents are learnt from.
 
 Scoring runs each document from its first to its last token, window by window, with the state carried.
 
@@ -25,11 +28,11 @@ document at all, the model stays at its start; other columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,17 +43,6 @@ END = b"\n"  # can't be a word
 _END_ID, _OTHER_ID = 0, 1
 
 
-class _Ids(dict):
-    """Ids of words; another word has a fixed id."""
-
-    def __init__(self, ids: dict[bytes, int], other: int):
-        super().__init__(ids)
-        self.other = other
-
-    def __missing__(self, word: bytes) -> int:
-        return self.other
-
-
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_LOWER).split() + [END]
 
@@ -65,8 +57,9 @@ class Gru:
     def __init__(self, counts: np.ndarray, hidden: int = 16, seed: int = 3):
         """counts: training count of each id; they set the classes and the output biases."""
         n = len(counts)
-        freq = np.sqrt(counts + 1.0)  # classes of about equal summed root frequency
-        classes = max(1, round(np.sqrt(n)))
+        # Classes of about equal summed root frequency; this many keep classes and words of a class alike in cost.
+        freq = np.sqrt(counts + 1.0)
+        classes = max(1, round(2 * np.sqrt(n / max(1.0, np.log(n)))))
         order = np.argsort(-counts, kind="stable")
         at = np.minimum((np.cumsum(freq[order]) - freq[order]) / freq.sum() * classes, classes - 1).astype(int)
         self.place = np.empty(n, np.int64)  # id -> place in class order
@@ -79,15 +72,16 @@ class Gru:
         rng = np.random.default_rng(seed)
         small = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
         self.hidden = hidden
+        # The last column of wc and wo is the bias, for a last state that is always one.
         self.w = {
             "x": small(n, 3 * hidden),
             "u": (rng.normal(0, 1, (hidden, 3 * hidden)) / np.sqrt(hidden)).astype(np.float32) * np.float32(0.5),
             "b": np.concatenate([np.full(hidden, 1.0), np.zeros(2 * hidden)]).astype(np.float32),
-            "wc": small(hidden, len(per_class)),
-            "bc": np.log(per_class / per_class.sum()).astype(np.float32),
-            "wo": small(hidden, n),
-            "bo": np.log(c / per_class[at]).astype(np.float32),
+            "wc": small(len(per_class), hidden + 1),
+            "wo": small(n, hidden + 1),
         }
+        self.w["wc"][:, -1] = np.log(per_class / per_class.sum())
+        self.w["wo"][:, -1] = np.log(c / per_class[at])
 
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.w.values()])
@@ -100,8 +94,7 @@ class Gru:
 
     def inputs(self, places: np.ndarray) -> np.ndarray:
         """What input places (steps, lanes) add to the gates: (steps, 3 hidden, lanes), lanes last."""
-        table = self.w["x"] + self.w["b"]
-        return np.ascontiguousarray(table[places].transpose(0, 2, 1))
+        return np.ascontiguousarray((self.w["x"][places] + self.w["b"]).transpose(0, 2, 1))
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """One step for all lanes (columns): new state, and what the gradient needs."""
@@ -134,10 +127,9 @@ class Gru:
     def outputs(self, h: np.ndarray, place: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probability of each target place given its state; adds output gradients if asked."""
         n = self.hidden
-        # Biases are one more row of weights, for a last state that is always one.
-        wc, wo = (np.concatenate([self.w[k], self.w[b][None]]) for k, b in (("wc", "bc"), ("wo", "bo")))
+        wc, wo = self.w["wc"], self.w["wo"]
         # States are within -1 and 1, which bounds the logits.
-        held = max(np.abs(wc).sum(0).max(), np.abs(wo).sum(0).max()) < 60
+        held = max(np.abs(wc).sum(1).max(), np.abs(wo).sum(1).max()) < 60
         # Rows are put in class order once, so that each class works on a slice.
         order = np.argsort(place.astype(np.int16) if len(self.cls) < 1 << 15 else place, kind="stable")
         sorted_h = np.ones((len(h), n + 1), h.dtype)
@@ -145,15 +137,13 @@ class Gru:
         h, place = sorted_h, place[order]
         cls = self.cls[place]
         rows = np.arange(len(h))
-        e, total, logp = self._softmax(h @ wc, cls, held)
+        e, total, logp = self._softmax(h @ wc.T, cls, held)
         dh = None
         if grads is not None:
             e /= total[:, None]
             e[rows, cls] -= 1
-            g = h.T @ e
-            grads["wc"] += g[:n]
-            grads["bc"] += g[n]
-            dh = e @ self.w["wc"].T
+            grads["wc"] += e.T @ h
+            dh = e @ wc
         cut = np.searchsorted(place, self.bounds)
         for k in np.flatnonzero(np.diff(cut)):
             own = slice(cut[k], cut[k + 1])
@@ -161,18 +151,16 @@ class Gru:
             if b - a == 1:
                 continue  # the only word of its class
             hk, t = h[own], place[own] - a
-            e, total, lp = self._softmax(hk @ wo[:, a:b], t, held)
+            e, total, lp = self._softmax(hk @ wo[a:b].T, t, held)
             logp[own] += lp
             if grads is not None:
                 e /= total[:, None]
                 e[rows[: len(t)], t] -= 1
-                g = hk.T @ e
-                grads["wo"][:, a:b] += g[:n]
-                grads["bo"][a:b] += g[n]
-                dh[own] += e @ self.w["wo"][:, a:b].T
+                grads["wo"].append((a, b, e.T @ hk))
+                dh[own] += e @ wo[a:b]
         back = np.empty_like(order)
         back[order] = rows
-        return np.take(logp, back), None if dh is None else np.take(dh, back, axis=0)
+        return np.take(logp, back), None if dh is None else np.take(dh[:, :n], back, axis=0)
 
     def score(self, docs: list[np.ndarray], rows: int = 16384) -> np.ndarray:
         """Natural log probability of each document (arrays of ids, end included), state carried to its end.
@@ -220,7 +208,7 @@ class Gru:
             kept.append((h, *rest))
         before = np.stack(before)
         states, z, r, c, hu = map(np.stack, zip(*kept, strict=True))
-        grads = {k: np.zeros_like(v) for k, v in self.w.items()}
+        grads = {k: np.zeros_like(self.w[k]) for k in ("u", "b", "wc")} | {"wo": [], "x": []}
         logp, dh_all = self.outputs(states.transpose(0, 2, 1).reshape(-1, n), targets.ravel(), grads)
         dh_all = np.ascontiguousarray(dh_all.reshape(steps, lanes, n).transpose(0, 2, 1))
         # By the state's gradient these give those of: update gate, reset gate, candidate's recurrent part, candidate.
@@ -244,10 +232,10 @@ class Gru:
         which = inputs.ravel()
         order = np.argsort(which.astype(np.int16) if len(self.place) < 1 << 15 else which, kind="stable")
         heads = np.flatnonzero(np.concatenate([[True], np.diff(which[order]) > 0]))
-        grads["x"][which[order][heads]] = np.add.reduceat(dx[order], heads)
+        grads["x"] = which[order][heads], np.add.reduceat(dx[order], heads)
         return grads, h, float(logp.sum())
 
-    def train(self, stream: np.ndarray, adam: dict, rate: float, lanes: int = 256, window: int = 16) -> None:
+    def train(self, stream: np.ndarray, adam: dict, rate: float, lanes: int = 512, window: int = 16) -> None:
         """One pass over a stream of ids (documents end to end), cut into lanes with carried state."""
         place = self.place[stream]
         lanes = max(1, min(lanes, len(place) // window))
@@ -263,148 +251,202 @@ class Gru:
             self._update(grads, adam, rate, targets[part].size)
 
     def _update(self, grads: dict, adam: dict, rate: float, n: int) -> None:
+        """Adam; of the tables by word only the rows met in this window (their moments rest meanwhile)."""
         adam["t"] = t = adam.get("t", 0) + 1
-        for k, g in grads.items():
+        parts = [(k, slice(None), grads[k]) for k in ("u", "b", "wc")]
+        parts += [("x", *grads["x"]), *(("wo", slice(a, b), g) for a, b, g in grads["wo"])]
+        for k in self.w:
+            if k not in adam:
+                adam[k] = np.zeros_like(self.w[k]), np.zeros_like(self.w[k])
+        for k, rows, g in parts:
             g = np.clip(g / n, -0.05, 0.05)
-            m, v = adam.get(k, (np.zeros_like(g), np.zeros_like(g)))
+            m, v = adam[k][0][rows], adam[k][1][rows]
             m = 0.9 * m + 0.1 * g
             v = 0.999 * v + 0.001 * g * g
-            adam[k] = m, v
-            self.w[k] = self.w[k] - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-6)
+            adam[k][0][rows], adam[k][1][rows] = m, v
+            self.w[k][rows] -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-6)
 
 
-def corpus_counts(docs: DataFrame, most: int = 300_000) -> DataFrame:
-    """(word, c) over training documents; docs has text and held_out."""
+class _Local(dict):
+    """Numbers words in the order in which they come."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"]
-            )
-            seen.clear()
-            return out
 
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                seen.update(tokens(text))
-                if len(seen) >= most:
-                    yield flush()
-        if seen:
-            yield flush()
+ENCODED = (
+    "block long, is_word boolean, doc_id long, held_out boolean, n_tokens long, codes binary, word binary, pos int, n long"
+)
 
-    counted = docs.filter(~F.col("held_out")).select("text").mapInArrow(run, "word binary, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("c"))
 
+def encoded(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """Texts as numbers of their block's words, and those words with their counts in training documents.
 
-def _streams(batches: Iterator[pa.RecordBatch], ids: dict[bytes, int], least: int = 200_000) -> Iterator[np.ndarray]:
-    parts: list[np.ndarray] = []
-    size = 0
-    get = _Ids(ids, _OTHER_ID).__getitem__
-    for b in batches:
-        for text in b.column(0).to_pylist():
-            t = tokens(text)
-            parts.append(np.fromiter(map(get, t), np.int32, len(t)))
-            size += len(t)
-            if size >= least:
-                yield np.concatenate(parts)
-                parts, size = [], 0
-    if parts:
-        yield np.concatenate(parts)
+    A block is a run of documents of one input partition; docs has doc_id, text and held_out.
+    """
+    names = [f.split()[0] for f in ENCODED.split(", ")]
+    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int64())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seq, size = TaskContext.get().partitionId() << 32, 0
+        local, rows, codes = _Local(), [], []
+
+        def closed() -> pa.RecordBatch:
+            n = np.zeros(len(local), np.int64)
+            for (_, held, _), c in zip(rows, codes, strict=True):
+                if not held:
+                    n += np.bincount(c, minlength=len(local))
+            d, w = len(rows), len(local)
+            ids, held, sizes = zip(*rows, strict=True)
+            columns = (
+                [seq] * (d + w), [False] * d + [True] * w, [*ids, *[None] * w], [*held, *[None] * w], [*sizes, *[None] * w],
+                [*(c.tobytes() for c in codes), *[None] * w], [*[None] * d, *local], [*[None] * d, *range(w)], [*[None] * d, *n.tolist()],
+            )
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
-def _averaged(docs: DataFrame, model: Gru, ids: dict[bytes, int], rate: float, passes: int = 1, chunk: int = 4096) -> np.ndarray:
-    """Weights after each task's training on its own documents, averaged by tokens."""
+        for b in batches:
+            for doc, text, held in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                t = tokens(text)
+                rows.append((doc, held, len(t)))
+                codes.append(np.fromiter(map(local.__getitem__, t), np.int32, len(t)))
+                size += len(text or "")
+                if size >= block_bytes or len(rows) >= 20_000:
+                    yield closed()
+                    seq, size = seq + 1, 0
+                    local, rows, codes = _Local(), [], []
+        if rows:
+            yield closed()
+
+    return docs.select("doc_id", "text", "held_out").mapInArrow(run, ENCODED)
+
+
+MAPPED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, rest double, ids binary"
+DEALT = (
+    "shard long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, n_known array<long>, base array<double>, "
+    "rest array<double>, ids binary"
+)
+
+
+def dealt_out(coded: DataFrame, dictionary: DataFrame, scale: float, outside: float, shards: int) -> DataFrame:
+    """One row per shard with its documents' counts, base scores and model ids.
+
+    Shards are dealt by a hash of id and content and sorted, so they don't depend on the table's layout.
+    """
+
+    def mapped(left: pa.Table, right: pa.Table) -> pa.Table:
+        pos = right["pos"].to_numpy()
+        c, ids = np.zeros(len(pos), np.int64), np.zeros(len(pos), np.uint16)
+        c[pos], ids[pos] = right["c"].to_numpy(), right["id"].to_numpy()
+        log_share = np.log10(c + 0.1)
+        other = np.where(ids == _OTHER_ID, log_share - np.log10(outside), 0.0)
+        n = left["n_tokens"].to_numpy()
+        idx = np.frombuffer(b"".join(left["codes"].to_pylist()), np.int32)
+        ends = np.cumsum(n)
+        summed = lambda x: np.add.reduceat(x[idx], ends - n) if len(n) else np.zeros(0)
+        return pa.table({
+            "doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": left["n_tokens"],
+            "n_known": pa.array(summed((c > 0).astype(np.int64)).astype(np.int64)), "base": summed(log_share) - n * scale, "rest": summed(other),
+            "ids": pa.array([x.tobytes() for x in np.split(ids[idx], ends[:-1])] if len(n) else [], pa.binary()),
+        })
+
+    def packed(t: pa.Table) -> pa.Table:
+        t = t.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("ids", "ascending")])
+        one = {k: pa.array([t[k].to_pylist()]) for k in ("doc_id", "held_out", "n_tokens", "n_known", "base", "rest")}
+        one["doc_id"] = one["doc_id"].cast(pa.list_(pa.int64()))
+        return pa.table({"shard": t["shard"][:1], **one, "ids": pa.array([b"".join(t["ids"].to_pylist())], pa.binary())})
+
+    rows = coded.select("block", "doc_id", "held_out", "n_tokens", "codes").groupBy("block")
+    rows = rows.cogroup(dictionary.groupBy("block")).applyInArrow(mapped, MAPPED)
+    rows = rows.withColumn("h", F.xxhash64("doc_id", "ids"))
+    return rows.withColumn("shard", F.pmod("h", F.lit(shards))).groupBy("shard").applyInArrow(packed, DEALT)
+
+
+def averaged(shards: DataFrame, model: Gru, rate: float, passes: int = 1, most: int | None = None, chunk: int = 65_536) -> tuple[np.ndarray, int]:
+    """Weights after training on each shard by itself, averaged by tokens; ``most`` bounds the tokens of a shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        adam: dict = {}
-        seen = 0
-        for stream in _streams(batches, ids):
-            for _ in range(passes):
-                model.train(stream, adam, rate)
-            seen += len(stream)
+        begin = model.flat()
+        total, seen = np.zeros(len(begin)), 0
+        for b in batches:
+            for held, n, ids in zip(*(b.column(k) for k in range(3)), strict=True):
+                train = ~np.repeat(np.array(held.as_py(), bool), n.as_py())
+                stream = np.frombuffer(ids.as_py(), np.uint16)[train][:most]
+                model.load(begin)
+                adam: dict = {}
+                for _ in range(passes):
+                    model.train(stream, adam, rate)
+                total += model.flat().astype(np.float64) * len(stream)
+                seen += len(stream)
         if seen:
-            flat = model.flat().astype(np.float64) * seen
-            parts = [flat[i : i + chunk] for i in range(0, len(flat), chunk)]
+            parts = [total[i : i + chunk].tobytes() for i in range(0, len(total), chunk)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array(parts, pa.list_(pa.float64()))],
+                [pa.array(range(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array(parts, pa.binary())],
                 ["chunk", "n", "w"],
             )
 
     def summed(t: pa.Table) -> pa.Table:
-        w = np.sum([np.asarray(x.values) for x in t["w"]], axis=0)
-        return pa.table({"chunk": t["chunk"][:1], "n": [sum(t["n"].to_pylist())], "w": pa.array([w], pa.list_(pa.float64()))})
+        w = np.sum([np.frombuffer(x, float) for x in t["w"].to_pylist()], axis=0)
+        return pa.table({"chunk": t["chunk"][:1], "n": [sum(t["n"].to_pylist())], "w": pa.array([w.tobytes()], pa.binary())})
 
-    shape = "chunk int, n long, w array<double>"
-    trained = docs.filter(~F.col("held_out")).select("text").mapInArrow(run, shape)
-    salted = trained.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
-    first = salted.groupBy("chunk", "salt").applyInArrow(summed, shape)
+    shape = "chunk int, n long, w binary"
+    trained = shards.select("held_out", "n_tokens", "ids").mapInArrow(run, shape)
+    first = trained.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("chunk", "salt").applyInArrow(summed, shape)
     # A fixed number of numbers, whatever the corpus size.
     rows = sorted(first.groupBy("chunk").applyInArrow(summed, shape).collect(), key=lambda r: r["chunk"])
     if not rows:
-        return model.flat()
-    return np.concatenate([np.array(r["w"]) / r["n"] for r in rows])
-
-
-def score(docs: DataFrame, words: int = 1022, hidden: int = 16, sample: int = 300, block_bytes: int = 20 << 20) -> DataFrame:
+        return model.flat(), 0
+    return np.concatenate([np.frombuffer(r["w"], float) / r["n"] for r in rows]), rows[0]["n"]
+
+
+def score(
+    docs: DataFrame,
+    words: int = 20_000,
+    hidden: int = 16,
+    rounds: int = 3,
+    start_tokens: int = 300_000,
+    shard_tokens: int = 1_000_000,
+    block_bytes: int = 8 << 20,
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out().alias("held_out"))
-    counts = materialize(corpus_counts(docs), "counts")
+    every = materialize(encoded(docs, block_bytes), "encoded")
+    coded, own = every.filter("not is_word"), every.filter("is_word").select(F.col("block").alias("block"), "word", "pos", "n")
+    n_docs, n_tokens = coded.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
+    counts = materialize(own.filter("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.filter(F.col("word") != F.lit(bytearray(END))).orderBy(F.desc("c"), "word").limit(words).collect()
-    ids = {END: _END_ID} | {bytes(r["word"]): i + 2 for i, r in enumerate(top)}
     ended = counts.filter(F.col("word") == F.lit(bytearray(END))).first()
     known = np.array([ended["c"] if ended else 0, 0, *(r["c"] for r in top)], float)
     known[_OTHER_ID] = total - known.sum()
     # Smoothed shares among the words outside the model's vocabulary, one more for all unseen ones.
     outside = float(known[_OTHER_ID]) + 0.1 * (distinct - len(top) - (ended is not None) + 1)
     model = Gru(known, hidden)
-    some = docs.filter("not held_out").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    model.load(_averaged(some.coalesce(1), model, ids, 0.01, passes=4))
-    model.load(_averaged(docs, model, ids, 0.002))
-
-    size, n = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
-    blocks = max(1, -(-(size or 0) // block_bytes), -(-n // 20_000))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
-
-    def own_words(t: pa.Table) -> pa.Table:
-        seen: set[bytes] = set()
-        for text in t["text"].to_pylist():
-            seen.update(tokens(text))
-        block = t["block"][0].as_py()
-        return pa.table({"block": pa.array([block] * len(seen), pa.int32()), "word": pa.array(list(seen), pa.binary())})
-
-    present = dealt.select("block", "text").groupBy("block").applyInArrow(own_words, "block int, word binary")
-    dictionary = present.join(counts.hint("merge"), "word").select("block", "word", "c")
-    scale = np.log10(total + 0.1 * (distinct + 1))
-
-    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        present = right["word"].to_pylist()
-        get = _Ids(dict(zip(present, range(len(present)), strict=True)), len(present)).__getitem__
-        c = np.concatenate([right["c"].to_numpy(), [0]]).astype(np.int64)
-        model_id = np.fromiter(map(_Ids(ids, _OTHER_ID).__getitem__, [*present, b""]), np.int32, len(present) + 1)
-        log_share, other_share = np.log10(c + 0.1), np.where(model_id == _OTHER_ID, np.log10(c + 0.1) - np.log10(outside), 0.0)
-        seqs, n_known, base, rest = [], [], [], []
-        for text in left["text"].to_pylist():
-            t = tokens(text)
-            idx = np.fromiter(map(get, t), np.int64, len(t))
-            seqs.append(model_id[idx])
-            n_known.append(int(np.count_nonzero(c[idx])))
-            base.append(float(log_share[idx].sum() - len(t) * scale))
-            rest.append(float(other_share[idx].sum()))
-        n = len(seqs)
-        return pa.table({
-            "doc_id": left["doc_id"], "held_out": left["held_out"],
-            "n_tokens": pa.array([len(s) for s in seqs], pa.int64()), "n_known": pa.array(n_known, pa.int64()),
-            "train_tokens": pa.array([int(total)] * n, pa.int64()), "base_score": pa.array(base, pa.float64()),
-            "score": pa.array(model.score(seqs) / np.log(10) + np.array(rest), pa.float64()),
-        })
-
-    shape = (
-        "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    ids = [(bytearray(END), _END_ID), *((r["word"], i + 2) for i, r in enumerate(top))]
+    # At most ``words`` + 1 rows.
+    ids = F.broadcast(spark.createDataFrame(ids, "word binary, id int"))
+    dictionary = own.join(counts.hint("merge"), "word", "left").join(ids, "word", "left").select(
+        "block", "pos", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("id", F.lit(_OTHER_ID)).alias("id")
     )
-    left = dealt.select("block", "doc_id", "held_out", "text").groupBy("block")
-    return left.cogroup(dictionary.groupBy("block")).applyInArrow(scored, shape)
+    shards = max(1, -(-n_tokens // shard_tokens), -(-n_docs // 20_000))
+    scale = float(np.log10(total + 0.1 * (distinct + 1)))
+    dealt = materialize(dealt_out(coded, dictionary, scale, outside, shards), "dealt")
+    bounded_batches(spark, 8)  # a row is a shard
+    model.load(averaged(dealt.filter("shard = 0"), model, 0.01, passes=2, most=start_tokens)[0])
+    for r in range(min(rounds, shards)):
+        model.load(averaged(dealt.filter(F.col("shard") % min(rounds, shards) == r), model, 0.003)[0])
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, held, n, known_, base, rest, ids in zip(*b.columns[1:], strict=True):
+                cuts = np.cumsum(n.as_py())[:-1]
+                own = model.score(np.split(np.frombuffer(ids.as_py(), np.uint16), cuts)) / np.log(10) + np.array(rest.as_py())
+                columns = [doc.values, held.values, n.values, known_.values, pa.array([int(total)] * len(own), pa.int64()), base.values, pa.array(own)]
+                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SCORED.split(", ")])
+
+    return dealt.mapInArrow(scored, SCORED)
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

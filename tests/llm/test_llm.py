@@ -291,7 +291,7 @@ def test_index_finds_what_comes_earlier():
 
 
 def test_counts_scores_and_learning(spark, docs, texts):
-    got = by_id(lmscore.score(docs, words=50, hidden=6, sample=5))
+    got = by_id(lmscore.score(docs, words=50, hidden=6))
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))}
     token = lambda t: lmscore.tokens(t)
     counts = Counter(w for i, t in enumerate(texts) if not held[i] for w in token(t))
@@ -328,6 +328,11 @@ def test_gradients_are_those_of_the_log_probability():
     model.w = {k: rng.normal(0, 0.5, v.shape) for k, v in model.w.items()}
     inputs, targets, h = rng.integers(0, 10, (6, 5)), rng.integers(0, 10, (6, 5)), rng.normal(0, 0.5, (4, 5))
     grads, _, _ = model.gradients(inputs, targets, h)
+    whole = {k: np.zeros_like(v) for k, v in model.w.items()} | {k: grads[k] for k in ("u", "b", "wc")}
+    whole["x"][grads["x"][0]] = grads["x"][1]
+    for a, b, g in grads["wo"]:
+        whole["wo"][a:b] = g
+    grads = whole
     for k, v in model.w.items():
         for at in rng.integers(0, v.size, 12):
             sides = []
@@ -706,6 +711,25 @@ def test_equal_vectors_and_repeated_ids(spark):
         assert [i for _, i, _ in sorted(got[q])] == [i for _, i in every]
 
 
+def test_scores_do_not_depend_on_the_layout_and_beat_single_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([(None, "no id here " * 30), (None, None), (3, "a second text of one id"), (10_001, "x"), (10_001, "x")], docs.schema)
+    docs = docs.unionAll(extra)
+    how = {"words": 3000, "shard_tokens": 20_000, "block_bytes": 100_000}  # several blocks, shards and rounds
+    runs = []
+    for parts in (1, 4, 16):
+        rows = lmscore.score(docs.repartition(parts), **how).collect()
+        runs.append(sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"], r["score"])))
+    assert len(runs[0]) == docs.count()
+    for other in runs[1:]:
+        for a, b in zip(runs[0], other, strict=True):
+            assert a[:6] == b[:6] and a["score"] == pytest.approx(b["score"], rel=1e-6)
+    assert all(r["held_out"] for r in runs[0] if r["doc_id"] is None)
+    unseen = [r for r in runs[0] if r["held_out"]]
+    per_token = {k: sum(r[k] for r in unseen) / sum(r["n_tokens"] for r in unseen) for k in ("score", "base_score")}
+    assert per_token["score"] > per_token["base_score"] + 0.05
+
+
 def test_personal_data_of_a_text_full_of_it(spark):
     """Thousands of spans in one text, more than a block of the folds holds, and loose ones beside base ones."""
     n = 1500
