@@ -4,9 +4,9 @@ Tokens are words with A-Z in lower case, then one end token per document.  Docum
 crc32(doc_id as text) mod 10 is 0 are held out; everything is learnt from the others.
 
 Counts.  Documents are read in blocks of bounded size where they lie; each becomes numbers of its block's
-own words, so texts are split once and never shuffled.  One grouped sum of the blocks' words gives the
-corpus counts, and a join gives each block the counts of its words, so no task needs the whole
-vocabulary.
+own words, so texts are split once and never shuffled.  One shuffle of the blocks' words gives each of
+them its corpus count (a word has at most one row per block), and what a block can't count by itself
+goes back to it, so no task needs the whole vocabulary.
 
 Model.  The most frequent ``words`` training words (a parameter, so the model's size is fixed), the end
 and one id for all other words are the classes' members: words are dealt into frequency classes and
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialize
@@ -140,10 +140,11 @@ class Gru:
         e, total, logp = self._softmax(h @ wc.T, cls, held)
         dh = None
         if grads is not None:
-            e /= total[:, None]
-            e[rows, cls] -= 1
-            grads["wc"] += e.T @ h
+            # Shares are exponentials by their sums; the states are divided instead of them.
+            e[rows, cls] -= total
+            grads["wc"] += e.T @ (h / total[:, None])
             dh = e @ wc
+            dh /= total[:, None]
         cut = np.searchsorted(place, self.bounds)
         for k in np.flatnonzero(np.diff(cut)):
             own = slice(cut[k], cut[k + 1])
@@ -154,10 +155,9 @@ class Gru:
             e, total, lp = self._softmax(hk @ wo[a:b].T, t, held)
             logp[own] += lp
             if grads is not None:
-                e /= total[:, None]
-                e[rows[: len(t)], t] -= 1
-                grads["wo"].append((a, b, e.T @ hk))
-                dh[own] += e @ wo[a:b]
+                e[rows[: len(t)], t] -= total
+                grads["wo"].append((a, b, e.T @ (hk / total[:, None])))
+                dh[own] += (e @ wo[a:b]) / total[:, None]
         back = np.empty_like(order)
         back[order] = rows
         return np.take(logp, back), None if dh is None else np.take(dh[:, :n], back, axis=0)
@@ -235,7 +235,7 @@ class Gru:
         grads["x"] = which[order][heads], np.add.reduceat(dx[order], heads)
         return grads, h, float(logp.sum())
 
-    def train(self, stream: np.ndarray, adam: dict, rate: float, lanes: int = 512, window: int = 16) -> None:
+    def train(self, stream: np.ndarray, adam: dict, rate: float, lanes: int = 1024, window: int = 16) -> None:
         """One pass over a stream of ids (documents end to end), cut into lanes with carried state."""
         place = self.place[stream]
         lanes = max(1, min(lanes, len(place) // window))
@@ -335,13 +335,14 @@ def dealt_out(coded: DataFrame, dictionary: DataFrame, scale: float, outside: fl
     """
 
     def mapped(left: pa.Table, right: pa.Table) -> pa.Table:
-        pos = right["pos"].to_numpy()
-        c, ids = np.zeros(len(pos), np.int64), np.zeros(len(pos), np.uint16)
+        n = left["n_tokens"].to_numpy()
+        idx = np.frombuffer(b"".join(left["codes"].to_pylist()), np.int32)
+        train = ~np.repeat(left["held_out"].to_numpy(zero_copy_only=False), n)
+        c = np.bincount(idx[train], minlength=int(idx.max(initial=-1)) + 1)
+        ids, pos = np.full(len(c), _OTHER_ID, np.uint16), right["pos"].to_numpy()
         c[pos], ids[pos] = right["c"].to_numpy(), right["id"].to_numpy()
         log_share = np.log10(c + 0.1)
         other = np.where(ids == _OTHER_ID, log_share - np.log10(outside), 0.0)
-        n = left["n_tokens"].to_numpy()
-        idx = np.frombuffer(b"".join(left["codes"].to_pylist()), np.int32)
         ends = np.cumsum(n)
         summed = lambda x: np.add.reduceat(x[idx], ends - n) if len(n) else np.zeros(0)
         return pa.table({
@@ -415,7 +416,12 @@ def score(
     every = materialize(encoded(docs, block_bytes), "encoded")
     coded, own = every.filter("not is_word"), every.filter("is_word").select(F.col("block").alias("block"), "word", "pos", "n")
     n_docs, n_tokens = coded.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-    counts = materialize(own.filter("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "counts")
+    # A word has one row per block that holds it: one shuffle gives each of them the word's count.
+    of_word = Window.partitionBy("word")
+    first = F.row_number().over(of_word.orderBy("block")) == 1
+    own = own.withColumns({"c": F.sum("n").over(of_word), "first": first})
+    own = materialize(own, "words")
+    counts = own.filter("first and c > 0").select("word", "c")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.filter(F.col("word") != F.lit(bytearray(END))).orderBy(F.desc("c"), "word").limit(words).collect()
     ended = counts.filter(F.col("word") == F.lit(bytearray(END))).first()
@@ -427,8 +433,9 @@ def score(
     ids = [(bytearray(END), _END_ID), *((r["word"], i + 2) for i, r in enumerate(top))]
     # At most ``words`` + 1 rows.
     ids = F.broadcast(spark.createDataFrame(ids, "word binary, id int"))
-    dictionary = own.join(counts.hint("merge"), "word", "left").join(ids, "word", "left").select(
-        "block", "pos", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("id", F.lit(_OTHER_ID)).alias("id")
+    # Of the words outside the model that occur in one block only, the block itself has the count.
+    dictionary = own.join(ids, "word", "left").filter("id is not null or c <> n").select(
+        "block", "pos", "c", F.coalesce("id", F.lit(_OTHER_ID)).alias("id")
     )
     shards = max(1, -(-n_tokens // shard_tokens), -(-n_docs // 20_000))
     scale = float(np.log10(total + 0.1 * (distinct + 1)))
