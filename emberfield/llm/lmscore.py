@@ -235,7 +235,7 @@ class Gru:
         grads["x"] = which[order][heads], np.add.reduceat(dx[order], heads)
         return grads, h, float(logp.sum())
 
-    def train(self, stream: np.ndarray, adam: dict, rate: float, lanes: int = 1024, window: int = 16) -> None:
+    def train(self, stream: np.ndarray, adam: dict, rate: float, lanes: int = 512, window: int = 16) -> None:
         """One pass over a stream of ids (documents end to end), cut into lanes with carried state."""
         place = self.place[stream]
         lanes = max(1, min(lanes, len(place) // window))
@@ -292,18 +292,24 @@ def encoded(docs: DataFrame, block_bytes: int) -> DataFrame:
         seq, size = TaskContext.get().partitionId() << 32, 0
         local, rows, codes = _Local(), [], []
 
-        def closed() -> pa.RecordBatch:
+        def filled(rows_: int, **columns: pa.Array) -> pa.RecordBatch:
+            own = {"block": pa.array(np.full(rows_, seq)), **columns}
+            return pa.RecordBatch.from_arrays([own.get(k, pa.nulls(rows_, t)) for k, t in zip(names, kinds, strict=True)], names)
+
+        def closed() -> Iterator[pa.RecordBatch]:
             n = np.zeros(len(local), np.int64)
             for (_, held, _), c in zip(rows, codes, strict=True):
                 if not held:
-                    n += np.bincount(c, minlength=len(local))
-            d, w = len(rows), len(local)
+                    np.add.at(n, c, 1)
             ids, held, sizes = zip(*rows, strict=True)
-            columns = (
-                [seq] * (d + w), [False] * d + [True] * w, [*ids, *[None] * w], [*held, *[None] * w], [*sizes, *[None] * w],
-                [*(c.tobytes() for c in codes), *[None] * w], [*[None] * d, *local], [*[None] * d, *range(w)], [*[None] * d, *n.tolist()],
+            no, yes = (pa.array(np.full(k, x)) for k, x in ((len(rows), False), (len(local), True)))
+            yield filled(
+                len(rows), is_word=no, doc_id=pa.array(ids, pa.int64()), held_out=pa.array(held), n_tokens=pa.array(sizes, pa.int64()),
+                codes=pa.array([c.tobytes() for c in codes], pa.binary()),
             )
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+            yield filled(
+                len(local), is_word=yes, word=pa.array(list(local), pa.binary()), pos=pa.array(np.arange(len(local), dtype=np.int32)), n=pa.array(n)
+            )
 
         for b in batches:
             for doc, text, held in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -312,11 +318,11 @@ def encoded(docs: DataFrame, block_bytes: int) -> DataFrame:
                 codes.append(np.fromiter(map(local.__getitem__, t), np.int32, len(t)))
                 size += len(text or "")
                 if size >= block_bytes or len(rows) >= 20_000:
-                    yield closed()
+                    yield from closed()
                     seq, size = seq + 1, 0
                     local, rows, codes = _Local(), [], []
         if rows:
-            yield closed()
+            yield from closed()
 
     return docs.select("doc_id", "text", "held_out").mapInArrow(run, ENCODED)
 
@@ -363,7 +369,7 @@ def dealt_out(coded: DataFrame, dictionary: DataFrame, scale: float, outside: fl
     return rows.withColumn("shard", F.pmod("h", F.lit(shards))).groupBy("shard").applyInArrow(packed, DEALT)
 
 
-def averaged(shards: DataFrame, model: Gru, rate: float, passes: int = 1, most: int | None = None, chunk: int = 65_536) -> tuple[np.ndarray, int]:
+def averaged(dealt: DataFrame, shards: int, model: Gru, rate: float, passes: int = 1, most: int | None = None, chunk: int = 65_536) -> np.ndarray:
     """Weights after training on each shard by itself, averaged by tokens; ``most`` bounds the tokens of a shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,24 +386,29 @@ def averaged(shards: DataFrame, model: Gru, rate: float, passes: int = 1, most:
                 total += model.flat().astype(np.float64) * len(stream)
                 seen += len(stream)
         if seen:
+            total = (total / seen).astype(np.float32)
             parts = [total[i : i + chunk].tobytes() for i in range(0, len(total), chunk)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(len(parts)), pa.int32()), pa.array([seen] * len(parts), pa.int64()), pa.array(parts, pa.binary())],
                 ["chunk", "n", "w"],
             )
 
-    def summed(t: pa.Table) -> pa.Table:
-        w = np.sum([np.frombuffer(x, float) for x in t["w"].to_pylist()], axis=0)
-        return pa.table({"chunk": t["chunk"][:1], "n": [sum(t["n"].to_pylist())], "w": pa.array([w.tobytes()], pa.binary())})
+    def mean(t: pa.Table) -> pa.Table:
+        n = t["n"].to_numpy()
+        w = np.einsum("i,ij->j", n / n.sum(), np.stack([np.frombuffer(x, np.float32) for x in t["w"].to_pylist()]).astype(float))
+        return pa.table({"chunk": t["chunk"][:1], "n": [int(n.sum())], "w": pa.array([w.astype(np.float32).tobytes()], pa.binary())})
 
     shape = "chunk int, n long, w binary"
-    trained = shards.select("held_out", "n_tokens", "ids").mapInArrow(run, shape)
-    first = trained.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("chunk", "salt").applyInArrow(summed, shape)
+    # Weights are sent on once per task, so a task takes several shards.
+    tasks = max(1, shards // 8)
+    trained = dealt.select("held_out", "n_tokens", "ids").coalesce(tasks).mapInArrow(run, shape)
+    if tasks > 256:
+        trained = trained.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64))).groupBy("chunk", "salt").applyInArrow(mean, shape)
     # A fixed number of numbers, whatever the corpus size.
-    rows = sorted(first.groupBy("chunk").applyInArrow(summed, shape).collect(), key=lambda r: r["chunk"])
+    rows = sorted(trained.groupBy("chunk").applyInArrow(mean, shape).collect(), key=lambda r: r["chunk"])
     if not rows:
-        return model.flat(), 0
-    return np.concatenate([np.frombuffer(r["w"], float) / r["n"] for r in rows]), rows[0]["n"]
+        return model.flat()
+    return np.concatenate([np.frombuffer(r["w"], np.float32) for r in rows])
 
 
 def score(
@@ -441,9 +452,10 @@ def score(
     scale = float(np.log10(total + 0.1 * (distinct + 1)))
     dealt = materialize(dealt_out(coded, dictionary, scale, outside, shards), "dealt")
     bounded_batches(spark, 8)  # a row is a shard
-    model.load(averaged(dealt.filter("shard = 0"), model, 0.01, passes=2, most=start_tokens)[0])
-    for r in range(min(rounds, shards)):
-        model.load(averaged(dealt.filter(F.col("shard") % min(rounds, shards) == r), model, 0.003)[0])
+    model.load(averaged(dealt.filter("shard = 0"), 1, model, 0.01, passes=2, most=start_tokens))
+    rounds = min(rounds, shards)
+    for r in range(rounds):
+        model.load(averaged(dealt.filter(F.col("shard") % rounds == r), shards // rounds, model, 0.003))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
