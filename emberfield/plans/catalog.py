@@ -91,7 +91,7 @@ def sink_json_roundtrip(t):
 
 
 def _snapshot(t):
-    rows = t.det.filter("source_id % 7 = 0")
+    rows = t.det
     o = F.struct(
         c("event_id").alias("id"), F.round("latitude", 5).alias("latitude"), F.round("longitude", 5).alias("longitude"), "brightness",
         "frp", c("date").cast("string").alias("date"), "time", "satellite",
@@ -388,7 +388,7 @@ def _points(t):
     """Snapshot points: some with another satellite, some rows doubled on the other side."""
     sat = F.when(c("source_id") % 21 == 0, F.when(c("satellite") == "N20", "N21").otherwise("N20")).otherwise(c("satellite"))
     lat = F.when(c("source_id") % 35 == 0, c("latitude") + 0.001).otherwise(F.round("latitude", 5))
-    points = t.det.filter("source_id % 7 = 0").select(
+    points = t.det.select(
         c("event_id").alias("id"), lat.alias("latitude"), F.round("longitude", 5).alias("longitude"), "date", "time", sat.alias("satellite")
     )
     rows = t.labelled.select("event_id", "latitude", "longitude", "date", "time", "satellite", "fire_type", "source_id")
@@ -408,7 +408,7 @@ def agg_match_outcomes(t):
 
 @query("event_id:s predicted_fire_type:s")
 def join_rounded_predictions(t):
-    p = t.det.filter("source_id % 3 = 0").join(t.predicted, "event_id")
+    p = t.det.join(t.predicted.hint("merge"), "event_id")
     p = p.select("latitude", "longitude", "date", "time", "satellite", "predicted_fire_type", "source_id")
     twice = p.filter("source_id % 30 = 0").withColumn("predicted_fire_type", lit("wildfire"))
     return serving.join_rounded(t.det, p.unionByName(twice))
@@ -426,7 +426,7 @@ def event_edges(t):
 
 @query("id:s observations:l unique_days:l score:l pattern:s")
 def persistence_nearby(t):
-    return persistence.nearby(t.det.filter("source_id % 10 = 0").select(c("event_id").alias("id"), "latitude", "longitude"), t.det)
+    return persistence.nearby(t.det.select(c("event_id").alias("id"), "latitude", "longitude"), t.det)
 
 
 @query("event_id:s display:s contact:s")
@@ -520,7 +520,7 @@ def agg_crosstab(t):
 
 @query("event_id:s fire_type:s class_rank:l")
 def sample_class_cap(t):
-    return labels.class_capped(t.labelled, 200)
+    return labels.class_capped(t.labelled, 15_000)
 
 
 @query("grid_id:l date:s wildfire_next_24h:l")
@@ -576,7 +576,7 @@ def persistence_features(t):
 
 @query("event_id:s date:s rank:l strength:d")
 def win_top_per_day(t):
-    return serving.top_per_day(t.det, 50)
+    return serving.top_per_day(t.det, 200)
 
 
 @query("event_id:s source_id:l grid_id:l data_quality:s brightness:d")
@@ -735,21 +735,16 @@ def split_stratified(t):
     return model.split_stratified(t.labelled.filter("fire_type <> 'unknown'"))
 
 
-def _parts(t):
-    known = t.labelled.filter(c("fire_type").isin(*CLASSES))
-    return model.split_stratified(model.imputed(known, MODEL_INPUTS))
-
-
 @query("name:s support:l precision:d recall:d f1:d")
 def train_fire_type(t):
-    parts = _parts(t)
+    parts = t.parts
     fitted = model.train(parts.filter("part = 'train'"), MODEL_INPUTS)
     return model.metrics(model.score(fitted, parts.filter("part = 'test'")))
 
 
 @query("event_id:s predicted_fire_type:s confidence:d total:d")
 def score_batch(t):
-    parts = _parts(t)
+    parts = t.parts
     fitted = model.train(parts.filter("part = 'train'"), MODEL_INPUTS)
     total = F.aggregate(F.map_values("probabilities"), lit(0.0), lambda a, x: a + x)
     return model.score(fitted, parts.filter("part = 'test'")).withColumn("total", total)
@@ -757,14 +752,12 @@ def score_batch(t):
 
 @query("feature:s importance:d")
 def feature_importance(t):
-    return model.importance(model.train(_parts(t), MODEL_INPUTS), MODEL_INPUTS)
+    return model.importance(model.train(t.parts, MODEL_INPUTS), MODEL_INPUTS)
 
 
 @query("feature_group:s features:l accuracy:d")
 def group_ablation(t):
-    wanted = tuple(dict.fromkeys(f for g in model.GROUPS.values() for f in g))
-    known = t.labelled.filter("fire_type <> 'unknown'")
-    return model.ablation(model.split_stratified(model.imputed(known, wanted)))
+    return model.ablation(t.parts)
 
 
 @query("features:l high_frp_threshold:d confidence_scale:s")

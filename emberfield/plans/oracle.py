@@ -147,7 +147,7 @@ TABLES: dict[str, tuple[str, str]] = {
  SELECT event_id, fire_type AS predicted_fire_type, p AS confidence FROM (
   SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY p DESC, fire_type) AS n FROM pred) WHERE n = 1"""),
     "contrib": ("flagged", "\n UNION ALL ".join(
-        f"SELECT event_id, {q(f)} AS feature, CAST({f} AS DOUBLE) AS value, (source_id*{(i + 2) * 13} % 21 - 10)/100.0E0 AS contribution FROM flagged WHERE source_id % 5 = 0"
+        f"SELECT event_id, {q(f)} AS feature, CAST({f} AS DOUBLE) AS value, (source_id*{(i + 2) * 13} % 21 - 10)/100.0E0 AS contribution FROM flagged"
         for i, f in enumerate(EXPLAINED))),
     "feed": ("raw", f"""
  SELECT latitude, longitude, coalesce(bright_ti4, bright_ti5, 0.0E0) AS brightness, {SERVING.format('confidence')} AS confidence, acq_date,
@@ -161,7 +161,7 @@ TABLES: dict[str, tuple[str, str]] = {
  SELECT d.*, CASE WHEN firms_type IS NOT NULL THEN 'Type ' || firms_type
    WHEN predicted_fire_type IS NOT NULL THEN {cases('predicted_fire_type', PREDICTED_LABELS, "'?'")} || ' (predicted)' ELSE 'Unclassified' END AS display_type
  FROM det d LEFT JOIN (SELECT * FROM best WHERE ascii(md5(event_id)[1]) % 3 <> 0) USING (event_id)"""),
-    "newest": ("det", "SELECT event_id AS id, latitude, longitude, epoch(ts) AS sec FROM det ORDER BY ts DESC, event_id LIMIT 500"),
+    "newest": ("det", "SELECT event_id AS id, latitude, longitude, epoch(ts) AS sec FROM det"),
     "edges": ("newest", f"""
  SELECT * FROM (SELECT a.id AS id_a, b.id AS id_b, {hv('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} AS km
   FROM newest a JOIN newest b ON a.id < b.id AND abs(a.sec - b.sec) <= 168*3600) WHERE km <= 25"""),
@@ -253,7 +253,7 @@ TABLES: dict[str, tuple[str, str]] = {
  SELECT id, CASE WHEN n = 1 THEN 'matched' WHEN n = 0 THEN 'unmatched' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN e END AS event_id, CASE WHEN n = 1 THEN f END AS fire_type FROM (
   SELECT p.id, count(r.event_id) AS n, min(r.event_id) AS e, min(r.fire_type) AS f FROM (
    SELECT event_id AS id, CASE WHEN source_id % 35 = 0 THEN latitude + 0.001E0 ELSE round(latitude, 5) END AS latitude, round(longitude, 5) AS longitude, date, time,
-    CASE WHEN source_id % 21 = 0 THEN CASE WHEN satellite = 'N20' THEN 'N21' ELSE 'N20' END ELSE satellite END AS satellite FROM det WHERE source_id % 7 = 0) p
+    CASE WHEN source_id % 21 = 0 THEN CASE WHEN satellite = 'N20' THEN 'N21' ELSE 'N20' END ELSE satellite END AS satellite FROM det) p
   LEFT JOIN tolrows r ON p.date = r.date AND p.time = r.time AND p.satellite = r.satellite AND abs(p.latitude - r.latitude) < 1e-5 AND abs(p.longitude - r.longitude) < 1e-5 GROUP BY p.id)"""),
     "evald": ("labelled best", "SELECT l.event_id, fire_type, predicted_fire_type FROM labelled l JOIN best USING (event_id) WHERE fire_type <> 'unknown'"),
     "nextday": ("daily", """
@@ -272,7 +272,7 @@ BODIES: dict[str, tuple[str, str]] = {
     "feed_normalized": ("feed", "SELECT * FROM feed"),
     "sink_parquet_roundtrip": ("det", "SELECT * FROM det"),
     "sink_json_roundtrip": ("hrec", "SELECT grid_id, count(*) AS days, sum(observation_count) AS observations, max(peak_brightness_k) AS peak FROM hrec GROUP BY grid_id"),
-    "snapshot_explode": ("det", "SELECT event_id AS id, date AS from_date, round(latitude, 5) AS latitude, round(longitude, 5) AS longitude, brightness, date, time, satellite FROM det WHERE source_id % 7 = 0"),
+    "snapshot_explode": ("det", "SELECT event_id AS id, date AS from_date, round(latitude, 5) AS latitude, round(longitude, 5) AS longitude, brightness, date, time, satellite FROM det"),
     "poi_normalized": ("poi", "SELECT osm_id, CASE WHEN osm_id % 3 <> 0 THEN 'node' ELSE 'way' END AS osm_type, latitude, longitude, category, name, landuse FROM poi WHERE osm_id % 9 <> 0"),
     "upsert_events": ("feedev", """
  SELECT id, CASE WHEN c.id IS NULL THEN u.latitude ELSE c.latitude END AS latitude, CASE WHEN u.id IS NULL THEN c.brightness ELSE u.brightness END AS brightness,
@@ -366,7 +366,7 @@ BODIES: dict[str, tuple[str, str]] = {
     "agg_match_outcomes": ("tol", "SELECT CASE WHEN status = 'matched' THEN fire_type ELSE status END AS outcome, count(*) AS n FROM tol GROUP BY ALL"),
     "join_rounded_predictions": ("det best", """
  SELECT d.event_id, p.predicted_fire_type FROM det d LEFT JOIN (
-  SELECT latitude, longitude, date, time, satellite, predicted_fire_type FROM det JOIN best USING (event_id) WHERE source_id % 3 = 0
+  SELECT latitude, longitude, date, time, satellite, predicted_fire_type FROM det JOIN best USING (event_id)
   UNION ALL SELECT latitude, longitude, date, time, satellite, 'wildfire' FROM det WHERE source_id % 30 = 0) p
  ON round(d.latitude, 5) = round(p.latitude, 5) AND round(d.longitude, 5) = round(p.longitude, 5) AND d.date = p.date AND d.time = p.time AND d.satellite = p.satellite"""),
     "corroboration_pairs": ("cpairs", "SELECT * FROM cpairs"),
@@ -375,7 +375,7 @@ BODIES: dict[str, tuple[str, str]] = {
  SELECT id, observations, unique_days, s AS score, CASE WHEN unique_days < 2 THEN 'INSUFFICIENT_HISTORY' WHEN s >= 55 THEN 'PERSISTENT' ELSE 'TRANSIENT' END AS pattern FROM (
   SELECT *, CASE WHEN unique_days < 2 THEN 0 ELSE least(100, {up('unique_days/30.0E0*100')}) END AS s FROM (
    SELECT a.event_id AS id, count(*) AS observations, count(DISTINCT b.date) AS unique_days FROM det a JOIN det b ON abs(a.latitude - b.latitude) < 0.01 AND {hv('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} <= 0.75
-   WHERE a.source_id % 10 = 0 GROUP BY a.event_id))"""),
+   GROUP BY a.event_id))"""),
     "join_lookup_default": ("best", f"SELECT event_id, {cases('predicted_fire_type', {k: v for k, v in CLASS_LABELS.items() if k != 'wildfire'}, q('Unclassified'))} AS display, {cases('predicted_fire_type', {k: f'desk-{i}' for i, k in enumerate(CLASS_LABELS) if k != 'wildfire'}, q('duty officer'))} AS contact FROM best"),
     "nearest_events": ("newest", f"SELECT *, row_number() OVER (ORDER BY km, id) AS rank FROM (SELECT o.id AS selected_id, n.id, {hv('o.latitude', 'o.longitude', 'n.latitude', 'n.longitude')} AS km FROM newest n, (SELECT * FROM newest ORDER BY id LIMIT 1) o WHERE n.id <> o.id ORDER BY km, n.id LIMIT 8)"),
     "strongest_in_box": ("places det", "SELECT id, event_id, brightness FROM (SELECT p.id, d.event_id, d.brightness, row_number() OVER (PARTITION BY p.id ORDER BY d.brightness DESC, d.event_id) AS n FROM places p JOIN det d ON abs(d.latitude - p.latitude) <= 0.2E0 AND abs(d.longitude - p.longitude) <= 0.2E0) WHERE n = 1"),
@@ -394,7 +394,7 @@ BODIES: dict[str, tuple[str, str]] = {
     "agg_daily_types": ("typed", "SELECT date, display_type, count(*) AS n FROM typed WHERE date > (SELECT max(date) FROM typed) - 30 GROUP BY ALL"),
     "agg_type_totals": ("typed", "SELECT display_type, count(*) AS n FROM typed GROUP BY ALL"),
     "agg_crosstab": ("labelled", "SELECT fire_type, count(*) FILTER (label_confidence = 'high') AS high, count(*) FILTER (label_confidence = 'medium') AS medium, count(*) FILTER (label_confidence = 'low') AS low FROM labelled GROUP BY fire_type"),
-    "sample_class_cap": ("labelled", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fire_type ORDER BY md5(event_id), event_id) AS class_rank FROM labelled WHERE NOT (fire_type = 'unknown' AND label_confidence = 'low')) WHERE class_rank <= 200"),
+    "sample_class_cap": ("labelled", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fire_type ORDER BY md5(event_id), event_id) AS class_rank FROM labelled WHERE NOT (fire_type = 'unknown' AND label_confidence = 'low')) WHERE class_rank <= 15000"),
     "sample_balanced": ("nextday", "SELECT * FROM nextday WHERE wildfire_next_24h = 1 UNION ALL SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (ORDER BY md5(grid_id || ':' || date), grid_id || ':' || date) AS n FROM nextday WHERE wildfire_next_24h = 0) WHERE n <= (SELECT 2*sum(wildfire_next_24h) FROM nextday)"),
     "agg_kpis": ("feats", f"SELECT count(*) AS events, count(*) FILTER (t IN ('HIGH','CRITICAL')) AS high_or_critical, count(*) FILTER (round(persistence_score*100, 6) >= 70) AS persistent, round(avg(c), 4) AS mean_confidence FROM (SELECT *, {TIER} AS t, {SERVING.format('confidence')} AS c FROM feats)"),
     "agg_cluster_summary": ("comp newest best", "SELECT component, count(*) AS members, count(DISTINCT predicted_fire_type) AS classes, round(avg(confidence), 4) AS mean_confidence, min(latitude) AS south, max(latitude) AS north, min(longitude) AS west, max(longitude) AS east FROM comp JOIN newest USING (id) JOIN best ON best.event_id = id GROUP BY component"),
@@ -409,7 +409,7 @@ BODIES: dict[str, tuple[str, str]] = {
   UNION ALL SELECT '~macro', sum(support), NULL, NULL, avg(f1) FROM f UNION ALL SELECT '~weighted', sum(support), NULL, NULL, sum(f1*support)/sum(support) FROM f)"""),
     "win_prior_activity": ("prior", "SELECT * FROM prior"),
     "persistence_features": ("feats", "SELECT * FROM feats"),
-    "win_top_per_day": ("det", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY round(strength, 9) DESC, event_id) AS rank FROM (SELECT *, coalesce(frp, 0) + brightness/20 AS strength FROM det)) WHERE rank <= 50"),
+    "win_top_per_day": ("det", "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY date ORDER BY round(strength, 9) DESC, event_id) AS rank FROM (SELECT *, coalesce(frp, 0) + brightness/20 AS strength FROM det)) WHERE rank <= 200"),
     "rank_factors": ("contrib", "SELECT * FROM (SELECT *, sign(contribution) AS sign, row_number() OVER (PARTITION BY event_id, sign(contribution) ORDER BY abs(contribution) DESC, feature) AS rank FROM contrib WHERE contribution <> 0) WHERE rank <= 5"),
     "runner_up": ("pred", """
  SELECT event_id, fire_type, runner_up, round(p1, 6) AS confidence, g AS gap_points, CASE WHEN g >= 0 AND g < 10 THEN 1 ELSE 0 END AS close_call, CASE WHEN p1 < 0.5 OR g >= 0 AND g < 10 THEN 1 ELSE 0 END AS tentative FROM (

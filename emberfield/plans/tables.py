@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import detections as d
-from ..operators import clean, labels, persistence, serving, spatial
+from ..operators import clean, labels, model, persistence, serving, spatial
 from ..sources import fixtures
+from ..sources.files import written
 
 CATEGORIES = ("industrial", "mining", "gas")
 CLASSES = ("agricultural_burning", "gas_flare", "industrial_fire", "mining_thermal_source", "wildfire")
@@ -71,6 +72,14 @@ class Tables:
     def labelled(self) -> DataFrame:
         return labels.label_fire_type(self.located)
 
+    @cached_property
+    def parts(self) -> DataFrame:
+        """Labelled rows of known type with imputed inputs, in a training and a test part; written once, as every fit reads them."""
+        inputs = tuple(dict.fromkeys(f for g in model.GROUPS.values() for f in g))
+        known = self.labelled.filter(F.col("fire_type").isin(*CLASSES)).select("event_id", "fire_type", *inputs)
+        known = written(known, "labelled")
+        return written(model.split_stratified(model.imputed(known, inputs)), "parts")
+
     @cached_property
     def predictions(self) -> DataFrame:
         """(event_id, source_id, fire_type, p) by arithmetic on the source id."""
@@ -95,7 +104,7 @@ class Tables:
             F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value"), ((F.col("source_id") * ((i + 2) * 13) % 21 - 10) / 100.0).alias("contribution"))
             for i, f in enumerate(EXPLAINED)
         ))
-        return self.flagged.filter("source_id % 5 = 0").select("event_id", F.explode(pairs).alias("p")).select("event_id", "p.*")
+        return self.flagged.select("event_id", F.explode(pairs).alias("p")).select("event_id", "p.*")
 
     @cached_property
     def feed(self) -> DataFrame:
@@ -120,7 +129,5 @@ class Tables:
 
     @cached_property
     def clusterable(self) -> DataFrame:
-        """The newest 500 events, as served."""
-        rows = self.det.select("event_id", "latitude", "longitude", "timestamp")
-        newest = rows.orderBy(F.desc("timestamp"), "event_id").limit(500)
-        return newest.select(F.col("event_id").alias("id"), "latitude", "longitude", F.unix_timestamp("timestamp").alias("at"))
+        """All events with their time in seconds."""
+        return self.det.select(F.col("event_id").alias("id"), "latitude", "longitude", F.unix_timestamp("timestamp").alias("at"))
