@@ -64,14 +64,20 @@ def dedup_near(df: DataFrame, minutes: int = 10, kelvin: float = 15.0) -> DataFr
     """Sequential near-duplicate removal per cell, day and satellite.
 
     Each row is compared with the last kept one only; within the window and tolerance an archive row
-    displaces a near-real-time one, else the later row is dropped.  The fold runs over a sorted array
-    per group (one cell, day and satellite), inside the JVM.
+    displaces a near-real-time one, else the later row is dropped.  A row that comes longer than the
+    window after the one before it is far from whatever was kept, so each group is cut there; the fold
+    runs over the sorted array of one such run, inside the JVM.
     """
     row = F.struct(
         F.unix_timestamp("timestamp").alias("at"), F.col("data_quality").alias("q"), F.col("source_id").alias("s"),
         F.col("brightness").alias("k"), F.col("event_id").alias("e"),
     )
-    rows = df.groupBy("grid_id", "date", "satellite").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    group = ["grid_id", "date", "satellite"]
+    ordered = Window.partitionBy(*group).orderBy("row")
+    rows = df.select(*group, row.alias("row"))
+    rows = rows.withColumn("gap", F.col("row.at") - F.lag("row.at").over(ordered))
+    rows = rows.withColumn("run", F.count(F.when(F.col("gap") > minutes * 60, 1)).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.groupBy(*group, "run").agg(F.sort_array(F.collect_list("row")).alias("rows"))
 
     def step(acc: Column, x: Column) -> Column:
         last = acc["last"]
@@ -87,4 +93,4 @@ def dedup_near(df: DataFrame, minutes: int = 10, kelvin: float = 15.0) -> DataFr
     start = F.struct(F.get(none, 0).alias("last"), none.alias("kept"))
     kept = F.aggregate("rows", start, step, lambda acc: acc["kept"])
     kept = rows.select(F.explode(kept).alias("x")).select(F.col("x.e").alias("event_id"), F.col("x.s").alias("source_id"))
-    return df.join(kept, ["event_id", "source_id"], "left_semi")
+    return df.join(kept.hint("merge"), ["event_id", "source_id"], "left_semi")

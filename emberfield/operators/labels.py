@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import detections as d
+from .quantiles import exact_percentile
 
 
 def _flag(c: Column) -> Column:
@@ -31,8 +32,10 @@ def industrial_context(df: DataFrame) -> DataFrame:
 
 def high_frp_threshold(df: DataFrame, share: float = 0.9, approximate: int | None = None) -> DataFrame:
     """One row with the percentile of radiative power, linearly interpolated; or a bounded sketch of it."""
-    how = F.percentile("frp", share) if approximate is None else F.percentile_approx("frp", share, approximate)
-    return df.agg(how.alias("high_frp_threshold"))
+    if approximate is None:
+        exact = exact_percentile(df.select(F.lit("frp").alias("feature"), F.col("frp").alias("value")), share)
+        return exact.agg(F.max("percentile").alias("high_frp_threshold"))
+    return df.agg(F.percentile_approx("frp", share, approximate).alias("high_frp_threshold"))
 
 
 def model_flags(df: DataFrame, threshold: DataFrame) -> DataFrame:
@@ -127,10 +130,12 @@ def hash_rank(df: DataFrame, group: str, key: Column, name: str = "hash_rank") -
 
 
 def class_capped(labelled: DataFrame, cap: int) -> DataFrame:
-    """At most ``cap`` rows per class in a fixed random order, without low-confidence unknowns."""
+    """At most ``cap`` rows per class in a fixed random order, without low-confidence unknowns.
+
+    Ranks are taken within ranges of the hash, so no task sorts a whole class.
+    """
     usable = labelled.filter(~((F.col("fire_type") == "unknown") & (F.col("label_confidence") == "low")))
-    w = Window.partitionBy("fire_type").orderBy(hashed(F.col("event_id")), "event_id")
-    return usable.withColumn("class_rank", F.row_number().over(w)).filter(F.col("class_rank") <= cap)
+    return hash_rank(usable, "fire_type", F.col("event_id"), "class_rank").filter(F.col("class_rank") <= cap)
 
 
 def balanced(daily: DataFrame, ratio: int = 2) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .labels import hash_rank
+from .quantiles import exact_percentile
 
 #: Feature groups of the ablation.
 GROUPS = {
@@ -31,9 +32,11 @@ def _long(df: DataFrame, features: tuple[str, ...]) -> DataFrame:
 
 def medians(df: DataFrame, features: tuple[str, ...]) -> DataFrame:
     """(feature, median, missing); infinite values count as missing."""
-    return _long(df, features).groupBy("feature").agg(
-        F.median("value").alias("median"), F.sum(F.col("value").isNull().cast("int")).alias("missing")
-    )
+    values = _long(df, features)
+    missing = values.groupBy("feature").agg(F.sum(F.col("value").isNull().cast("int")).alias("missing"))
+    # One row per feature.
+    middle = exact_percentile(values, 0.5).select("feature", F.col("percentile").alias("median"))
+    return missing.join(F.broadcast(middle), "feature", "left").select("feature", "median", "missing")
 
 
 def imputed(df: DataFrame, features: tuple[str, ...]) -> DataFrame:

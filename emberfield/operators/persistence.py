@@ -72,7 +72,7 @@ def nearby(current: DataFrame, history: DataFrame, km: float = 0.75, days: int =
     """Per current point (id): observations and unique days of the history within ``km``, score and pattern."""
     near = bucket_join(current.select("id", "latitude", "longitude"), history.select("latitude", "longitude", "date"), km)
     seen = near.groupBy("id").agg(F.count("*").alias("observations"), F.countDistinct("right_date").alias("unique_days"))
-    both = current.select("id").join(seen, "id", "left").fillna(0, ["observations", "unique_days"])
+    both = current.select("id").join(seen.hint("merge"), "id", "left").fillna(0, ["observations", "unique_days"])
     enough = F.col("unique_days") >= 2
     score = F.when(enough, F.least(F.lit(100), d.nearest_int(F.col("unique_days") / days * 100))).otherwise(F.lit(0))
     return both.withColumn("score", score.cast("long")).withColumn(
@@ -90,6 +90,11 @@ def snapshot_persistence(det: DataFrame, days: int = 30) -> DataFrame:
     return grouped.withColumn("score", d.nearest_int(F.col("active_days") / days * 100))
 
 
+def unlabelled(det: DataFrame, days: int = 30) -> DataFrame:
+    """Rows of the last ``days`` days whose type is still unknown."""
+    return trailing(det, days).filter("firms_type is null")
+
+
 def trailing(det: DataFrame, days: int) -> DataFrame:
     """Rows of the last ``days`` calendar days up to the data's own last day."""
     last = det.agg(F.max("date").alias("last_date"))

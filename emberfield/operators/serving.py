@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import detections as d
 from .clean import keep_first
+from ..sources.files import written
 from .persistence import trailing
+from .spatial import box_cells
 
 #: Display labels of classes.
 CLASS_LABELS = {
@@ -33,16 +35,19 @@ def normalize_feed(raw: DataFrame) -> DataFrame:
 def match_unique(points: DataFrame, rows: DataFrame, tolerance: float = 1e-5) -> DataFrame:
     """Points (id, latitude, longitude, date, time, satellite) with the one row at their place and time.
 
-    Status is matched, ambiguous or unmatched.  Date, time and satellite are join keys; the rest is a
-    condition on the joined row.
+    Status is matched, ambiguous or unmatched.  Date, time, satellite and a small cell are join keys, so
+    that one overpass is spread over many tasks; points go to each cell that their tolerance touches.
     """
-    keys = ["date", "time", "satellite"]
-    other = rows.select(*keys, F.col("latitude").alias("y"), F.col("longitude").alias("x"), "event_id", "fire_type")
+    lat, lon, size = F.col("latitude"), F.col("longitude"), max(0.001, 10 * tolerance)
+    keys = ["date", "time", "satellite", "_cell"]
+    cell = F.struct(F.floor(lat / size).alias("a"), F.floor(lon / size).alias("b"))
+    other = rows.withColumn("_cell", cell).select(*keys, lat.alias("y"), lon.alias("x"), "event_id", "fire_type")
+    sent = points.withColumn("_cell", F.explode(box_cells(lat, lon, size, 2 * tolerance, 2 * tolerance)))
     near = (F.abs(F.col("latitude") - F.col("y")) < tolerance) & (F.abs(F.col("longitude") - F.col("x")) < tolerance)
-    met = points.join(other, keys).filter(near).groupBy("id").agg(
+    met = sent.join(other.hint("merge"), keys).filter(near).groupBy("id").agg(
         F.count("*").alias("matches"), F.min("event_id").alias("event_id"), F.min("fire_type").alias("fire_type")
     )
-    out = points.select("id").join(met, "id", "left")
+    out = points.select("id").join(met.hint("merge"), "id", "left")
     n = F.coalesce("matches", F.lit(0))
     one = n == 1
     return out.select(
@@ -51,6 +56,13 @@ def match_unique(points: DataFrame, rows: DataFrame, tolerance: float = 1e-5) ->
     )
 
 
+def exactly_one(matched: DataFrame) -> DataFrame:
+    """The same rows, or a failure when they are read if a point has no row or several."""
+    one = F.col("status") == "matched"
+    text = F.concat(F.lit("no single row for point "), F.coalesce(F.col("id").cast("string"), F.lit("null")), F.lit(": "), F.col("status"))
+    return matched.withColumn("status", F.when(one, F.col("status")).otherwise(F.raise_error(text).cast("string")))
+
+
 def match_outcomes(matched: DataFrame) -> DataFrame:
     outcome = F.when(F.col("status") == "matched", F.col("fire_type")).otherwise(F.col("status"))
     return matched.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
@@ -100,9 +112,17 @@ def type_totals(typed: DataFrame) -> DataFrame:
     return typed.groupBy("display_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "display_type")
 
 
-def upsert_events(current: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
-    """New rows are inserted whole; of known ones only the listed columns change."""
-    changing = ("brightness", "confidence", "risk", "classification", "source", "features")
+#: Columns of an event that later rows of its key change.
+CHANGING = ("brightness", "confidence", "risk", "classification", "source", "features")
+
+
+def upsert_events(current: DataFrame, updates: DataFrame, key: str = "id", changing: tuple[str, ...] = CHANGING) -> DataFrame:
+    """New rows are inserted whole; of known ones only the columns in ``changing`` change.
+
+    Of several updates with one key the last by time counts, then the largest by its other columns.
+    """
+    order = sorted((c for c in updates.columns if c != key), key=lambda c: c != "detected_at")
+    updates = keep_first(updates, [key], [F.desc(c) for c in order])
     ours, theirs = current.alias("c"), updates.alias("u")
     known = F.col(f"c.{key}").isNotNull()
     new = F.col(f"u.{key}").isNotNull()
@@ -171,6 +191,20 @@ def search(events: DataFrame, text: str, columns: tuple[str, ...]) -> DataFrame:
     return events.filter(F.lower(F.concat_ws(" ", *columns)).contains(text.lower()))
 
 
+def numbered(df: DataFrame, *order: Column | str, name: str = "position") -> DataFrame:
+    """Adds the row's place in a full order, without moving all rows to one task.
+
+    Rows are range-partitioned and written; the sizes of the partitions before give a partition's first place.
+    """
+    rows = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "sorted")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    # One row per partition.
+    placed = rows.withColumn("_own", own).join(F.broadcast(sizes), "_part")
+    return placed.withColumn(name, F.col("_first") + F.col("_own")).drop("_part", "_own", "_first")
+
+
 def top_per_day(det: DataFrame, k: int = 200) -> DataFrame:
     """The ``k`` strongest rows of each day by power and brightness, with their number."""
     strength = F.coalesce("frp", F.lit(0.0)) + F.col("brightness") / 20

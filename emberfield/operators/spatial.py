@@ -15,10 +15,12 @@ from ..functions.geo import RADIUS, degrees_of, haversine
 from ..sources.files import written
 
 
-def _cells(lat: Column, lon: Column, size: float, dlat: Column | float, dlon: Column | float) -> Column:
-    """Array of (a, b) cells that a box around a point touches."""
+def box_cells(lat: Column, lon: Column, size: float, dlat: Column | float, dlon: Column | float) -> Column:
+    """Array of (a, b) cells that a box around a point touches, also beyond the 180th meridian."""
     a = F.sequence(F.floor((lat - dlat) / size), F.floor((lat + dlat) / size))
-    b = F.sequence(F.floor((lon - dlon) / size), F.floor((lon + dlon) / size))
+    strip = lambda x: F.sequence(F.floor((x - dlon) / size), F.floor((x + dlon) / size))
+    b = F.when(lon - dlon < -180, F.array_union(strip(lon), strip(lon + 360)))
+    b = b.when(lon + dlon > 180, F.array_union(strip(lon), strip(lon - 360))).otherwise(strip(lon))
     return F.flatten(F.transform(a, lambda i: F.transform(b, lambda j: F.struct(i.alias("a"), j.alias("b")))))
 
 
@@ -37,7 +39,7 @@ def bucket_join(left: DataFrame, right: DataFrame, km: float, radius: float = RA
     size, _ = degrees_of(km, 0.0, radius)
     lat, lon = F.col("latitude"), F.col("longitude")
     sent = left.withColumn(
-        "_cell", F.explode(_cells(lat, lon, size, size * (1 + 1e-9), _lon_degrees(lat, km, radius) * (1 + 1e-9)))
+        "_cell", F.explode(box_cells(lat, lon, size, size * (1 + 1e-9), _lon_degrees(lat, km, radius) * (1 + 1e-9)))
     )
     named = right.select(
         F.struct(F.floor(lat / size).alias("a"), F.floor(lon / size).alias("b")).alias("_cell"),
@@ -51,7 +53,7 @@ def bucket_join(left: DataFrame, right: DataFrame, km: float, radius: float = RA
 def radius_count(places: DataFrame, points: DataFrame, km: float) -> DataFrame:
     """Number of points within ``km`` of each place (id), zero included."""
     hit = bucket_join(places.select("id", "latitude", "longitude"), points.select("latitude", "longitude"), km)
-    return places.select("id").join(hit.groupBy("id").agg(F.count("*").alias("n")), "id", "left").fillna(0, ["n"])
+    return places.select("id").join(hit.groupBy("id").agg(F.count("*").alias("n")).hint("merge"), "id", "left").fillna(0, ["n"])
 
 
 def top_nearest(places: DataFrame, points: DataFrame, km: float, k: int, by: tuple[str, ...] = ("category",)) -> DataFrame:
@@ -67,10 +69,9 @@ def nearest_distance(
     """Distance in km from each place (id, latitude, longitude) to the nearest point of each category.
 
     The search widens ring by ring; a place leaves once its nearest point lies within the ring, since
-    no nearer one can be outside.  Places open after the last ring meet the category's points in one
-    cross product with a bounded side: the distinct points of a coarse hull would not be exact, so
-    all points of the category are taken and the minimum is combined before the shuffle.  Points are
-    reduced to distinct places first.  Null where a category has no points.
+    no nearer one can be outside.  Places open after the last ring meet only the points of cells that
+    can hold their nearest one (``far_distance``).  Points are reduced to distinct places first.  Null
+    where a category has no points.
     """
     wanted = written(places.select("id", "latitude", "longitude"), "places")
     spots = points.filter("latitude is not null and longitude is not null").select("category", "latitude", "longitude").distinct()
@@ -82,23 +83,44 @@ def nearest_distance(
         met = bucket_join(open_, spots, km).filter("category = right_category")
         near = written(met.groupBy("id", "category").agg(F.min("km").alias("km")), "ring")
         found.append(near)
-        open_ = written(open_.join(near.select("id", "category"), ["id", "category"], "left_anti"), "open")
-    far = open_.join(spots.select("category", F.col("latitude").alias("y"), F.col("longitude").alias("x")), "category")
-    far = far.withColumn("km", haversine(F.col("latitude"), F.col("longitude"), F.col("y"), F.col("x")))
-    found.append(far.groupBy("id", "category").agg(F.min("km").alias("km")))
+        open_ = written(open_.join(near.select("id", "category").hint("merge"), ["id", "category"], "left_anti"), "open")
+    found.append(far_distance(open_, spots))
     all_ = found[0]
     for f in found[1:]:
         all_ = all_.unionByName(f)
     wide = all_.groupBy("id").agg(
         *(F.min(F.when(F.col("category") == c, F.col("km"))).alias(f"distance_to_{c}_km") for c in categories)
     )
-    return wanted.select("id").join(wide, "id", "left")
+    return wanted.select("id").join(wide.hint("merge"), "id", "left")
+
+
+def far_distance(open_: DataFrame, spots: DataFrame, degrees: float = 2.0) -> DataFrame:
+    """(id, category, km): exact distance from each row to its category's nearest spot, however far.
+
+    Both sides are put in coarse cells.  Two points are at most ``slack`` nearer or farther than the
+    centres of their cells, so only cells within twice that of the nearest occupied one can hold the
+    nearest spot; rows meet the spots of those cells alone.
+    """
+    lat, lon = F.col("latitude"), F.col("longitude")
+    cell = F.struct(F.floor(lat / degrees).alias("a"), F.floor(lon / degrees).alias("b"))
+    # From a centre to any point of its cell, for both cells.
+    slack = 2 * RADIUS * 2 * math.asin(math.sqrt(2) * math.sin(math.radians(degrees / 2) / 2)) * (1 + 1e-9)
+    asked = open_.select("id", "category", "latitude", "longitude", cell.alias("_home"))
+    held = spots.select("category", lat.alias("y"), lon.alias("x"), cell.alias("_cell"))
+    centre = lambda c: ((F.col(f"{c}.a") + 0.5) * degrees, (F.col(f"{c}.b") + 0.5) * degrees)
+    # At most 16,471 cells of two degrees per category, so the broadcast side has a fixed bound.
+    met = asked.select("category", "_home").distinct().join(F.broadcast(held.select("category", "_cell").distinct()), "category")
+    met = met.withColumn("away", haversine(*centre("_home"), *centre("_cell")))
+    least = F.min("away").over(Window.partitionBy("category", "_home"))
+    pairs = met.withColumn("least", least).filter(F.col("away") <= F.col("least") + 2 * slack).select("category", "_home", "_cell")
+    sent = asked.join(pairs.hint("merge"), ["category", "_home"]).join(held.hint("merge"), ["category", "_cell"])
+    return sent.groupBy("id", "category").agg(F.min(haversine(lat, lon, F.col("y"), F.col("x"))).alias("km"))
 
 
 def strongest_in_box(centres: DataFrame, det: DataFrame, degrees: float = 0.2) -> DataFrame:
     """Per centre (id): the brightest detection within the box; ties by event id."""
     lat, lon = F.col("latitude"), F.col("longitude")
-    sent = centres.select("id", lat.alias("y"), lon.alias("x"), F.explode(_cells(lat, lon, degrees, degrees, degrees)).alias("_cell"))
+    sent = centres.select("id", lat.alias("y"), lon.alias("x"), F.explode(box_cells(lat, lon, degrees, degrees, degrees)).alias("_cell"))
     cell = F.struct(F.floor(lat / degrees).alias("a"), F.floor(lon / degrees).alias("b")).alias("_cell")
     met = sent.join(det.select(cell, "event_id", "latitude", "longitude", "brightness").hint("merge"), "_cell")
     met = met.filter((F.abs(lat - F.col("y")) <= degrees) & (F.abs(lon - F.col("x")) <= degrees))

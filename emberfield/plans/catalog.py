@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -334,6 +334,12 @@ def filter_trailing_window(t):
     return persistence.trailing(t.det, 7)
 
 
+@query("event_id:s date:s")
+def filter_unlabelled(t):
+    """Rows that a model still has to label."""
+    return persistence.unlabelled(t.det)
+
+
 @query("event_id:s tier:s")
 def filter_priority_search(t):
     rows = t.det.withColumn("tier", d.tier(c("brightness"), c("frp")))
@@ -541,11 +547,11 @@ def _members(t):
 @query("component:s members:l classes:l mean_confidence:d south:d north:d west:d east:d")
 def agg_cluster_summary(t):
     p = t.predicted.select(c("event_id").alias("id"), c("predicted_fire_type").alias("classification"), "confidence")
-    return clusters.cluster_summary(_members(t).join(p, "id"))
+    return clusters.cluster_summary(_members(t).join(p.hint("merge"), "id"))
 
 
 def _evaluated(t):
-    return t.labelled.filter("fire_type <> 'unknown'").join(t.predicted, "event_id")
+    return t.labelled.filter("fire_type <> 'unknown'").join(t.predicted.hint("merge"), "event_id")
 
 
 @query("actual:s predicted:s n:l")
@@ -571,7 +577,7 @@ def win_prior_activity(t):
     "persistence_ratio_30d:d persistent_source_flag:l high_persistence_flag:l frp_per_detection_30d:d persistence_score:d"
 )
 def persistence_features(t):
-    return t.feats
+    return persistence.features(t.det)
 
 
 @query("event_id:s date:s rank:l strength:d")
@@ -614,15 +620,8 @@ def dedup_event_id(t):
 
 @query("position:l event_id:s")
 def sort_detections(t):
-    """The order of the detections, numbered without moving all rows to one task."""
-    parts = t.det.select("timestamp", "latitude", "longitude", "event_id").repartitionByRange("timestamp", "latitude", "longitude", "event_id")
-    path = files.shared_folder(t.spark, "sorted")
-    parts.withColumn("part", F.spark_partition_id()).write.parquet(path)
-    rows = t.spark.read.parquet(path)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), lit(0)).alias("first"))
-    own = F.row_number().over(Window.partitionBy("part").orderBy("timestamp", "latitude", "longitude", "event_id"))
-    return rows.withColumn("own", own).join(sizes, "part").withColumn("position", c("first") + c("own"))
+    order = ("timestamp", "latitude", "longitude", "event_id")
+    return serving.numbered(t.det.select(*order), *order)
 
 
 @query("event_id:s seen_at:s")
@@ -643,7 +642,7 @@ def last10_days(t):
 
 @query("event_id:s side:s")
 def key_set_diff(t):
-    return serving.key_set_diff(t.det.filter("source_id % 5 <> 0"), t.predicted.join(t.det.select("event_id", "source_id"), "event_id").filter("source_id % 7 <> 0"), "event_id")
+    return serving.key_set_diff(t.det.filter("source_id % 5 <> 0"), t.predicted.join(t.det.select("event_id", "source_id").hint("merge"), "event_id").filter("source_id % 7 <> 0"), "event_id")
 
 
 # History
@@ -715,6 +714,12 @@ def event_clusters(t):
     return clusters.event_clusters(t.clusterable)
 
 
+@query("cluster_id:s members:l position:l")
+def clusters_by_size(t):
+    sizes = _members(t).groupBy(c("component").alias("cluster_id")).agg(F.count("*").alias("members"))
+    return serving.numbered(sizes, F.desc("members"), "cluster_id")
+
+
 # Models
 
 MODEL_INPUTS = ("brightness", "frp", "log_frp", "confidence_score", "hour", "month", "active_days_30d", "hotspot_count_30d", "persistence_score")
@@ -755,6 +760,20 @@ def feature_importance(t):
     return model.importance(model.train(t.parts, MODEL_INPUTS), MODEL_INPUTS)
 
 
+@query("rows:l classes:l bad_sums:l bad_classes:l inputs:l importance:d")
+def model_checks(t):
+    """What holds for any forest on these rows: every test row gets a known class, and shares add up to one."""
+    parts = t.parts
+    fitted = model.train(parts.filter("part = 'train'"), MODEL_INPUTS)
+    total = F.aggregate(F.map_values("probabilities"), lit(0.0), lambda a, x: a + x)
+    scored = model.score(fitted, parts.filter("part = 'test'")).agg(
+        F.count("*").alias("rows"), F.countDistinct("fire_type").alias("classes"), F.count(F.when(F.abs(total - 1) > 1e-6, 1)).alias("bad_sums"),
+        F.count(F.when(~c("predicted_fire_type").isin(*CLASSES), 1)).alias("bad_classes"),
+    )
+    shares = model.importance(fitted, MODEL_INPUTS).agg(F.count("*").alias("inputs"), F.sum("importance").alias("importance"))
+    return scored.crossJoin(F.broadcast(shares))
+
+
 @query("feature_group:s features:l accuracy:d")
 def group_ablation(t):
     return model.ablation(t.parts)
@@ -771,7 +790,7 @@ def contract_table(t):
 @query("rows:l bad_sums:l bad_classes:l")
 def check_predictions(t):
     pairs = F.map_from_entries(F.collect_list(F.struct("fire_type", "p"))).alias("probabilities")
-    rows = t.predictions.groupBy("event_id").agg(pairs).join(t.predicted, "event_id").withColumnRenamed("predicted_fire_type", "fire_type")
+    rows = t.predictions.groupBy("event_id").agg(pairs).join(t.predicted.hint("merge"), "event_id").withColumnRenamed("predicted_fire_type", "fire_type")
     return scoring.check_predictions(rows)
 
 
@@ -787,7 +806,7 @@ def _as_files(t, df: DataFrame) -> tuple[str, T.StructType]:
 @query("id:s latitude:d brightness:d risk:s classification:s source:s")
 def stream_upsert(t):
     path, schema = _as_files(t, t.feed)
-    return ingest.stream_upsert(t.spark, path, schema, serving.feed_events, serving.upsert_events)
+    return ingest.stream_upsert(t.spark, path, schema, serving.feed_events, "id", serving.CHANGING)
 
 
 @query("event_id:s source_id:l brightness:d data_quality:s")

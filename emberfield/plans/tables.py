@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,10 +22,20 @@ EXPLAINED = (
 )
 
 
+_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def _kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A derived table, written once for a session and folder, whose tables don't change meanwhile."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _KEPT:
+            _KEPT[key] = written(build(), name)
+        return _KEPT[key]
+
     @cached_property
     def raw(self) -> DataFrame:
         return fixtures.detections_raw(self.spark, self.sf_dir)
@@ -43,11 +54,11 @@ class Tables:
 
     @cached_property
     def det(self) -> DataFrame:
-        return clean.clean(self.raw)
+        return self._kept("detections", lambda: clean.clean(self.raw))
 
     @cached_property
     def feats(self) -> DataFrame:
-        return persistence.features(self.det)
+        return self._kept("features", lambda: persistence.features(self.det))
 
     @cached_property
     def flagged(self) -> DataFrame:
@@ -60,9 +71,13 @@ class Tables:
     @cached_property
     def distances(self) -> DataFrame:
         """Distances per distinct place of the detections."""
-        places = self.det.select("latitude", "longitude").distinct().withColumn("id", F.struct("latitude", "longitude"))
-        near = spatial.nearest_distance(places, self.poi, CATEGORIES)
-        return near.select("id.latitude", "id.longitude", *(f"distance_to_{c}_km" for c in CATEGORIES))
+
+        def build() -> DataFrame:
+            places = self.det.select("latitude", "longitude").distinct().withColumn("id", F.struct("latitude", "longitude"))
+            near = spatial.nearest_distance(places, self.poi, CATEGORIES)
+            return near.select("id.latitude", "id.longitude", *(f"distance_to_{c}_km" for c in CATEGORIES))
+
+        return self._kept("distances", build)
 
     @cached_property
     def located(self) -> DataFrame:
@@ -114,7 +129,7 @@ class Tables:
     def typed(self) -> DataFrame:
         """Detections of known and predicted type with their display type."""
         some = self.predicted.filter(F.ascii(F.substring(F.md5(F.col("event_id").cast("binary")), 1, 1)) % 3 != 0)
-        both = self.det.join(some, "event_id", "left")
+        both = self.det.join(some.hint("merge"), "event_id", "left")
         return both.withColumn("display_type", serving.display_type(F.col("firms_type"), F.col("predicted_fire_type")))
 
     @cached_property

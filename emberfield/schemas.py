@@ -30,7 +30,7 @@ STANDARD = T.StructType([
     T.StructField("source_id", T.LongType()),
 ])
 
-#: Model inputs in their fixed order.
+#: Model inputs in their order.
 FEATURES = (
     "brightness", "bright_t31", "frp", "confidence_score", "log_frp", "thermal_excess", "hour", "month", "day_of_year",
     "is_night", "hotspot_count_7d", "active_days_7d", "hotspot_count_30d", "active_days_30d", "persistence_ratio_7d",

@@ -14,8 +14,12 @@ from ..schemas import RAW_TEXT, align_schema, standardize_columns
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="emberfield-")
+    """A new folder below ``spark.checkpoint.dir``; a temporary one in local mode where that is unset."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="emberfield-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -23,36 +23,51 @@ def drain(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint:
     query.awaitTermination()
 
 
-def keyed_table(merge: Callable[[DataFrame, DataFrame], DataFrame], folder: str) -> tuple[Callable[[DataFrame, int], None], Callable[[SparkSession], DataFrame]]:
-    """A table kept as versions in a folder: (sink for micro-batches, reader of the last version).
+def kept_batches(folder: str, schema: T.StructType, spark: SparkSession) -> tuple[Callable[[DataFrame, int], None], Callable[[], DataFrame]]:
+    """(sink that adds each micro-batch to a folder, reader of all of them with their number).
 
-    A repeated batch writes the same version again, so restarts don't apply it twice.
+    Nothing already there is written again, a repeated batch replaces itself, and all state is in the
+    folder: a restarted job goes on where the last one ended.  An empty first batch makes the table
+    readable before any file has come.
     """
-    last = {"version": -1, "schema": None}
 
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        if number == 0:
-            out = batch
-        else:
-            out = merge(spark.read.schema(batch.schema).parquet(f"{folder}/{number - 1}"), batch)
-        out.write.mode("overwrite").parquet(f"{folder}/{number}")
-        last.update(version=number, schema=batch.schema)
+        batch.select(*schema.names).write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
-    def read(spark: SparkSession) -> DataFrame:
-        return spark.read.schema(last["schema"]).parquet(f"{folder}/{last['version']}")
+    def read() -> DataFrame:
+        numbered = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+        return spark.read.schema(numbered).parquet(folder)
 
+    each(spark.createDataFrame([], schema), -1)
     return each, read
 
 
+def merged(rows: DataFrame, keys: list[str], changing: tuple[str, ...] | None = None) -> DataFrame:
+    """One row per key: the columns in ``changing`` (all, if None) from its last row, the others from its first.
+
+    Rows count in the order of their batch, within one by their columns.  Partial aggregates keep at
+    most two rows per key and task, so a key that comes very often is no hot spot.
+    """
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    row, order = F.struct(*values), F.struct("batch", *values)
+    ends = rows.groupBy(*keys).agg(F.min_by(row, order).alias("first"), F.max_by(row, order).alias("last"))
+    pick = lambda c: "last" if changing is None or c in changing else "first"
+    return ends.select(*keys, *(F.col(f"{pick(c)}.{c}").alias(c) for c in values))
+
+
 def stream_upsert(
-    spark: SparkSession, path: str, schema: T.StructType, shape: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame, DataFrame], DataFrame], files: int = 2
+    spark: SparkSession, path: str, schema: T.StructType, shape: Callable[[DataFrame], DataFrame], key: str, changing: tuple[str, ...],
+    files: int = 2, folder: str | None = None,
 ) -> DataFrame:
-    """Reads files as they come, shapes each micro-batch into events and merges it into the table."""
-    folder = shared_folder(spark, "upsert")
-    each, read = keyed_table(merge, f"{folder}/table")
+    """Reads files as they come, shapes each micro-batch into events and adds it; the table is merged when read.
+
+    Started again on the same ``folder`` it takes only files that it has not seen.
+    """
+    folder = folder or shared_folder(spark, "upsert")
+    shaped = shape(spark.createDataFrame([], schema)).schema
+    each, read = kept_batches(f"{folder}/table", shaped, spark)
     drain(file_stream(spark, path, schema, files), lambda b, n: each(shape(b), n), f"{folder}/checkpoint")
-    return read(spark)
+    return merged(read(), [key], changing)
 
 
 def stream_dedup(spark: SparkSession, path: str, schema: T.StructType, keys: list[str], time: str, delay: str) -> DataFrame:
@@ -70,9 +85,6 @@ def stream_daily_activity(spark: SparkSession, path: str, schema: T.StructType,
     sums = stream.groupBy(F.window("timestamp", "1 day"), "grid_id").agg(F.count("*").alias("n"), F.max("brightness").alias("max_brightness"))
     flat = sums.select(F.col("window.start").cast("date").alias("date"), "grid_id", "n", "max_brightness")
 
-    def merge(current: DataFrame, batch: DataFrame) -> DataFrame:
-        return current.join(batch.select("date", "grid_id"), ["date", "grid_id"], "left_anti").unionByName(batch)
-
-    each, read = keyed_table(merge, f"{folder}/table")
+    each, read = kept_batches(f"{folder}/table", flat.schema, spark)
     drain(flat, each, f"{folder}/checkpoint", "update")
-    return read(spark)
+    return merged(read(), ["date", "grid_id"])

@@ -2,13 +2,15 @@
 
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from emberfield import schemas
 from emberfield.functions import detections as d
 from emberfield.functions import geo
-from emberfield.operators import clean, clusters, history, labels, persistence, scoring, serving, spatial
+from emberfield.operators import clean, clusters, history, labels, persistence, quantiles, scoring, serving, spatial
+from emberfield.streaming import ingest
 
 
 def day(n):
@@ -162,3 +164,80 @@ def test_rank_ties_are_ordered(spark):
     df = spark.createDataFrame([("a", 2), ("b", 1)], "event_id string, x int")
     kept = clean.keep_first(df.withColumn("k", F.lit(1)), ["k"], ["x", "event_id"])
     assert kept.first()["event_id"] == "b"
+
+
+def test_exact_percentile_equals_numpy_on_both_sides_of_the_bracket(spark):
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 40_000):
+        values = np.round(rng.lognormal(size=n), 3)
+        df = spark.createDataFrame([("f", float(v)) for v in values] + [("f", None)], "feature string, value double")
+        for share in (0.0, 0.5, 0.9, 1.0):
+            row = quantiles.exact_percentile(df, share).first()
+            assert row["n"] == n and row["percentile"] == pytest.approx(np.quantile(values, share), abs=1e-12)
+    assert labels.high_frp_threshold(spark.createDataFrame([], "frp double")).first()[0] is None
+
+
+def test_far_distance_equals_brute_force_over_the_globe(spark):
+    rng = np.random.default_rng(5)
+    spots = [("gas", float(a), float(b)) for a, b in zip(rng.uniform(-90, 90, 60), rng.uniform(-180, 180, 60), strict=True)] + [("gas", 90.0, 0.0), ("gas", -3.0, 180.0)]
+    places = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(-90, 90, 80), rng.uniform(-180, 180, 80), strict=True))] + [(80, -3.0, -179.99)]
+    places = spark.createDataFrame(places, "id long, latitude double, longitude double")
+    spots = spark.createDataFrame(spots, "category string, latitude double, longitude double")
+    every = places.crossJoin(spots.select(F.col("latitude").alias("y"), F.col("longitude").alias("x")))
+    want = dict(every.groupBy("id").agg(F.min(geo.haversine("latitude", "longitude", F.col("y"), F.col("x")))).collect())
+    near = dict(spatial.nearest_distance(places, spots, ("gas",)).select("id", "distance_to_gas_km").collect())
+    far = dict(spatial.far_distance(places.withColumn("category", F.lit("gas")), spots).select("id", "km").collect())
+    assert near == pytest.approx(want) and far == pytest.approx(want)
+    assert near[80] < 2  # across the 180th meridian
+
+
+def test_spread_equals_all_pairs(spark):
+    rng = np.random.default_rng(7)
+    rows = [(1, day(0), round(float(a), 3), round(float(b), 3)) for a, b in rng.uniform(20.0, 20.1, (60, 2))] + [(2, day(0), 20.0, 80.0), (3, day(0), 1.0, 1.0), (3, day(0), 1.0, 1.0)]
+    det = spark.createDataFrame(rows, "grid_id long, date date, latitude double, longitude double")
+    other = det.select("grid_id", F.col("latitude").alias("y"), F.col("longitude").alias("x"))
+    km = geo.haversine("latitude", "longitude", F.col("y"), F.col("x"), geo.HISTORY_RADIUS)
+    want = dict(det.join(other, "grid_id").groupBy("grid_id").agg(F.max(km)).collect()) | {2: None}
+    assert dict(history.daily_spread(det).select("grid_id", "estimated_spread_km").collect()) == pytest.approx(want)
+
+
+def test_near_duplicates_do_not_reach_over_a_gap(spark):
+    chain = detections(spark, [(m, "NRT", 300.0) for m in (0, 10, 20, 31, 41, 60, 61)])
+    assert rows_of(clean.dedup_near(chain), "source_id") == [(0,), (2,), (3,), (5,)]
+
+
+def test_exactly_one_fails_on_unmatched_points(spark):
+    schema = "id string, status string, event_id string, fire_type string"
+    good = spark.createDataFrame([("a", "matched", "e", "wildfire")], schema)
+    assert serving.exactly_one(good).count() == 1
+    with pytest.raises(Exception, match="no single row for point b: ambiguous"):
+        serving.exactly_one(good.unionByName(spark.createDataFrame([("b", "ambiguous", None, None)], schema))).collect()
+
+
+EVENT = "id string, detected_at timestamp, latitude double, brightness double"
+
+
+def test_upsert_takes_the_last_of_several_updates(spark):
+    at = dt.datetime(2024, 1, 1)
+    old = spark.createDataFrame([("a", at, 1.0, 300.0)], EVENT)
+    new = spark.createDataFrame([("a", at + dt.timedelta(hours=h), 9.0, 310.0 + h) for h in (2, 1)] + [("b", at, 3.0, k) for k in (5.0, 6.0)], EVENT)
+    assert rows_of(serving.upsert_events(old, new), "id", "latitude", "brightness") == [("a", 1.0, 312.0), ("b", 3.0, 6.0)]
+
+
+def test_a_stream_goes_on_after_a_restart(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    put = lambda *rows: spark.createDataFrame([(i, at, lat, k) for i, lat, k in rows], EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = spark.createDataFrame([], EVENT).schema
+    run = lambda: rows_of(
+        ingest.stream_upsert(spark, str(tmp_path / "in"), schema, lambda df: df, "id", ("brightness",), folder=str(tmp_path / "state")), "id", "latitude", "brightness"
+    )
+    put(("a", 1.0, 300.0), ("a", 1.0, 301.0))
+    assert run() == [("a", 1.0, 301.0)]
+    assert run() == [("a", 1.0, 301.0)]  # nothing new
+    put(("a", 7.0, 290.0), ("b", 2.0, 310.0))
+    assert run() == [("a", 1.0, 290.0), ("b", 2.0, 310.0)]
+
+
+def test_unlabelled_rows_of_the_window(spark):
+    det = spark.createDataFrame([(1, day(0), None), (2, day(30), None), (3, day(30), 2), (4, day(1), None)], "id long, date date, firms_type long")
+    assert rows_of(persistence.unlabelled(det), "id") == [(2,), (4,)]
