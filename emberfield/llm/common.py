@@ -13,12 +13,14 @@ SPACES = "\\x20\\x09-\\x0D"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one is set only where none is named."""
+    """The folder in ``spark.checkpoint.dir``; a temporary one is set only in local mode where none is named."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")

@@ -93,7 +93,7 @@ FROM o
 
 OP7_SQL = """
 WITH p AS (
-  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages WHERE page_id IS NOT NULL
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
 ), d AS (
   SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM p
 ), h AS (

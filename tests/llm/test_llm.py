@@ -432,14 +432,15 @@ def test_archive_round_trip(spark):
     rows = [(1, "http://a", "short"), (2, None, "short"), (3, "u", long), (9, "u\r\nX: y", long), (5, "u", long), (4, "u", None), (8, "u", "x" * 999), (7, "u", "x" * 999), (None, "u", long)]
     pages = spark.createDataFrame([(*r, "zz") for r in rows], "page_id long, url string, html string, content string")
     got = by_id(warc.round_trip(pages))
-    assert set(got) == {1, 2, 3, 9, 5, 4, 8, 7}
+    assert set(got) == {1, 2, 3, 9, 5, 4, 8, 7, None}
+    assert (got[None]["record_type"], got[None]["refers_to"], got[None]["payload_bytes"]) == ("response", None, 1200)
     assert {i: (r["record_type"], r["refers_to"]) for i, r in got.items() if r["record_type"] == "revisit"} == {3: ("revisit", 9), 5: ("revisit", 9)}
     for i, _, html in rows:
         if i:
             data = (html or "").encode()
             assert (got[i]["payload_bytes"], got[i]["payload_digest"]) == (len(data), hashlib.sha1(data).hexdigest())
     back = warc.read_archives(warc.write_archives(pages)).filter("record_type = 'response'").collect()
-    assert {r["page_id"]: r["payload"].decode() for r in back} == {i: h or "" for i, _, h in rows if i in (1, 2, 9, 4, 8, 7)}
+    assert {r["page_id"]: r["payload"].decode() for r in back} == {i: h or "" for i, _, h in rows if i in (1, 2, 9, 4, 8, 7, None)}
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
@@ -455,6 +456,19 @@ def test_damaged_archives_are_told():
         warc.parse_record(data[:-2])
 
 
+def test_damaged_records_are_kept_apart(spark):
+    digest = lambda i: hashlib.sha1(b"page %d" % i).hexdigest()
+    records = [warc.write_record(i, "u", b"page %d" % i, digest(i), None) for i in range(5)]
+    records[1] = warc.write_record(1, "u", b"page 1", digest(0), None)  # another payload's digest
+    records[3] = records[3][:40] + b"\x00\x00\x00\x00" + records[3][44:]
+    archives = spark.createDataFrame([(bytearray(b"".join(records)),), (bytearray(records[4][:-9]),), (None,)], "content binary")
+    rows = warc.read_archives(archives, damaged="keep").collect()
+    assert sorted(r["page_id"] for r in rows if r["error"] is None) == [0, 2, 4]
+    assert sorted(r["record_type"] for r in rows if r["error"]) == ["damaged"] * 3
+    with pytest.raises(Exception, match="digest"):
+        warc.read_archives(archives).collect()
+
+
 # 10 personal data
 
 BASE = {
