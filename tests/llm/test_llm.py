@@ -456,6 +456,14 @@ def test_damaged_archives_are_told():
         warc.parse_record(data[:-2])
 
 
+def test_files_are_read_as_archives(spark, tmp_path):
+    digest = hashlib.sha1(b"page").hexdigest()
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(warc.write_record(i, "u", b"page", digest, None) for i in (1, 2)))
+    (tmp_path / "b.warc.gz").write_bytes(warc.write_record(3, "u", b"page", digest, 2))
+    rows = warc.read_archives(spark.read.format("binaryFile").load(str(tmp_path / "*.warc.gz"))).collect()
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in rows) == [(1, "response", None), (2, "response", None), (3, "revisit", 2)]
+
+
 def test_damaged_records_are_kept_apart(spark):
     digest = lambda i: hashlib.sha1(b"page %d" % i).hexdigest()
     records = [warc.write_record(i, "u", b"page %d" % i, digest(i), None) for i in range(5)]
