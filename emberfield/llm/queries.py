@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, lmscore, neighbours, packing, privacy, quality, simhash, substring, warc, wordpiece
+from . import bpe, codes, lmscore, neighbours, packing, privacy, quality, simhash, substring, warc, wordpiece
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,10 +60,14 @@ def op10_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.personal_data(read(spark, sf_dir, "documents"))
 
 
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(read(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_quality, op2_neighbours, op3_bpe, op4_substring, op5_lm_score, op6_simhash, op7_warc, op8_packing,
-        op9_token_counts, op10_privacy,
+        op9_token_counts, op10_privacy, op12_codes,
     )
     return {f.__name__: f for f in found}
 
@@ -105,6 +109,42 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM h
 """
 
+def _op12_sql(rounds: int = 2) -> str:
+    """Assignments and moves of the codebooks, one pair of steps after the other."""
+    distance = "list_sum(list_transform(range(1, len(p.v) + 1), lambda j: (p.v[j] - c.v[j]) * (p.v[j] - c.v[j])))"
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS MATERIALIZED (
+  SELECT vec_id, p.part, any_value(p.v) AS v, min(CAST({distance} AS BIGINT) * 64 + c.e) AS best
+  FROM p JOIN c{i} AS c ON p.part = c.part GROUP BY vec_id, p.part
+)""")
+        if i < rounds:
+            steps.append(f"""c{i + 1} AS MATERIALIZED (
+  SELECT c.part, c.e, coalesce(m.v, c.v) AS v FROM c{i} AS c LEFT JOIN (
+    SELECT part, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v FROM (
+      SELECT part, best % 64 AS e, j, CAST(sum(v[j]) AS BIGINT) AS s, count(*) AS n
+      FROM (SELECT part, best, v, unnest(range(1, len(v) + 1)) AS j FROM a{i}) GROUP BY ALL
+    ) GROUP BY part, e
+  ) AS m ON m.part = c.part AND m.e = c.e
+)""")
+    return f"""
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS ints FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS MATERIALIZED (
+  SELECT vec_id, part, ints[part * len(ints) // 16 + 1 : (part + 1) * len(ints) // 16] AS v
+  FROM (SELECT *, unnest(range(16)) AS part FROM k)
+), c0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, v FROM p QUALIFY e < 64
+), {", ".join(steps)}, o AS (
+  SELECT vec_id, string_agg(printf('%02x', CAST(best % 64 AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(best // 64) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY vec_id
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, e)) FROM c{rounds}) AS codebooks_sha256
+FROM o JOIN k USING (vec_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring": OP4_SQL, "op7_warc": OP7_SQL}
+    return {"op4_substring": OP4_SQL, "op7_warc": OP7_SQL, "op12_codes": _op12_sql()}

@@ -473,8 +473,9 @@ def test_damaged_records_are_kept_apart(spark):
     rows = warc.read_archives(archives, damaged="keep").collect()
     assert sorted(r["page_id"] for r in rows if r["error"] is None) == [0, 2, 4]
     assert sorted(r["record_type"] for r in rows if r["error"]) == ["damaged"] * 3
+    wrong = spark.createDataFrame([(bytearray(records[1]),)], "content binary")
     with pytest.raises(Exception, match="digest"):
-        warc.read_archives(archives).collect()
+        warc.read_archives(wrong).collect()
 
 
 # 10 personal data
