@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, codes, lmscore, neighbours, packing, privacy, quality, simhash, substring, warc, wordpiece
+from . import bpe, codes, lmscore, neighbours, packing, phrases, privacy, quality, simhash, substring, warc, wordpiece
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ def op10_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.personal_data(read(spark, sf_dir, "documents"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(read(spark, sf_dir, "embeddings"))
 
@@ -67,7 +71,7 @@ def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = (
         op1_quality, op2_neighbours, op3_bpe, op4_substring, op5_lm_score, op6_simhash, op7_warc, op8_packing,
-        op9_token_counts, op10_privacy, op12_codes,
+        op9_token_counts, op10_privacy, op11_phrases, op12_codes,
     )
     return {f.__name__: f for f in found}
 
@@ -108,6 +112,38 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND holder <> page_id THEN holder END AS refers_to
 FROM h
 """
+OP11_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+), p AS (
+  SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d
+), w AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p
+), n AS (
+  SELECT lang, CAST(sum(len(words)) AS BIGINT) AS n FROM w GROUP BY lang
+), g AS (
+  SELECT lang, size, array_to_string(words[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS s(size))
+), f AS (
+  SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10
+), c AS (
+  SELECT lang, phrase, size, f AS a, k, array_to_string(own[1:k], ' ') AS first, array_to_string(own[k + 1:], ' ') AS rest
+  FROM (SELECT *, string_split(phrase, ' ') AS own, unnest(range(1, size)) AS k FROM f WHERE size > 1)
+), s AS (
+  SELECT c.lang, c.phrase, c.size, a, l.f AS l, r.f AS r, CAST(1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM c JOIN f AS l ON l.lang = c.lang AND l.phrase = first JOIN f AS r ON r.lang = c.lang AND r.phrase = rest
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1
+), x AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[i:i + 1], ' ') AS phrase, max(a) AS longest
+  FROM (SELECT *, unnest([1, 2]) AS i FROM s WHERE size = 3) GROUP BY ALL
+), o AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+  FROM s LEFT JOIN x USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < 50 * a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000
+"""
+
 
 def _op12_sql(rounds: int = 2) -> str:
     """Assignments and moves of the codebooks, one pair of steps after the other."""
@@ -147,4 +183,4 @@ FROM o JOIN k USING (vec_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring": OP4_SQL, "op7_warc": OP7_SQL, "op12_codes": _op12_sql()}
+    return {"op4_substring": OP4_SQL, "op7_warc": OP7_SQL, "op11_phrases": OP11_SQL, "op12_codes": _op12_sql()}
