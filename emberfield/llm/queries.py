@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, codes, lmscore, neighbours, packing, phrases, privacy, quality, simhash, substring, warc, wordpiece
+from . import bpe, codes, extract, lmscore, neighbours, packing, phrases, privacy, quality, simhash, substring, warc, wordpiece
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,10 +68,14 @@ def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(read(spark, sf_dir, "embeddings"))
 
 
+def op13_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(read(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_quality, op2_neighbours, op3_bpe, op4_substring, op5_lm_score, op6_simhash, op7_warc, op8_packing,
-        op9_token_counts, op10_privacy, op11_phrases, op12_codes,
+        op9_token_counts, op10_privacy, op11_phrases, op12_codes, op13_extract,
     )
     return {f.__name__: f for f in found}
 
@@ -144,6 +148,20 @@ WITH d AS (
 SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000
 """
 
+# For pages whose text is that of one well-formed article element without boxes to leave out, as all given ones are.
+OP13_SQL = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS t FROM pages
+), b AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(t, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM a
+), c AS (
+  SELECT page_id, url, replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)) AS t FROM b
+), d AS (
+  SELECT page_id, url, trim(regexp_replace(replace(t, '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM c
+)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d
+"""
+
 
 def _op12_sql(rounds: int = 2) -> str:
     """Assignments and moves of the codebooks, one pair of steps after the other."""
@@ -183,4 +201,4 @@ FROM o JOIN k USING (vec_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring": OP4_SQL, "op7_warc": OP7_SQL, "op11_phrases": OP11_SQL, "op12_codes": _op12_sql()}
+    return {"op4_substring": OP4_SQL, "op7_warc": OP7_SQL, "op11_phrases": OP11_SQL, "op12_codes": _op12_sql(), "op13_extract": OP13_SQL}
