@@ -141,7 +141,7 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _blocks(rows: DataFrame, bits: int, most: int = 4_000_000) -> DataFrame:
+def _blocks(rows: DataFrame, bits: int, most: int = 3_000_000) -> DataFrame:
     """(bucket, prints, counts): distinct fingerprints of a task's texts with how often they come, in blocks."""
     shift = np.uint64(BITS - bits)
 
@@ -251,39 +251,38 @@ def _bitmap(survivors: DataFrame, bits: int) -> np.ndarray:
     return whole.ravel()
 
 
-def _together(keys: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (language, words) in an order with equal ones together, and where each run of these starts."""
+def _together(keys: np.ndarray, own: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows (language, words) with their fingerprints and sums of n."""
     order = np.argsort(keys, kind="stable")
-    keys, own = keys[order], own[order]
+    keys, own, n = keys[order], own[order], n[order]
     differ = (own[1:] != own[:-1]).any(axis=1)
     if (differ & (keys[1:] == keys[:-1])).any():
         # A fingerprint of two n-grams: only equal languages and words are one phrase.
-        own = own[np.lexsort(own.T[::-1])]
+        order = np.lexsort(own.T[::-1])
+        keys, own, n = keys[order], own[order], n[order]
         differ = (own[1:] != own[:-1]).any(axis=1)
-    return own, np.flatnonzero(np.concatenate([[True], differ]))
+    first = np.flatnonzero(np.concatenate([[True], differ]))
+    return keys[first], own[first], np.add.reduceat(n, first)
 
 
-def _exact(rows: DataFrame, bitmap: np.ndarray, least: int, most: int = 2_000_000) -> DataFrame:
+def _exact(rows: DataFrame, bitmap: np.ndarray, least: int, most: int = 1_500_000) -> DataFrame:
     """(lang, phrase, size, f) of every n-gram with ``least`` occurrences, counted by its words."""
     sent = rows.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, words, tongues, held = sent.value, Words(), {}, []
+        bits, words, tongues = sent.value, Words(), {}
+        held, waiting = [], 0
 
-        def counted() -> pa.RecordBatch:
-            keys = np.concatenate([k for k, _ in held])
-            own = np.concatenate([o for _, o in held])
-            held.clear()
-            own, first = _together(keys, own)
-            n = np.diff([*first.tolist(), len(own)])
+        def told(own: np.ndarray, n: np.ndarray, rows: int = 50_000) -> Iterator[pa.RecordBatch]:
             names, langs = words.names, list(tongues)
-            told = own[first].tolist()
-            columns = [
-                pa.array([langs[r[0]] for r in told], pa.string()),
-                pa.array([b" ".join([names[i] for i in r[1:] if i]).decode("utf-8", "replace") for r in told], pa.string()),
-                pa.array([3 - r[1:].count(0) for r in told], pa.int32()), pa.array(n, pa.int64()),
-            ]
-            return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "size", "f"])
+            for at in range(0, len(own), rows):
+                part = own[at : at + rows].tolist()
+                columns = [
+                    pa.array([langs[r[0]] for r in part], pa.string()),
+                    pa.array([b" ".join([names[i] for i in r[1:] if i]).decode("utf-8", "replace") for r in part], pa.string()),
+                    pa.array([3 - r[1:].count(0) for r in part], pa.int32()), pa.array(n[at : at + rows]),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "size", "f"])
 
         for texts, langs in _texts(batches):
             tongue = np.array([tongues.setdefault(lang, len(tongues)) for lang in langs], np.int32)
@@ -295,14 +294,19 @@ def _exact(rows: DataFrame, bitmap: np.ndarray, least: int, most: int = 2_000_00
                 own[:, 0] = tongue[np.cumsum(ids == 1)[at]]
                 for k in range(size):
                     own[:, k + 1] = ids[at + k]
-                held.append((prints, own))
+                held.append((prints, own, np.ones(len(at), np.int64)))
+                waiting += len(at)
+            # What a task has counted stays with it as long as it is no more than a block.
             full = len(words) > 1 << 20
-            if sum(len(k) for k, _ in held) >= (1 if full else most):
-                yield counted()
+            if held and (full or waiting >= most):
+                held, waiting = [_together(*map(np.concatenate, zip(*held, strict=True)))], 0
+                if full or len(held[0][0]) > most:
+                    yield from told(*held[0][1:])
+                    held = []
             if full:
-                words, held = Words(), []
-        if sum(len(k) for k, _ in held):
-            yield counted()
+                words = Words()
+        if sum(len(k) for k, *_ in held):
+            yield from told(*_together(*map(np.concatenate, zip(*held, strict=True)))[1:])
 
     per_task = rows.mapInArrow(run, "lang string, phrase string, size int, f long")
     return per_task.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)

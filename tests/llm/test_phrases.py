@@ -113,10 +113,9 @@ def test_phrases_of_one_fingerprint_are_told_apart():
     rng = np.random.default_rng(9)
     own = rng.integers(0, 3, (500, 4)).astype(np.int32)
     for keys in (rng.integers(0, 4, 500), np.zeros(500), own.sum(axis=1), own @ np.array([27, 9, 3, 1])):
-        rows, first = phrases._together(keys.astype(np.uint64), own)
-        n = np.diff([*first.tolist(), len(rows)])
-        got = dict(zip(map(tuple, rows[first].tolist()), n.tolist(), strict=True))
-        assert len(got) == len(first) and got == Counter(map(tuple, own.tolist()))
+        prints, rows, n = phrases._together(keys.astype(np.uint64), own, np.ones(500, np.int64))
+        got = dict(zip(map(tuple, rows.tolist()), n.tolist(), strict=True))
+        assert len(got) == len(prints) == len(rows) and got == Counter(map(tuple, own.tolist()))
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="test tables are not there")
