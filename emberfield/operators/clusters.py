@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import functools
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import RADIUS, haversine
+from ..functions.geo import RADIUS, degrees_of, haversine
 from ..sources.files import written
 from .clean import keep_first
-from .spatial import bucket_join
+from .components import components
+from .spatial import box_cells, bucket_join, lon_degrees
 
 
 def usable(events: DataFrame) -> DataFrame:
@@ -25,41 +29,150 @@ def event_edges(events: DataFrame, km: float = 25.0, hours: float = 168.0) -> Da
     return met.filter(near).select(F.col("id").alias("id_a"), F.col("right_id").alias("id_b"), "km")
 
 
-def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, component): smallest id reachable.  Labels are passed on and then jumped; each round is written out.
+def classes(rows: DataFrame, km: float, hours: float) -> DataFrame:
+    """Adds a, b, t: cells of space and time so small that all events of one are linked; t is null without a time.
 
-    Stops when no label changes; raises if that takes more than ``rounds`` rounds.
+    The diagonal of a cell is ``km`` at the equator and shorter elsewhere.
     """
-    both = edges.select("id_a", "id_b").unionAll(edges.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b")))
-    both = written(both, "edges")
-    labels = written(nodes.select("id", F.col("id").alias("component")), "labels")
-    for _ in range(rounds):
-        named = labels.select(F.col("id").alias("id_b"), F.col("component").alias("other"))
-        least = both.join(named, "id_b").groupBy(F.col("id_a").alias("id")).agg(F.min("other").alias("least"))
-        passed = labels.join(least, "id", "left").select("id", F.least("component", "least").alias("next"), "component")
-        # A label is itself a node: take that node's label too.
-        jump = passed.select(F.col("id").alias("next"), F.col("next").alias("jumped"))
-        after = passed.join(jump, "next", "left").select("id", F.least("next", "jumped").alias("new"), "component")
-        after = written(after, "labels")
-        changed = after.filter("new <> component").limit(1).count()
-        labels = after.select("id", F.col("new").alias("component"))
-        if not changed:
-            return labels
-    raise RuntimeError(f"clusters did not settle in {rounds} rounds")
+    size, _ = degrees_of(km * (1 - 1e-9) / math.sqrt(2))
+    cell = {"a": F.floor(F.col("latitude") / size), "b": F.floor(F.col("longitude") / size)}
+    return rows.withColumns(cell | {"t": F.floor(F.col("at") / (hours * 3600))})
+
+
+def _boxes(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row per key: smallest id, count and bounds in space and time."""
+    ends = {"y": "latitude", "x": "longitude", "s": "at"}
+    return rows.groupBy(*keys).agg(
+        F.min("id").alias("id"), F.count("*").alias("n"),
+        *(f(c).alias(f"{k}{end}") for k, c in ends.items() for end, f in ((0, F.min), (1, F.max))),
+    )
+
+
+def _nearness(km: float, hours: float, left: str = "l", right: str = "r") -> Column:
+    """1 if all events of two boxes are linked, -1 if none can be, else 0.
+
+    By the haversine formula, a distance is no less than that of the gaps between the boxes at the
+    smallest cosines, and no more than that of their spans at the largest.
+    """
+    of = lambda side, c: F.col(f"{side}.{c}")
+    # The right box on the same side of the 180th meridian.
+    centre = lambda side: (of(side, "x0") + of(side, "x1")) / 2
+    turn = 360 * F.round((centre(left) - centre(right)) / 360)
+    sides = {c: (of(left, c), of(right, c)) for c in ("y0", "y1", "s0", "s1")}
+    sides |= {c: (of(left, c), of(right, c) + turn) for c in ("x0", "x1")}
+
+    def gap(c: str) -> Column:
+        (l0, r0), (l1, r1) = sides[f"{c}0"], sides[f"{c}1"]
+        return F.greatest(F.lit(0.0), r0 - l1, l0 - r1)
+
+    def span(c: str) -> Column:
+        (l0, r0), (l1, r1) = sides[f"{c}0"], sides[f"{c}1"]
+        return F.greatest(r1 - l0, l1 - r0)
+
+    def cosine(f, side: int) -> Column:
+        ends = [F.cos(F.radians(sides[c][side])) for c in ("y0", "y1")]
+        # A box across the equator has its largest cosine there.
+        across = F.when((sides["y0"][side] <= 0) & (sides["y1"][side] >= 0), F.lit(1.0)).otherwise(F.lit(0.0))
+        return f(*ends, across) if f is F.greatest else f(*ends)
+
+    def half_squared(degrees: Column) -> Column:
+        return F.pow(F.sin(F.radians(F.least(degrees, F.lit(180.0))) / 2), F.lit(2.0))
+
+    nearest = half_squared(gap("y")) + cosine(F.least, 0) * cosine(F.least, 1) * half_squared(gap("x"))
+    farthest = half_squared(span("y")) + cosine(F.greatest, 0) * cosine(F.greatest, 1) * half_squared(span("x"))
+    limit = math.sin(km / RADIUS / 2) ** 2
+    apart = (nearest > limit * (1 + 1e-9)) | F.coalesce(gap("s") > hours * 3600, F.lit(False))
+    within = (farthest < limit * (1 - 1e-9)) & F.coalesce(span("s") <= hours * 3600, F.lit(True))
+    return F.when(apart, -1).when(within, 1).otherwise(0)
+
+
+_BOX = ("id", "n", "y0", "y1", "x0", "x1", "s0", "s1")
+
+
+def _neighbours(boxes: DataFrame, km: float) -> DataFrame:
+    """Pairs (l, r) of classes that may hold linked events, each once; a class without a time meets all times."""
+    size, _ = degrees_of(km * (1 - 1e-9) / math.sqrt(2))
+    reach, _ = degrees_of(km)
+    y, x = (F.col("y0") + F.col("y1")) / 2, (F.col("x0") + F.col("x1")) / 2
+    far = F.when(F.abs("y0") > F.abs("y1"), F.col("y0")).otherwise(F.col("y1"))
+    wide = (F.col("x1") - F.col("x0")) / 2 + lon_degrees(far, km, RADIUS)
+    cells = box_cells(y, x, size, ((F.col("y1") - F.col("y0")) / 2 + reach) * (1 + 1e-9), wide * (1 + 1e-9))
+    left = boxes.select(F.struct(*_BOX, "t").alias("l"), F.explode(cells).alias("cell"))
+    right = boxes.select(F.struct(*_BOX, "t").alias("r"), F.struct("a", "b").alias("cell"))
+    steps = F.explode(F.array(*(F.col("l.t") + i for i in (-1, 0, 1)))).alias("t")
+    timed = left.filter("l.t is not null").select("l", "cell", steps)
+    both = timed.join(right.filter("r.t is not null").select("r", "cell", F.col("r.t").alias("t")).hint("merge"), ["cell", "t"]).filter("l.id < r.id")
+    untimed = left.filter("l.t is null").join(right.hint("merge"), "cell").filter("r.t is not null or l.id < r.id")
+    return both.select("l", "r").unionAll(untimed.select("l", "r"))
+
+
+def class_links(events: DataFrame, km: float = 25.0, hours: float = 168.0, cuts: tuple[int, ...] = (4, 16)) -> tuple[DataFrame, DataFrame]:
+    """(classes (a, b, t, id), links (u, v) between ids of classes): what single linkage needs of the pairs of events.
+
+    Events of a class are linked, so its smallest id stands for them.  Two classes are linked if any of
+    their events are: mostly their bounds tell.  For the others, cells ``cuts`` times finer are compared in
+    turn, and at last the places and times themselves; pairs of classes for which a link was found
+    are not looked into further.
+    """
+    rows = classes(events.select("id", "latitude", "longitude", "at"), km, hours)
+    boxes = written(_boxes(rows, "a", "b", "t"), "classes")
+    met = _neighbours(boxes, km).withColumn("near", _nearness(km, hours)).filter("near >= 0")
+    met = written(met.select(F.col("l.id").alias("u"), F.col("r.id").alias("v"), F.col("near").alias("near")), "neighbours")
+    found, open_ = [met.filter("near = 1").select("u", "v")], met.filter("near = 0").select("u", "v")
+    named = of_class(rows, boxes.select("a", "b", "t", F.col("id").alias("class"))).select("id", "latitude", "longitude", "at", "class")
+    size, _ = degrees_of(km / math.sqrt(2))
+    for cut in (*cuts, None):
+        if not open_.limit(1).count():
+            break
+        fine = [F.floor(F.col(c) * cut / w) for c, w in (("latitude", size), ("longitude", size), ("at", hours * 3600))] if cut else None
+        keys = {f"k{i}": c for i, c in enumerate(fine or map(F.col, ("latitude", "longitude", "at")))}
+        parts = _boxes(named.withColumns(keys), "class", *keys).select("class", F.struct(*_BOX).alias("part"))
+        parts = written(parts, "parts")
+        side = lambda c, name: parts.select(F.col("class").alias(c), F.col("part").alias(name)).hint("merge")
+        pairs = open_.join(side("u", "l"), "u").join(side("v", "r"), "v")
+        if cut:
+            near = _nearness(km, hours)
+        else:
+            l, r = F.col("l"), F.col("r")
+            distance = haversine(l["y0"], l["x0"], r["y0"], r["x0"], RADIUS)
+            near = F.when((distance <= km) & F.coalesce(F.abs(l["s0"] - r["s0"]) <= hours * 3600, F.lit(True)), 1).otherwise(-1)
+        state = written(pairs.groupBy("u", "v").agg(F.max(near).alias("near"), F.max((near == 0).cast("int")).alias("open")), "decided")
+        found.append(state.filter("near = 1").select("u", "v"))
+        open_ = state.filter("near < 1 and open = 1").select("u", "v")
+    return boxes.select("a", "b", "t", "id"), functools.reduce(DataFrame.unionAll, found)
+
+
+def of_class(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows with what ``named`` has for their class (a, b, t), t being null or not."""
+    keys = ("a", "b", "t")
+    right = named.select(*(F.col(c).alias(f"of_{c}" if c in keys else c) for c in named.columns)).hint("merge")
+    return rows.join(right, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in keys])
+
+
+def membership(events: DataFrame, km: float = 25.0, hours: float = 168.0) -> DataFrame:
+    """Events with ``component``, the smallest id of their single-linkage cluster."""
+    held, links = class_links(events, km, hours)
+    stars = components(links).select(F.col("node").alias("id"), "component")
+    named = held.join(stars.hint("merge"), "id", "left").select("a", "b", "t", F.coalesce("component", "id").alias("component"))
+    return of_class(classes(events, km, hours), named).select(*events.columns, "component")
 
 
 def event_clusters(events: DataFrame, km: float = 25.0, hours: float = 168.0) -> DataFrame:
-    """One row per cluster: members, centre, radius from the centre, time span."""
-    rows = usable(events)
-    member = rows.join(components(rows, event_edges(rows, km, hours)), "id")
+    """The clusters of events, see ``described``."""
+    return described(written(membership(usable(events), km, hours), "members"))
+
+
+def described(member: DataFrame) -> DataFrame:
+    """One row per cluster: members, centre, radius from the centre, time span; member has component, latitude, longitude, at."""
     centre = member.groupBy("component").agg(
         F.count("*").alias("members"), F.avg("latitude").alias("y"), F.avg("longitude").alias("x"),
         ((F.max("at") - F.min("at")) / 3600).alias("span"),
     )
-    away = member.join(centre, "component")
+    # Clusters may be as many as events, or one may hold most: merged, and a large one may be split.
+    away = member.join(centre.hint("merge"), "component")
     distance = haversine(F.col("y"), F.col("x"), F.col("latitude"), F.col("longitude"), RADIUS)
     radius = away.groupBy("component").agg(F.max(distance).alias("radius"))
-    return centre.join(radius, "component").select(
+    return centre.join(radius.hint("merge"), "component").select(
         F.col("component").alias("cluster_id"), "members", F.round("y", 6).alias("latitude"), F.round("x", 6).alias("longitude"),
         F.round("radius", 4).alias("radius_km"), F.round(F.coalesce("span", F.lit(0.0)), 4).alias("time_span_hours"),
     )

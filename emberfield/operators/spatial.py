@@ -24,7 +24,7 @@ def box_cells(lat: Column, lon: Column, size: float, dlat: Column | float, dlon:
     return F.flatten(F.transform(a, lambda i: F.transform(b, lambda j: F.struct(i.alias("a"), j.alias("b")))))
 
 
-def _lon_degrees(lat: Column, km: float, radius: float) -> Column:
+def lon_degrees(lat: Column, km: float, radius: float) -> Column:
     dlat = math.degrees(km / radius)
     cos = F.greatest(F.cos(F.radians(F.least(F.abs(lat) + dlat, F.lit(89.0)))), F.lit(1e-3))
     return F.degrees(2 * F.asin(F.least(F.lit(1.0), math.sin(km / radius / 2) / cos)))
@@ -39,7 +39,7 @@ def bucket_join(left: DataFrame, right: DataFrame, km: float, radius: float = RA
     size, _ = degrees_of(km, 0.0, radius)
     lat, lon = F.col("latitude"), F.col("longitude")
     sent = left.withColumn(
-        "_cell", F.explode(box_cells(lat, lon, size, size * (1 + 1e-9), _lon_degrees(lat, km, radius) * (1 + 1e-9)))
+        "_cell", F.explode(box_cells(lat, lon, size, size * (1 + 1e-9), lon_degrees(lat, km, radius) * (1 + 1e-9)))
     )
     named = right.select(
         F.struct(F.floor(lat / size).alias("a"), F.floor(lon / size).alias("b")).alias("_cell"),

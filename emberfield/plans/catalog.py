@@ -45,6 +45,13 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan(Tables(spark, sf_dir)).select(*map(typed_column, columns.split()))
 
 
+def shared_tables(spark: SparkSession, sf_dir: str) -> None:
+    """Writes the tables that several queries start from."""
+    t = Tables(spark, sf_dir)
+    for name in ("det", "feats", "distances", "members"):
+        getattr(t, name)
+
+
 # Sources, sinks and schemas
 
 
@@ -539,15 +546,10 @@ def agg_kpis(t):
     return serving.kpis(t.served)
 
 
-def _members(t):
-    rows = clusters.usable(t.clusterable)
-    return rows.join(clusters.components(rows, clusters.event_edges(rows)), "id")
-
-
 @query("component:s members:l classes:l mean_confidence:d south:d north:d west:d east:d")
 def agg_cluster_summary(t):
     p = t.predicted.select(c("event_id").alias("id"), c("predicted_fire_type").alias("classification"), "confidence")
-    return clusters.cluster_summary(_members(t).join(p.hint("merge"), "id"))
+    return clusters.cluster_summary(t.members.join(p.hint("merge"), "id"))
 
 
 def _evaluated(t):
@@ -711,12 +713,12 @@ def enrich_history(t):
 
 @query("cluster_id:s members:l latitude:d longitude:d radius_km:d time_span_hours:d")
 def event_clusters(t):
-    return clusters.event_clusters(t.clusterable)
+    return clusters.described(t.members)
 
 
 @query("cluster_id:s members:l position:l")
 def clusters_by_size(t):
-    sizes = _members(t).groupBy(c("component").alias("cluster_id")).agg(F.count("*").alias("members"))
+    sizes = t.members.groupBy(c("component").alias("cluster_id")).agg(F.count("*").alias("members"))
     return serving.numbered(sizes, F.desc("members"), "cluster_id")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import detections as d
-from ..operators import clean, labels, model, persistence, serving, spatial
+from ..operators import clean, clusters, labels, model, persistence, serving, spatial
 from ..sources import fixtures
 from ..sources.files import written
 
@@ -22,7 +22,8 @@ EXPLAINED = (
 )
 
 
-_KEPT: dict[tuple[str, str, str], DataFrame] = {}
+#: By session, folder with its tables' last change, and name.
+_KEPT: dict[tuple[str, str, str, str], DataFrame] = {}
 
 
 class Tables:
@@ -30,12 +31,21 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def _kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """A derived table, written once for a session and folder, whose tables don't change meanwhile."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        """A derived table, written once for a session and state of the folder."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, self._state, name)
         if key not in _KEPT:
+            for old in [k for k in _KEPT if k[:2] == key[:2] and k[2] != key[2]]:
+                del _KEPT[old]
             _KEPT[key] = written(build(), name)
         return _KEPT[key]
 
+    @cached_property
+    def _state(self) -> str:
+        """Files of the tables that are read, with their sizes and times, as one number."""
+        file = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+        files = [fixtures.table(self.spark, self.sf_dir, t).select(file.alias("h")) for t in ("events", "customer")]
+        return str([f.distinct().agg(F.sum(F.col("h").cast("decimal(38,0)"))).first()[0] for f in files])
+
     @cached_property
     def raw(self) -> DataFrame:
         return fixtures.detections_raw(self.spark, self.sf_dir)
@@ -142,6 +152,11 @@ class Tables:
             d.tier(c("brightness"), c("frp")).alias("tier"), d.tier(c("brightness"), c("frp")).alias("risk"),
         )
 
+    @cached_property
+    def members(self) -> DataFrame:
+        """Events with the cluster that each belongs to."""
+        return self._kept("members", lambda: clusters.membership(clusters.usable(self.clusterable)))
+
     @cached_property
     def clusterable(self) -> DataFrame:
         """All events with their time in seconds."""
