@@ -45,9 +45,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
+#: Rows and bytes of an Arrow batch, the same for all operators: plans run later than they are built.
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches of whole texts small, so that a Python worker's memory stays bounded."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def gathered(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
@@ -62,14 +67,18 @@ def gathered(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.Record
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-#: Name of the column that carries a row's other columns through an operator.
+#: Name of the column that carries a row's other columns through an operator, and those that operators read.
 REST = "_rest"
+READ = ("doc_id", "text", "lang", "source")
 
 
 def rest_packed(docs: DataFrame, *without: str) -> DataFrame:
-    """Documents with their columns once more in one struct, to be carried with the row."""
-    rest = [F.col(f"`{c}`") for c in docs.columns if c not in without]
-    return docs.select("*", F.struct(F.lit(0).alias("_"), *rest).alias(REST))
+    """The columns that operators read, and all columns once more in one struct, to be carried with the row.
+
+    Other columns are in the struct alone, so their names clash with none.
+    """
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in without] or [F.lit(0).alias("_")]
+    return docs.select(*(c for c in docs.columns if c in READ), F.struct(*rest).alias(REST))
 
 
 def rest_unpacked(df: DataFrame, docs: DataFrame, **new: str) -> DataFrame:

@@ -451,7 +451,6 @@ def score(
     shards = max(1, -(-n_tokens // shard_tokens), -(-n_docs // 20_000))
     scale = float(np.log10(total + 0.1 * (distinct + 1)))
     dealt = materialize(dealt_out(coded, dictionary, scale, outside, shards), "dealt")
-    bounded_batches(spark, 8)  # a row is a shard
     model.load(averaged(dealt.filter("shard = 0"), 1, model, 0.01, passes=2, most=start_tokens))
     rounds = min(rounds, shards)
     for r in range(rounds):

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialize
+from .common import bounded_batches, gathered, materialize
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -149,12 +149,10 @@ def search(
         planes.append(plane)
         lows.append(low - shift)
         scales.append((1 << bits) / (1.5 * wide))
-    bounded_batches(spark, 4000)
+    bounded_batches(spark)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in gathered(batches, 4000):
             x = _block(b.column(1), width)
             scale = np.abs(x).max(1) / 127
             code = _packed(np.rint(x / scale[:, None]).astype(np.int8))

@@ -118,7 +118,7 @@ def _masses(rows: DataFrame, bits: int) -> DataFrame:
                     per_text = np.bincount(np.cumsum(ids == 1)[at], minlength=len(texts))
                     for lang, n in zip(langs, per_text.tolist(), strict=False):
                         counts[lang] = counts.get(lang, 0) + n
-            if len(words) > 1 << 20:
+            if len(words) > 1 << 19:
                 words = Words()
         used = np.flatnonzero(mass)
         columns = [
@@ -141,7 +141,7 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _blocks(rows: DataFrame, bits: int, most: int = 3_000_000) -> DataFrame:
+def _blocks(rows: DataFrame, bits: int, most: int = 2_000_000) -> DataFrame:
     """(bucket, prints, counts): distinct fingerprints of a task's texts with how often they come, in blocks."""
     shift = np.uint64(BITS - bits)
 
@@ -165,7 +165,7 @@ def _blocks(rows: DataFrame, bits: int, most: int = 3_000_000) -> DataFrame:
             held += [prints for prints, *_ in grams(texts, langs, words) if len(prints)]
             if sum(map(len, held)) >= most:
                 yield block()
-            if len(words) > 1 << 20:
+            if len(words) > 1 << 19:
                 words = Words()
         if held:
             yield block()
@@ -265,7 +265,7 @@ def _together(keys: np.ndarray, own: np.ndarray, n: np.ndarray) -> tuple[np.ndar
     return keys[first], own[first], np.add.reduceat(n, first)
 
 
-def _exact(rows: DataFrame, bitmap: np.ndarray, least: int, most: int = 1_500_000) -> DataFrame:
+def _exact(rows: DataFrame, bitmap: np.ndarray, least: int, most: int = 1_000_000) -> DataFrame:
     """(lang, phrase, size, f) of every n-gram with ``least`` occurrences, counted by its words."""
     sent = rows.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -297,7 +297,7 @@ def _exact(rows: DataFrame, bitmap: np.ndarray, least: int, most: int = 1_500_00
                 held.append((prints, own, np.ones(len(at), np.int64)))
                 waiting += len(at)
             # What a task has counted stays with it as long as it is no more than a block.
-            full = len(words) > 1 << 20
+            full = len(words) > 1 << 19
             if held and (full or waiting >= most):
                 held, waiting = [_together(*map(np.concatenate, zip(*held, strict=True)))], 0
                 if full or len(held[0][0]) > most:

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import REST, materialize, rest_packed
 
 #: Kinds in the order in which spans at one place are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -328,9 +328,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def mask(docs: DataFrame) -> DataFrame:
     """Documents with every span replaced by its kind in brackets; other columns stay."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    packed = docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in others)).alias("_rest"))
-    found = materialize(find(packed, "_rest"), "spans")
+    found = materialize(find(rest_packed(docs, "doc_id", "text"), REST), "spans")
     w = train(vote_counts(found))
     marked = found.withColumn("all", F.sort_array(F.concat(_plain(F.col("base")), _plain(_accepted(w)))))
     kinds = F.array(*map(F.lit, KINDS))
@@ -347,4 +345,4 @@ def mask(docs: DataFrame) -> DataFrame:
     masked = F.concat(F.array_join(put, ""), behind)
     text = F.when(F.size("all") > 0, masked).otherwise(F.col("text"))
     own = {"doc_id": F.col("doc_id"), "text": text.alias("text")}
-    return marked.select(*(own.get(c, F.col("_rest").getField(c).alias(c)) for c in docs.columns))
+    return marked.select(*(own.get(c, F.col(REST).getField(c).alias(c)) for c in docs.columns))

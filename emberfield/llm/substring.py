@@ -41,6 +41,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches, materialize
 
@@ -432,7 +433,7 @@ def remove_repeats(docs: DataFrame, window: int = 20, carry: str | None = None,
             )
 
     rows = own.join(found.hint("merge"), ROW, "left")
-    kinds = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carried)
-    return rows.select("doc_id", "text", "intervals", "whole", *carried).mapInArrow(
-        run, f"doc_id long, n_words long, n_removed long, kept_sha256 string, text string{kinds}"
-    )
+    shape = T.StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string, text string")
+    for c in carried:
+        shape = shape.add(c, docs.schema[c].dataType)
+    return rows.select("doc_id", "text", "intervals", "whole", *carried).mapInArrow(run, shape)

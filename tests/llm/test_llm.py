@@ -574,6 +574,27 @@ def test_pipeline_stages(spark, tmp_path, docs):
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in kept.collect()}
 
 
+def test_pipeline_with_clashing_columns_and_empty_tables(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(11)
+    shared = passage(rng, 40, 4000)
+    texts = [passage(rng, 80, 4000) + " " + shared for _ in range(3)] + [None, "", passage(rng, 3000, 4000)]
+    names = ["_rest", "part", "row", "sid", "_", "keys", "h", "first", "component", "a.b"]
+    rows = [(i, t, "en", "s", 0, *(f"{n}{i}" for n in names)) for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    for rows in (rows, []):
+        docs = spark.createDataFrame(rows, schema)
+        for _, stage in pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns
+            kept = out.collect()
+            assert all(r[n] == f"{n}{r['doc_id']}" for r in kept for n in names)
+            docs = spark.createDataFrame(kept, schema)
+        assert (1 <= docs.count() <= 4) if rows else docs.count() == 0
+        packed = pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert len({r["doc_id"] for r in packed}) == docs.count()
+
+
 def test_pipeline_keeps_one_row_per_row(spark, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(5)
