@@ -23,6 +23,34 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: fl
     return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
 
 
+def box_bounds(left: dict[str, Column], right: dict[str, Column], radius: float = RADIUS) -> tuple[Column, Column]:
+    """(least, most) distance between any points of two boxes y0..y1, x0..x1 in degrees: no tighter than true, and exact for points.
+
+    By the haversine formula, a distance is no less than that of the gaps between the boxes at the
+    smallest cosines, and no more than that of their spans at the largest.
+    """
+    # The right box on the same side of the 180th meridian.
+    turn = 360 * F.round((left["x0"] + left["x1"] - right["x0"] - right["x1"]) / 720)
+    x0, x1 = right["x0"] + turn, right["x1"] + turn
+    gap_y = F.greatest(F.lit(0.0), right["y0"] - left["y1"], left["y0"] - right["y1"])
+    gap_x = F.greatest(F.lit(0.0), x0 - left["x1"], left["x0"] - x1)
+    span_y = F.greatest(right["y1"] - left["y0"], left["y1"] - right["y0"])
+    span_x = F.greatest(x1 - left["x0"], left["x1"] - x0)
+
+    def cosines(box: dict[str, Column]) -> tuple[Column, Column]:
+        ends = [F.cos(F.radians(box[c])) for c in ("y0", "y1")]
+        # A box across the equator has its largest cosine there.
+        across = F.when((box["y0"] <= 0) & (box["y1"] >= 0), F.lit(1.0)).otherwise(F.lit(0.0))
+        return F.least(*ends), F.greatest(*ends, across)
+
+    def km(y: Column, x: Column, cos: Column) -> Column:
+        half = lambda a: F.pow(F.sin(F.radians(F.least(a, F.lit(180.0))) / 2), F.lit(2.0))
+        return 2 * radius * F.asin(F.least(F.lit(1.0), F.sqrt(half(y) + cos * half(x))))
+
+    (low_l, high_l), (low_r, high_r) = cosines(left), cosines(right)
+    return km(gap_y, gap_x, low_l * low_r), km(span_y, span_x, high_l * high_r)
+
+
 def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Initial bearing in degrees, 0 to 360."""
     a, b, d = F.radians(lat1), F.radians(lat2), F.radians(lon2) - F.radians(lon1)

@@ -60,7 +60,7 @@ def clean(raw: DataFrame) -> DataFrame:
     return dedup_event_id(dedup_exact(in_region(derived(standardized(raw)))))
 
 
-def dedup_near(df: DataFrame, minutes: int = 10, kelvin: float = 15.0) -> DataFrame:
+def dedup_near(df: DataFrame, minutes: int = 10, kelvin: float = 15.0, block: int = 256) -> DataFrame:
     """Sequential near-duplicate removal per cell, day and satellite.
 
     Each row is compared with the last kept one only; within the window and tolerance an archive row
@@ -84,13 +84,22 @@ def dedup_near(df: DataFrame, minutes: int = 10, kelvin: float = 15.0) -> DataFr
         close = (x["at"] - last["at"] <= minutes * 60) & (F.abs(x["k"] - last["k"]) <= kelvin)
         close = last.isNotNull() & F.coalesce(close, F.lit(False))
         wins = close & (x["q"] == "ARCHIVE") & (last["q"] != "ARCHIVE")
-        # A displaced row goes; the list ends with the last kept row.
-        kept = F.when(wins, F.concat(F.slice(acc["kept"], F.lit(1), F.size(acc["kept"]) - 1), F.array(x)))
-        kept = kept.when(close, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(x)))
-        return F.struct(F.when(close & ~wins, last).otherwise(x).alias("last"), kept.alias("kept"))
+        # The last kept row may still be displaced; it is put down when another row is kept after it.
+        sure = F.when(last.isNull() | close, acc["sure"]).otherwise(F.concat(acc["sure"], F.array(last)))
+        return F.struct(F.when(close & ~wins, last).otherwise(x).alias("last"), sure.alias("sure"))
 
     none = F.filter("rows", lambda x: F.lit(False))
-    start = F.struct(F.get(none, 0).alias("last"), none.alias("kept"))
-    kept = F.aggregate("rows", start, step, lambda acc: acc["kept"])
+    # Kept rows are gathered by block, so that a long run does not copy all of them for every row.
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("rows") - 1) / block)), lambda i: F.slice("rows", (i * block + 1).cast("int"), block))
+    rows = rows.select(blocks.alias("blocks"), none.alias("none"))
+
+    def over(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(acc["last"].alias("last"), F.col("none").alias("sure")), step)
+        # One-element array to name the result, lest it is made twice.
+        put = lambda r: F.struct(r["last"].alias("last"), F.concat(acc["sure"], F.array(r["sure"])).alias("sure"))
+        return F.get(F.transform(F.array(inner), put), 0)
+
+    start = F.struct(F.get("none", 0).alias("last"), F.array(F.col("none")).alias("sure"))
+    kept = F.aggregate("blocks", start, over, lambda acc: F.concat(F.flatten(acc["sure"]), F.array(acc["last"])))
     kept = rows.select(F.explode(kept).alias("x")).select(F.col("x.e").alias("event_id"), F.col("x.s").alias("source_id"))
     return df.join(kept.hint("merge"), ["event_id", "source_id"], "left_semi")

@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import RADIUS, degrees_of, haversine
+from ..functions.geo import RADIUS, box_bounds, degrees_of, haversine
 from ..sources.files import written
 from .clean import keep_first
 from .components import components
@@ -49,40 +49,12 @@ def _boxes(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def _nearness(km: float, hours: float, left: str = "l", right: str = "r") -> Column:
-    """1 if all events of two boxes are linked, -1 if none can be, else 0.
-
-    By the haversine formula, a distance is no less than that of the gaps between the boxes at the
-    smallest cosines, and no more than that of their spans at the largest.
-    """
-    of = lambda side, c: F.col(f"{side}.{c}")
-    # The right box on the same side of the 180th meridian.
-    centre = lambda side: (of(side, "x0") + of(side, "x1")) / 2
-    turn = 360 * F.round((centre(left) - centre(right)) / 360)
-    sides = {c: (of(left, c), of(right, c)) for c in ("y0", "y1", "s0", "s1")}
-    sides |= {c: (of(left, c), of(right, c) + turn) for c in ("x0", "x1")}
-
-    def gap(c: str) -> Column:
-        (l0, r0), (l1, r1) = sides[f"{c}0"], sides[f"{c}1"]
-        return F.greatest(F.lit(0.0), r0 - l1, l0 - r1)
-
-    def span(c: str) -> Column:
-        (l0, r0), (l1, r1) = sides[f"{c}0"], sides[f"{c}1"]
-        return F.greatest(r1 - l0, l1 - r0)
-
-    def cosine(f, side: int) -> Column:
-        ends = [F.cos(F.radians(sides[c][side])) for c in ("y0", "y1")]
-        # A box across the equator has its largest cosine there.
-        across = F.when((sides["y0"][side] <= 0) & (sides["y1"][side] >= 0), F.lit(1.0)).otherwise(F.lit(0.0))
-        return f(*ends, across) if f is F.greatest else f(*ends)
-
-    def half_squared(degrees: Column) -> Column:
-        return F.pow(F.sin(F.radians(F.least(degrees, F.lit(180.0))) / 2), F.lit(2.0))
-
-    nearest = half_squared(gap("y")) + cosine(F.least, 0) * cosine(F.least, 1) * half_squared(gap("x"))
-    farthest = half_squared(span("y")) + cosine(F.greatest, 0) * cosine(F.greatest, 1) * half_squared(span("x"))
-    limit = math.sin(km / RADIUS / 2) ** 2
-    apart = (nearest > limit * (1 + 1e-9)) | F.coalesce(gap("s") > hours * 3600, F.lit(False))
-    within = (farthest < limit * (1 - 1e-9)) & F.coalesce(span("s") <= hours * 3600, F.lit(True))
+    """1 if all events of two boxes are linked, -1 if none can be, else 0."""
+    l, r = ({c: F.col(f"{side}.{c}") for c in ("y0", "y1", "x0", "x1", "s0", "s1")} for side in (left, right))
+    least, most = box_bounds(l, r)
+    gap, span = F.greatest(r["s0"] - l["s1"], l["s0"] - r["s1"]), F.greatest(r["s1"] - l["s0"], l["s1"] - r["s0"])
+    apart = (least > km * (1 + 1e-9)) | F.coalesce(gap > hours * 3600, F.lit(False))
+    within = (most < km * (1 - 1e-9)) & F.coalesce(span <= hours * 3600, F.lit(True))
     return F.when(apart, -1).when(within, 1).otherwise(0)
 
 

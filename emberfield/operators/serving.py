@@ -72,7 +72,7 @@ def join_rounded(det: DataFrame, predictions: DataFrame) -> DataFrame:
     """Left join on places rounded to five decimals, date, time and satellite; several predictions fan out."""
     keyed = lambda df: df.withColumns({"lat_key": F.round("latitude", 5), "lon_key": F.round("longitude", 5)})
     keys = ["lat_key", "lon_key", "date", "time", "satellite"]
-    return keyed(det).join(keyed(predictions).select(*keys, "predicted_fire_type"), keys, "left").drop("lat_key", "lon_key")
+    return keyed(det).join(keyed(predictions).select(*keys, "predicted_fire_type").hint("merge"), keys, "left").drop("lat_key", "lon_key")
 
 
 def display_type(firms_type: Column, predicted: Column) -> Column:

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import RADIUS, degrees_of, haversine
+from ..functions.geo import RADIUS, box_bounds, degrees_of, haversine
 from ..sources.files import written
 
 
@@ -63,60 +63,92 @@ def top_nearest(places: DataFrame, points: DataFrame, km: float, k: int, by: tup
     return met.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def nearest_distance(
-    places: DataFrame, points: DataFrame, categories: tuple[str, ...], rings: tuple[float, ...] = (15.0, 60.0, 240.0)
-) -> DataFrame:
+#: Sizes in degrees of the cells of a pyramid, from the coarsest on.
+LEVELS = tuple(32.0 / 4**k for k in range(9))
+_BOX = ("y0", "y1", "x0", "x1")
+
+
+def _cell(size: float) -> Column:
+    return F.struct(F.floor(F.col("latitude") / size).alias("a"), F.floor(F.col("longitude") / size).alias("b"))
+
+
+def _cells(rows: DataFrame, level: int, name: str, *by: str) -> DataFrame:
+    """Occupied cells of a level with the bounds of what they hold, and the cell of the level above."""
+    up = _cell(LEVELS[level - 1]) if level else F.lit(0)
+    rows = rows.select(*by, up.alias(f"{name}_up"), _cell(LEVELS[level]).alias(name), "latitude", "longitude")
+    ends = {"y0": F.min("latitude"), "y1": F.max("latitude"), "x0": F.min("longitude"), "x1": F.max("longitude")}
+    return rows.groupBy(*by, f"{name}_up", name).agg(F.struct(*(v.alias(k) for k, v in ends.items())).alias(f"{name}_box"))
+
+
+def _bounds(left: Column, right: Column) -> tuple[Column, Column]:
+    least, most = box_bounds({c: left[c] for c in _BOX}, {c: right[c] for c in _BOX})
+    # Bounds are taken a little wider than rounding errors.
+    return least * (1 - 1e-9) - 1e-9, most * (1 + 1e-9) + 1e-9
+
+
+def depth_for(spots: DataFrame, most: float = 8.0) -> int:
+    """The first level at which a spot shares its cell with fewer than ``most`` of its category, on average."""
+    level = F.posexplode(F.array(*map(_cell, LEVELS))).alias("level", "cell")
+    held = spots.select("category", level).groupBy("level", "category", "cell").agg(F.count("*").alias("n"))
+    shares = held.groupBy("level").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("share")).collect()
+    return min((r["level"] for r in shares if r["share"] < most), default=len(LEVELS) - 1)
+
+
+def nearest_cells(places: DataFrame, spots: DataFrame, categories: tuple[str, ...], depth: int) -> DataFrame:
+    """(id, category, latitude, longitude, cell): the cells of level ``depth`` that can hold a place's nearest spot.
+
+    Both sides are pyramids of occupied cells.  From the top down, a cell of places keeps the cells of
+    spots whose least distance is no more than the smallest of the most distances, as each cell holds
+    a spot; only these are opened.  How many remain depends on the geometry of a level, not on how
+    many spots there are.  At last each place makes the same choice for itself.
+    """
+    asked = F.explode(F.array(*map(F.lit, categories))).alias("category")
+    state = None
+    for level in range(depth + 1):
+        left, right = _cells(places, level, "p"), _cells(spots, level, "s", "category")
+        if state is None:
+            met = left.select("*", asked).join(right.hint("merge"), "category").withColumn("within", F.lit(float("inf")))
+        else:
+            kept = state.select(F.col("p").alias("p_up"), "category", F.col("s").alias("s_up"), "within")
+            met = kept.join(left.hint("merge"), "p_up").join(right.hint("merge"), ["category", "s_up"])
+        least, most = _bounds(F.col("p_box"), F.col("s_box"))
+        met = met.select("p", "category", "s", "s_box", "within", least.alias("least"), most.alias("most")).filter("least <= within")
+        within = F.min("most").over(Window.partitionBy("p", "category"))
+        state = written(met.withColumn("within", within).filter("least <= within").drop("least", "most"), "level")
+    # A cell of places has few candidates: one row with all of them.
+    near = state.groupBy("p", "category").agg(F.collect_list(F.struct("s", "s_box")).alias("near"))
+    rows = places.select("id", "latitude", "longitude", _cell(LEVELS[depth]).alias("p")).join(near.hint("merge"), "p")
+    y, x = F.col("latitude"), F.col("longitude")
+    point = F.struct(y.alias("y0"), y.alias("y1"), x.alias("x0"), x.alias("x1"))
+    reach = F.transform("near", lambda c: F.struct(c["s"].alias("s"), *(v.alias(k) for k, v in zip(("least", "most"), _bounds(point, c["s_box"]), strict=True))))
+    rows = rows.select("id", "category", "latitude", "longitude", reach.alias("near"))
+    rows = rows.withColumn("within", F.array_min(F.transform("near", lambda c: c["most"])))
+    cell = F.explode(F.filter("near", lambda c: c["least"] <= F.col("within"))).alias("c")
+    return rows.select("id", "category", "latitude", "longitude", cell).select("id", "category", "latitude", "longitude", F.col("c.s").alias("cell"))
+
+
+def nearest_distance(places: DataFrame, points: DataFrame, categories: tuple[str, ...], depth: int | None = None) -> DataFrame:
     """Distance in km from each place (id, latitude, longitude) to the nearest point of each category.
 
-    The search widens ring by ring; a place leaves once its nearest point lies within the ring, since
-    no nearer one can be outside.  Places open after the last ring meet only the points of cells that
-    can hold their nearest one (``far_distance``).  Points are reduced to distinct places first.  Null
-    where a category has no points.
+    Exact at any distance; null where a category has no points or the place no coordinates.  Points are
+    reduced to distinct places, and a place meets those of the cells that can hold its nearest one
+    (``nearest_cells``), at a depth where cells hold few points.
     """
     wanted = written(places.select("id", "latitude", "longitude"), "places")
-    spots = points.filter("latitude is not null and longitude is not null").select("category", "latitude", "longitude").distinct()
+    placed = "latitude is not null and longitude is not null"
+    spots = points.filter(placed).filter(F.col("category").isin(*categories)).select("category", "latitude", "longitude").distinct()
     spots = written(spots, "spots")
-    open_ = wanted.select("*", F.explode(F.array(*map(F.lit, categories))).alias("category"))
-    found = []
-    for km in rings:
-        # Each ring is written out: the next one starts from what it left open.
-        met = bucket_join(open_, spots, km).filter("category = right_category")
-        near = written(met.groupBy("id", "category").agg(F.min("km").alias("km")), "ring")
-        found.append(near)
-        open_ = written(open_.join(near.select("id", "category").hint("merge"), ["id", "category"], "left_anti"), "open")
-    found.append(far_distance(open_, spots))
-    all_ = found[0]
-    for f in found[1:]:
-        all_ = all_.unionByName(f)
-    wide = all_.groupBy("id").agg(
+    depth = depth_for(spots) if depth is None else depth
+    held = spots.select("category", _cell(LEVELS[depth]).alias("cell"), F.col("latitude").alias("y"), F.col("longitude").alias("x"))
+    met = nearest_cells(wanted.filter(placed), spots, categories, depth).join(held.hint("merge"), ["category", "cell"])
+    km = haversine(F.col("latitude"), F.col("longitude"), F.col("y"), F.col("x"))
+    near = met.groupBy("id", "category").agg(F.min(km).alias("km"))
+    wide = near.groupBy("id").agg(
         *(F.min(F.when(F.col("category") == c, F.col("km"))).alias(f"distance_to_{c}_km") for c in categories)
     )
     return wanted.select("id").join(wide.hint("merge"), "id", "left")
 
 
-def far_distance(open_: DataFrame, spots: DataFrame, degrees: float = 2.0) -> DataFrame:
-    """(id, category, km): exact distance from each row to its category's nearest spot, however far.
-
-    Both sides are put in coarse cells.  Two points are at most ``slack`` nearer or farther than the
-    centres of their cells, so only cells within twice that of the nearest occupied one can hold the
-    nearest spot; rows meet the spots of those cells alone.
-    """
-    lat, lon = F.col("latitude"), F.col("longitude")
-    cell = F.struct(F.floor(lat / degrees).alias("a"), F.floor(lon / degrees).alias("b"))
-    # From a centre to any point of its cell, for both cells.
-    slack = 2 * RADIUS * 2 * math.asin(math.sqrt(2) * math.sin(math.radians(degrees / 2) / 2)) * (1 + 1e-9)
-    asked = open_.select("id", "category", "latitude", "longitude", cell.alias("_home"))
-    held = spots.select("category", lat.alias("y"), lon.alias("x"), cell.alias("_cell"))
-    centre = lambda c: ((F.col(f"{c}.a") + 0.5) * degrees, (F.col(f"{c}.b") + 0.5) * degrees)
-    # At most 16,471 cells of two degrees per category, so the broadcast side has a fixed bound.
-    met = asked.select("category", "_home").distinct().join(F.broadcast(held.select("category", "_cell").distinct()), "category")
-    met = met.withColumn("away", haversine(*centre("_home"), *centre("_cell")))
-    least = F.min("away").over(Window.partitionBy("category", "_home"))
-    pairs = met.withColumn("least", least).filter(F.col("away") <= F.col("least") + 2 * slack).select("category", "_home", "_cell")
-    sent = asked.join(pairs.hint("merge"), ["category", "_home"]).join(held.hint("merge"), ["category", "_cell"])
-    return sent.groupBy("id", "category").agg(F.min(haversine(lat, lon, F.col("y"), F.col("x"))).alias("km"))
-
-
 def strongest_in_box(centres: DataFrame, det: DataFrame, degrees: float = 0.2) -> DataFrame:
     """Per centre (id): the brightest detection within the box; ties by event id."""
     lat, lon = F.col("latitude"), F.col("longitude")

@@ -103,9 +103,7 @@ def _snapshot(t):
         c("event_id").alias("id"), F.round("latitude", 5).alias("latitude"), F.round("longitude", 5).alias("longitude"), "brightness",
         "frp", c("date").cast("string").alias("date"), "time", "satellite",
     )
-    # One document per day: a day bounds the array.
-    days = rows.groupBy("date").agg(F.collect_list(o).alias("observations"))
-    return days.select(c("date").cast("string").alias("from"), c("date").cast("string").alias("to"), "observations")
+    return files.snapshot_documents(rows.select(c("date").alias("day"), o.alias("o")).select("day", "o.*"), "day", 500)
 
 
 @query("id:s from_date:s latitude:d longitude:d brightness:d date:s time:s satellite:s")
@@ -776,6 +774,32 @@ def model_checks(t):
     return scored.crossJoin(F.broadcast(shares))
 
 
+def _boosted(t):
+    parts = t.parts
+    return model.score_boosted(model.train_boosted(parts.filter("part = 'train'"), MODEL_INPUTS), MODEL_INPUTS, parts.filter("part = 'test'"))
+
+
+@query("name:s support:l precision:d recall:d f1:d")
+def train_boosted(t):
+    """Per-class and overall figures of boosted trees on the rows held out."""
+    return model.metrics(_boosted(t))
+
+
+@query("rows:l classes:l bad_sums:l bad_classes:l better:l")
+def boosted_checks(t):
+    """Every row held out gets a known class, shares add up to one, and the macro F1 is above that of the forest."""
+    scored = files.written(_boosted(t), "boosted")
+    total = F.aggregate(F.map_values("probabilities"), lit(0.0), lambda a, x: a + x)
+    checks = scored.agg(
+        F.count("*").alias("rows"), F.countDistinct("fire_type").alias("classes"), F.count(F.when(F.abs(total - 1) > 1e-6, 1)).alias("bad_sums"),
+        F.count(F.when(~c("predicted_fire_type").isin(*CLASSES), 1)).alias("bad_classes"),
+    )
+    macro = lambda df: model.metrics(df).filter("name = '~macro'").select("f1")
+    both = macro(scored).withColumnRenamed("f1", "ours").crossJoin(F.broadcast(train_fire_type(t).filter("name = '~macro'").select("f1")))
+    # One row each.
+    return checks.crossJoin(F.broadcast(both.select((c("ours") > c("f1")).cast("int").alias("better"))))
+
+
 @query("feature_group:s features:l accuracy:d")
 def group_ablation(t):
     return model.ablation(t.parts)
@@ -811,6 +835,16 @@ def stream_upsert(t):
     return ingest.stream_upsert(t.spark, path, schema, serving.feed_events, "id", serving.CHANGING)
 
 
+@query("grid_id:l event_id:s brightness:d updates:l")
+def stream_latest(t):
+    """Each cell's latest detection, the last row of its update stream; at least one update per cell."""
+    columns = t.det.select("grid_id", "timestamp", "brightness", "event_id", "date")
+    path, schema = _as_files(t, columns)
+    updates = ingest.stream_latest(t.spark, path, schema, "grid_id", ("timestamp", "brightness", "event_id", "date"), "timestamp", files=16)
+    last = updates.groupBy("grid_id").agg(F.max_by(F.struct("event_id", "brightness"), "batch").alias("r"), F.count("*").alias("n"))
+    return last.select("grid_id", "r.event_id", "r.brightness", (c("n") >= 1).cast("int").alias("updates"))
+
+
 @query("event_id:s source_id:l brightness:d data_quality:s")
 def stream_dedup(t):
     df = t.derived.select("event_id", "source_id", "brightness", "data_quality", "timestamp", "date")

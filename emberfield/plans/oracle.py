@@ -458,12 +458,16 @@ BODIES: dict[str, tuple[str, str]] = {
     "split_stratified": ("labelled", "SELECT event_id, fire_type, CASE WHEN row_number() OVER (PARTITION BY fire_type ORDER BY md5(event_id), event_id) <= floor(count(*) OVER (PARTITION BY fire_type)*0.2E0 + 0.5E0) THEN 'test' ELSE 'train' END AS part FROM labelled WHERE fire_type <> 'unknown'"),
     "model_checks": ("labelled", f"""
  SELECT count(*) FILTER (part = 'test') AS rows, count(DISTINCT fire_type) FILTER (part = 'test') AS classes, 0 AS bad_sums, 0 AS bad_classes, {len(MODEL_INPUTS)} AS inputs, 1.0 AS importance
+ FROM (SELECT fire_type, CASE WHEN row_number() OVER (PARTITION BY fire_type ORDER BY md5(event_id), event_id) <= floor(count(*) OVER (PARTITION BY fire_type)*0.2E0 + 0.5E0) THEN 'test' ELSE 'train' END AS part FROM labelled WHERE list_contains({CLASS_LIST}, fire_type))"""),
+    "boosted_checks": ("labelled", f"""
+ SELECT count(*) FILTER (part = 'test') AS rows, count(DISTINCT fire_type) FILTER (part = 'test') AS classes, 0 AS bad_sums, 0 AS bad_classes, 1 AS better
  FROM (SELECT fire_type, CASE WHEN row_number() OVER (PARTITION BY fire_type ORDER BY md5(event_id), event_id) <= floor(count(*) OVER (PARTITION BY fire_type)*0.2E0 + 0.5E0) THEN 'test' ELSE 'train' END AS part FROM labelled WHERE list_contains({CLASS_LIST}, fire_type))"""),
     "filter_unlabelled": ("det", "SELECT event_id, date FROM det WHERE date > (SELECT max(date) FROM det) - 30 AND firms_type IS NULL"),
     "clusters_by_size": ("comp", "SELECT cluster_id, members, row_number() OVER (ORDER BY members DESC, cluster_id) AS position FROM (SELECT component AS cluster_id, count(*) AS members FROM comp GROUP BY component)"),
     "contract_table": ("thr", "SELECT 27 AS features, high_frp_threshold, '0-100' AS confidence_scale FROM thr"),
     "check_predictions": ("pred", "SELECT count(DISTINCT event_id) AS rows, 0 AS bad_sums, 0 AS bad_classes FROM pred"),
     "stream_upsert": ("feedev", "SELECT * FROM feedev"),
+    "stream_latest": ("det", "SELECT grid_id, event_id, brightness, 1 AS updates FROM (SELECT *, row_number() OVER (PARTITION BY grid_id ORDER BY ts DESC, brightness DESC, event_id DESC) AS n FROM det) WHERE n = 1"),
     "stream_dedup": ("der", "SELECT DISTINCT event_id, source_id, brightness, data_quality FROM der"),
     "stream_daily_activity": ("daily", "SELECT grid_id, date, daily_hotspots AS n, daily_max_brightness AS max_brightness FROM daily"),
 }

@@ -61,6 +61,22 @@ SNAPSHOT = T.StructType([
 ])
 
 
+def snapshot_documents(rows: DataFrame, day: str = "date", most: int = 10_000) -> DataFrame:
+    """Snapshot documents of a day's rows: several per day, of at most about ``most`` observations, with a part number.
+
+    A day is dealt into as many parts as it needs by a hash of the row, so no task or document holds a
+    day.  The observation is the row's columns but ``day``.
+    """
+    observation = F.struct(*(c for c in rows.columns if c != day))
+    sizes = rows.groupBy(day).agg(F.ceil(F.count("*") / (0.75 * most)).cast("int").alias("parts"))
+    # One row per day, counted days: small, but not known beforehand.
+    dealt = rows.select(F.col(day).alias("day"), observation.alias("o")).join(sizes.select(F.col(day).alias("day"), "parts").hint("merge"), "day")
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("o"), F.col("parts")).cast("int"))
+    documents = dealt.groupBy("day", "part").agg(F.collect_list("o").alias("observations"))
+    text = F.col("day").cast("string")
+    return documents.select(text.alias("from"), text.alias("to"), "part", "observations")
+
+
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SNAPSHOT).json(path, multiLine=False)
 

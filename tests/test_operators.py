@@ -177,18 +177,41 @@ def test_exact_percentile_equals_numpy_on_both_sides_of_the_bracket(spark):
     assert labels.high_frp_threshold(spark.createDataFrame([], "frp double")).first()[0] is None
 
 
-def test_far_distance_equals_brute_force_over_the_globe(spark):
+def globe(rng, n):
+    return [(float(a), float(b)) for a, b in zip(rng.uniform(-90, 90, n), rng.uniform(-180, 180, n), strict=True)]
+
+
+def test_nearest_distance_equals_brute_force_over_the_globe(spark):
     rng = np.random.default_rng(5)
-    spots = [("gas", float(a), float(b)) for a, b in zip(rng.uniform(-90, 90, 60), rng.uniform(-180, 180, 60), strict=True)] + [("gas", 90.0, 0.0), ("gas", -3.0, 180.0)]
-    places = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(rng.uniform(-90, 90, 80), rng.uniform(-180, 180, 80), strict=True))] + [(80, -3.0, -179.99)]
+    spots = [("gas", *p) for p in globe(rng, 60)] + [("gas", 90.0, 0.0), ("gas", -3.0, 180.0), ("mine", 10.0, 10.0), ("mine", None, 1.0)]
+    spots += [("gas", 50.0 + float(a), 8.0 + float(b)) for a, b in rng.uniform(0, 0.3, (200, 2))]
+    places = [(i, *p) for i, p in enumerate(globe(rng, 80))] + [(80, -3.0, -179.99), (81, None, 4.0)]
+    places += [(100 + i, 50.0 + float(a), 8.0 + float(b)) for i, (a, b) in enumerate(rng.uniform(-0.1, 0.4, (60, 2)))]
     places = spark.createDataFrame(places, "id long, latitude double, longitude double")
     spots = spark.createDataFrame(spots, "category string, latitude double, longitude double")
-    every = places.crossJoin(spots.select(F.col("latitude").alias("y"), F.col("longitude").alias("x")))
-    want = dict(every.groupBy("id").agg(F.min(geo.haversine("latitude", "longitude", F.col("y"), F.col("x")))).collect())
-    near = dict(spatial.nearest_distance(places, spots, ("gas",)).select("id", "distance_to_gas_km").collect())
-    far = dict(spatial.far_distance(places.withColumn("category", F.lit("gas")), spots).select("id", "km").collect())
-    assert near == pytest.approx(want) and far == pytest.approx(want)
-    assert near[80] < 2  # across the 180th meridian
+    every = places.crossJoin(spots.select("category", F.col("latitude").alias("y"), F.col("longitude").alias("x")))
+    km = F.min(geo.haversine("latitude", "longitude", F.col("y"), F.col("x"))).alias("km")
+    want = {(r["category"], r["id"]): r["km"] for r in every.filter("id <> 81").groupBy("category", "id").agg(km).collect()}
+    want |= {("gas", 81): None, ("mine", 81): None}  # a place without coordinates
+    for depth in (None, 0, 5):
+        got = spatial.nearest_distance(places, spots, ("gas", "mine", "none"), depth).collect()
+        for c in ("gas", "mine"):
+            assert {r["id"]: r[f"distance_to_{c}_km"] for r in got} == {i: k and pytest.approx(k) for (x, i), k in want.items() if x == c}
+        assert all(r["distance_to_none_km"] is None for r in got) and len(got) == 142
+    assert want["gas", 80] < 2  # across the 180th meridian
+    assert spatial.nearest_distance(places, spots.limit(0), ("gas",)).filter("distance_to_gas_km is null").count() == 142
+
+
+def test_a_place_meets_few_spots_however_many_there_are(spark):
+    rng = np.random.default_rng(6)
+    places = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(rng.uniform(20, 22, (50, 2)))], "id long, latitude double, longitude double")
+    for n in (100, 10_000):
+        spots = spark.createDataFrame([("gas", *map(float, p)) for p in rng.uniform(20, 22, (n, 2))], "category string, latitude double, longitude double")
+        depth = spatial.depth_for(spots)
+        cells = spatial.nearest_cells(places, spots, ("gas",), depth)
+        held = spots.select("category", spatial._cell(spatial.LEVELS[depth]).alias("cell"))
+        pairs = cells.join(held, ["category", "cell"]).count() / 50
+        assert pairs < 100, (n, depth, pairs)
 
 
 def test_spread_equals_all_pairs(spark):
