@@ -72,14 +72,64 @@ def op13_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(read(spark, sf_dir, "pages"))
 
 
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op1 that SQL can express."""
+    return op1_quality(spark, sf_dir).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"
+    )
+
+
+def privacy_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10 that SQL can express."""
+    return op10_privacy(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_quality, op2_neighbours, op3_bpe, op4_substring, op5_lm_score, op6_simhash, op7_warc, op8_packing,
-        op9_token_counts, op10_privacy, op11_phrases, op12_codes, op13_extract,
+        op9_token_counts, op10_privacy, op11_phrases, op12_codes, op13_extract, quality_base, privacy_base,
     )
     return {f.__name__: f for f in found}
 
 
+QUALITY_SQL = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), g AS (
+  SELECT row, i, words[i:i + 2] AS three FROM (SELECT row, words, unnest(range(1, len(words) - 1)) AS i FROM w)
+), r AS (
+  SELECT row, count(DISTINCT p) AS n FROM (
+    SELECT row, unnest([i, i + 1, i + 2]) AS p FROM (SELECT row, i, count(*) OVER (PARTITION BY row, three) AS c FROM g) WHERE c > 1
+  ) GROUP BY row
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words,
+  len(words) < 50 OR 100 * coalesce(n, 0) > 50 * len(words) AS base_failed
+FROM w LEFT JOIN r USING (row)
+"""
+
+PRIVACY_SQL = r"""
+WITH f AS (
+  SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS emails,
+    regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ips,
+    list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS cards,
+    list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS phones
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+)
+SELECT doc_id, CAST(len(emails) AS BIGINT) AS n_email,
+  CAST(len(list_filter(ips, lambda x: len(list_filter(string_split(x, '.'), lambda p: length(ltrim(p, '0')) > 3 OR
+    TRY_CAST(p AS BIGINT) > 255)) = 0)) AS BIGINT) AS n_ip,
+  CAST(len(list_filter(cards, lambda d: length(d) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length(d) + 1), lambda i:
+    CASE WHEN i % 2 = 1 THEN CAST(d[length(d) - i + 1] AS INTEGER)
+      ELSE 2 * CAST(d[length(d) - i + 1] AS INTEGER) - CASE WHEN CAST(d[length(d) - i + 1] AS INTEGER) > 4 THEN 9 ELSE 0 END END)) % 10 = 0)) AS BIGINT) AS n_card,
+  CAST(len(list_filter(phones, lambda d: length(d) BETWEEN 10 AND 15)) AS BIGINT) AS n_phone
+FROM f
+"""
+
 OP4_SQL = r"""
 WITH w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
@@ -201,4 +251,4 @@ FROM o JOIN k USING (vec_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_substring": OP4_SQL, "op7_warc": OP7_SQL, "op11_phrases": OP11_SQL, "op12_codes": _op12_sql(), "op13_extract": OP13_SQL}
+    return {"quality_base": QUALITY_SQL, "privacy_base": PRIVACY_SQL, "op4_substring": OP4_SQL, "op7_warc": OP7_SQL, "op11_phrases": OP11_SQL, "op12_codes": _op12_sql(), "op13_extract": OP13_SQL}

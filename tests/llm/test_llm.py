@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -796,3 +797,23 @@ def test_personal_data_of_a_text_full_of_it(spark):
         at = z
     assert masked[1] == "".join(want) + text[at:]
     assert masked[None] == "[EMAIL]"
+
+
+# base columns in SQL
+
+
+@pytest.mark.parametrize("name", ["quality_base", "privacy_base"])
+def test_base_columns_match_sql(spark, name):
+    import duckdb
+
+    from emberfield.llm import queries
+
+    folder = Path("/root/testdata/sf0.001")
+    if not folder.exists():
+        pytest.skip("test tables are not there")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    want = con.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    got = queries.queries()[name](spark, str(folder)).select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
