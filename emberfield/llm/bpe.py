@@ -106,6 +106,10 @@ class Vocabulary:
         return known
 
     def _border_stays(self, left: int, right: int) -> bool:
+        """Whether two tokens side by side are not merged across their border.
+
+        This is the test of the published backtracking encoder (the bpe crate, described by its authors in 2024).
+        """
         merged, halves = self.merged, self.halves
         bound = 1 << 62
         while True:
