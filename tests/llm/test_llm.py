@@ -817,3 +817,13 @@ def test_base_columns_match_sql(spark, name):
     columns = [c[0] for c in want.description]
     got = queries.queries()[name](spark, str(folder)).select(*columns).collect()
     assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
+def test_most_frequent_words_equal_a_full_sort(spark):
+    rng = random.Random(12)
+    rows = [(bytearray(b"w%d" % i), rng.choice([1, 2, 3, 7, 8, 9, 100, 101, 5000, 10**6 + i % 3])) for i in range(600)]
+    df = spark.createDataFrame(rows, "word binary, c long").repartition(9)
+    want = sorted(((bytes(w), c) for w, c in rows), key=lambda r: (-r[1], r[0]))
+    for n in (1, 50, 333, 600, 1000):
+        assert [(bytes(r["word"]), r["c"]) for r in lmscore.most_frequent(df, n)] == want[:n]
+    assert lmscore.most_frequent(df.limit(0), 5) == []
