@@ -805,6 +805,17 @@ def group_ablation(t):
     return model.ablation(t.parts)
 
 
+@query("feature:s rows:l missing:l")
+def contract_check(t):
+    """The features table passes the model's contract; rows and missing values of each input."""
+    from ..schemas import FEATURES, require_contract
+
+    table = require_contract(t.flagged)
+    counts = table.agg(F.count("*").alias("rows"), *(F.count(F.when(c(f).isNull(), 1)).alias(f) for f in FEATURES))
+    pairs = F.explode(F.array(*(F.struct(lit(f).alias("feature"), c(f).alias("missing")) for f in FEATURES)))
+    return counts.select("rows", pairs.alias("p")).select("rows", "p.*")
+
+
 @query("features:l high_frp_threshold:d confidence_scale:s")
 def contract_table(t):
     from ..schemas import FEATURES

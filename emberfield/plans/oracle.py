@@ -7,6 +7,7 @@ from ..operators.evidence import FLAGS, MEASURES
 from ..operators.scoring import LAND_COVER
 from ..operators.serving import CLASS_LABELS, PREDICTED_LABELS
 from ..sources.fixtures import CUSTOMERS_TO_POINTS, EVENTS_TO_DETECTIONS
+from ..schemas import FEATURES
 from .catalog import CATALOG, MODEL_INPUTS
 from .tables import CLASSES, EXPLAINED
 
@@ -464,6 +465,7 @@ BODIES: dict[str, tuple[str, str]] = {
  FROM (SELECT fire_type, CASE WHEN row_number() OVER (PARTITION BY fire_type ORDER BY md5(event_id), event_id) <= floor(count(*) OVER (PARTITION BY fire_type)*0.2E0 + 0.5E0) THEN 'test' ELSE 'train' END AS part FROM labelled WHERE list_contains({CLASS_LIST}, fire_type))"""),
     "filter_unlabelled": ("det", "SELECT event_id, date FROM det WHERE date > (SELECT max(date) FROM det) - 30 AND firms_type IS NULL"),
     "clusters_by_size": ("comp", "SELECT cluster_id, members, row_number() OVER (ORDER BY members DESC, cluster_id) AS position FROM (SELECT component AS cluster_id, count(*) AS members FROM comp GROUP BY component)"),
+    "contract_check": ("flagged", " UNION ALL ".join(f"SELECT '{f}' AS feature, count(*) AS rows, count(*) FILTER ({f} IS NULL) AS missing FROM flagged" for f in FEATURES)),
     "contract_table": ("thr", "SELECT 27 AS features, high_frp_threshold, '0-100' AS confidence_scale FROM thr"),
     "check_predictions": ("pred", "SELECT count(DISTINCT event_id) AS rows, 0 AS bad_sums, 0 AS bad_classes FROM pred"),
     "stream_upsert": ("feedev", "SELECT * FROM feedev"),
