@@ -4,9 +4,9 @@ Tokens are words with A-Z in lower case, then one end token per document.  Docum
 crc32(doc_id as text) mod 10 is 0 are held out; everything is learnt from the others.
 
 Counts.  Documents are read in blocks of bounded size where they lie; each becomes numbers of its block's
-own words, so texts are split once and never shuffled.  One shuffle of the blocks' words gives each of
-them its corpus count (a word has at most one row per block), and what a block can't count by itself
-goes back to it, so no task needs the whole vocabulary.
+own words, so texts are split once and never shuffled.  Counts of words are summed over the blocks
+(a word has at most one row per block), and what a block can't count by itself goes back to it, by a
+broadcast for the model's words and a join for the others, so no task needs the whole vocabulary.
 
 Model.  The most frequent ``words`` training words (a parameter, so the model's size is fixed), the end
 and one id for all other words are the classes' members: words are dealt into frequency classes and
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialize
@@ -446,12 +446,8 @@ def score(
     every = materialize(encoded(docs, block_bytes), "encoded")
     coded, own = every.filter("not is_word"), every.filter("is_word").select(F.col("block").alias("block"), "word", "pos", "n")
     n_docs, n_tokens = coded.agg(F.count("*"), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
-    # A word has one row per block that holds it: one shuffle gives each of them the word's count.
-    of_word = Window.partitionBy("word")
-    first = F.row_number().over(of_word.orderBy("block")) == 1
-    own = own.withColumns({"c": F.sum("n").over(of_word), "first": first})
-    own = materialize(own, "words")
-    counts = own.filter("first and c > 0").select("word", "c")
+    of_words = materialize(own.groupBy("word").agg(F.sum("n").alias("c"), F.count("*").alias("blocks")), "words")
+    counts = of_words.filter("c > 0").select("word", "c")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = most_frequent(counts.filter(F.col("word") != F.lit(bytearray(END))), words)
     ended = counts.filter(F.col("word") == F.lit(bytearray(END))).first()
@@ -460,13 +456,13 @@ def score(
     # Smoothed shares among the words outside the model's vocabulary, one more for all unseen ones.
     outside = float(known[_OTHER_ID]) + 0.1 * (distinct - len(top) - (ended is not None) + 1)
     model = Gru(known, hidden)
-    ids = [(bytearray(END), _END_ID), *((r["word"], i + 2) for i, r in enumerate(top))]
-    # At most ``words`` + 1 rows.
-    ids = F.broadcast(spark.createDataFrame(ids, "word binary, id int"))
+    ids = [(bytearray(END), ended["c"] if ended else 0, _END_ID), *((r["word"], r["c"], i + 2) for i, r in enumerate(top))]
+    # At most ``words`` + 1 rows.  They are the words of most blocks, so none of these meets its blocks in one task.
+    ids = F.broadcast(spark.createDataFrame(ids, "word binary, c long, id int"))
     # Of the words outside the model that occur in one block only, the block itself has the count.
-    dictionary = own.join(ids, "word", "left").filter("id is not null or c <> n").select(
-        "block", "pos", "c", F.coalesce("id", F.lit(_OTHER_ID)).alias("id")
-    )
+    others = of_words.filter("blocks > 1").select("word", "c", F.lit(_OTHER_ID).alias("id")).join(ids, "word", "left_anti")
+    rare = own.join(ids, "word", "left_anti").hint("merge").join(others.hint("merge"), "word")
+    dictionary = own.join(ids, "word").unionByName(rare).select("block", "pos", "c", "id")
     shards = max(1, -(-n_tokens // shard_tokens), -(-n_docs // 20_000))
     scale = float(np.log10(total + 0.1 * (distinct + 1)))
     dealt = materialize(dealt_out(coded, dictionary, scale, outside, shards), "dealt")
