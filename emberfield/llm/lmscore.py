@@ -156,8 +156,10 @@ class Gru:
             logp[own] += lp
             if grads is not None:
                 e[rows[: len(t)], t] -= total
-                grads["wo"].append((a, b, e.T @ (hk / total[:, None])))
+                np.matmul(e.T, hk / total[:, None], out=grads["wo"][a:b])
                 dh[own] += (e @ wo[a:b]) / total[:, None]
+                begin = grads["met"].pop()[0] if grads["met"] and grads["met"][-1][1] == a else a
+                grads["met"].append((begin, b))
         back = np.empty_like(order)
         back[order] = rows
         return np.take(logp, back), None if dh is None else np.take(dh[:, :n], back, axis=0)
@@ -208,7 +210,8 @@ class Gru:
             kept.append((h, *rest))
         before = np.stack(before)
         states, z, r, c, hu = map(np.stack, zip(*kept, strict=True))
-        grads = {k: np.zeros_like(self.w[k]) for k in ("u", "b", "wc")} | {"wo": [], "x": []}
+        # Of "wo" only the rows of runs of classes in "met" are filled.
+        grads = {k: np.zeros_like(self.w[k]) for k in ("u", "b", "wc")} | {"wo": np.empty_like(self.w["wo"]), "met": [], "x": []}
         logp, dh_all = self.outputs(states.transpose(0, 2, 1).reshape(-1, n), targets.ravel(), grads)
         dh_all = np.ascontiguousarray(dh_all.reshape(steps, lanes, n).transpose(0, 2, 1))
         # By the state's gradient these give those of: update gate, reset gate, candidate's recurrent part, candidate.
@@ -253,18 +256,33 @@ class Gru:
     def _update(self, grads: dict, adam: dict, rate: float, n: int) -> None:
         """Adam; of the tables by word only the rows met in this window (their moments rest meanwhile)."""
         adam["t"] = t = adam.get("t", 0) + 1
-        parts = [(k, slice(None), grads[k]) for k in ("u", "b", "wc")]
-        parts += [("x", *grads["x"]), *(("wo", slice(a, b), g) for a, b, g in grads["wo"])]
         for k in self.w:
             if k not in adam:
                 adam[k] = np.zeros_like(self.w[k]), np.zeros_like(self.w[k])
+        parts = [(k, slice(None), grads[k]) for k in ("u", "b", "wc")]
+        # Runs of rows in blocks that a processor keeps near.
+        runs = [slice(at, min(at + 2000, b)) for a, b in grads["met"] for at in range(a, b, 2000)]
+        parts += [("wo", rows, grads["wo"][rows]) for rows in runs] + [("x", *grads["x"])]
         for k, rows, g in parts:
-            g = np.clip(g / n, -0.05, 0.05)
-            m, v = adam[k][0][rows], adam[k][1][rows]
-            m = 0.9 * m + 0.1 * g
-            v = 0.999 * v + 0.001 * g * g
-            adam[k][0][rows], adam[k][1][rows] = m, v
-            self.w[k][rows] -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-6)
+            # Slices are views and change in place, single rows are copies and go back.
+            m, v, w = adam[k][0][rows], adam[k][1][rows], self.w[k][rows]
+            g = g * np.float32(1 / n)
+            np.minimum(g, np.float32(0.05), out=g)
+            np.maximum(g, np.float32(-0.05), out=g)
+            m *= np.float32(0.9)
+            m += np.float32(0.1) * g
+            g *= g
+            g *= np.float32(0.001)
+            v *= np.float32(0.999)
+            v += g
+            np.sqrt(v, out=g)
+            g *= np.float32(1 / np.sqrt(1 - 0.999**t))
+            g += np.float32(1e-6)
+            np.divide(m, g, out=g)
+            g *= np.float32(rate / (1 - 0.9**t))
+            w -= g
+            if not isinstance(rows, slice):
+                adam[k][0][rows], adam[k][1][rows], self.w[k][rows] = m, v, w
 
 
 class _Local(dict):
@@ -438,6 +456,7 @@ def score(
     start_tokens: int = 300_000,
     shard_tokens: int = 1_000_000,
     block_bytes: int = 8 << 20,
+    score_tokens: int = 4_000_000,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
     spark = docs.sparkSession
@@ -472,12 +491,26 @@ def score(
         model.load(averaged(dealt.filter(F.col("shard") % rounds == r), shards // rounds, model, 0.003))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def together() -> pa.RecordBatch:
+            """Scores of the shards at hand: long documents of several shards go on side by side."""
+            doc, known_, base, rest = (np.concatenate([r[k] for r in held]) if k else pa.concat_arrays([r[k] for r in held]) for k in (0, 3, 4, 5))
+            n, held_ = np.concatenate([r[2] for r in held]), pa.concat_arrays([r[1] for r in held])
+            ids = np.concatenate([r[6] for r in held])
+            own = model.score(np.split(ids, np.cumsum(n)[:-1])) / np.log(10) + rest
+            held.clear()
+            return pa.RecordBatch.from_arrays(
+                [doc, held_, *map(pa.array, (n, known_, np.full(len(n), int(total)), base, own))], [f.split()[0] for f in SCORED.split(", ")]
+            )
+
         for b in batches:
-            for doc, held, n, known_, base, rest, ids in zip(*b.columns[1:], strict=True):
-                cuts = np.cumsum(n.as_py())[:-1]
-                own = model.score(np.split(np.frombuffer(ids.as_py(), np.uint16), cuts)) / np.log(10) + np.array(rest.as_py())
-                columns = [doc.values, held.values, n.values, known_.values, pa.array([int(total)] * len(own), pa.int64()), base.values, pa.array(own)]
-                yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SCORED.split(", ")])
+            for doc, out, *numbers, ids in zip(*b.columns[1:], strict=True):
+                held.append((doc.values, out.values, *(x.values.to_numpy() for x in numbers), np.frombuffer(ids.as_py(), np.uint16)))
+                if sum(len(r[6]) for r in held) >= score_tokens:
+                    yield together()
+        if held:
+            yield together()
 
     return dealt.mapInArrow(scored, SCORED)
 
