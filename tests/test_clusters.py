@@ -106,3 +106,21 @@ def test_empty_and_single_events(spark):
     rows = clusters.event_clusters(spark.createDataFrame([("a", 1.0, 2.0, None)], EVENT)).collect()
     assert [(r["cluster_id"], r["members"], r["time_span_hours"]) for r in rows] == [("a", 1, 0.0)]
     assert clusters.membership(spark.createDataFrame([("a", 1.0, 2.0, 5)], EVENT)).select(F.col("component")).first()[0] == "a"
+
+
+def test_edges_meet_by_time_and_once(spark):
+    rng = random.Random(6)
+    hour = 3600
+    times = [None, *(rng.randrange(-20 * 24, 60 * 24) * hour for _ in range(30)), 0, 168 * hour, 336 * hour]
+    places = scattered(rng, 120, 10, 179.9, 0.4, times)
+    events = [(f"e{rng.randrange(10**6):06d}-{i}", *p) for i, p in enumerate(places)]
+    got = clusters.event_edges(spark.createDataFrame(events, EVENT))
+    pairs = sorted((r["id_a"], r["id_b"]) for r in got.collect())
+    assert pairs == sorted((min(a[0], b[0]), max(a[0], b[0])) for i, a in enumerate(events) for b in events[i + 1 :] if linked(a, b, 25.0, 168.0))
+
+    # Ten slots of two hundred events at one place: pairs of one slot and the next meet, not all of the cell.
+    events = [(f"e{i:04d}", 10.0, 80.0, (i % 10) * 336 * hour) for i in range(2000)]
+    df = spark.createDataFrame(events, EVENT)
+    plan = clusters.event_edges(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "slot" in plan[plan.index("Join Inner") : plan.index("\n", plan.index("Join Inner"))]
+    assert clusters.event_edges(df).count() == 10 * 200 * 199 // 2
