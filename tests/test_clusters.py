@@ -124,3 +124,13 @@ def test_edges_meet_by_time_and_once(spark):
     plan = clusters.event_edges(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "slot" in plan[plan.index("Join Inner") : plan.index("\n", plan.index("Join Inner"))]
     assert clusters.event_edges(df).count() == 10 * 200 * 199 // 2
+
+
+def test_connected_classes_are_not_compared_again(spark, monkeypatch):
+    # A dense square: every class is next to others by bounds that leave it open, and touching parts connect all.
+    rng = random.Random(7)
+    events = [(f"e{i:04d}", 10 + rng.uniform(0, 0.8), 80 + rng.uniform(0, 0.8), rng.randrange(300 * 3600)) for i in range(4000)]
+    names, kept = [], clusters.written
+    monkeypatch.setattr(clusters, "written", lambda df, name: names.append(name) or kept(df, name))
+    got = clusters.membership(spark.createDataFrame(events, EVENT)).select("component").distinct().count()
+    assert got == 1 and "decided" not in names
