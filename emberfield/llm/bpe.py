@@ -19,6 +19,7 @@ import functools
 import hashlib
 import json
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -77,6 +78,10 @@ class Vocabulary:
         self.size = [len(t) for t in self.text]
         self.most = max(self.size)
         self.shorter = [self._shorter(t, node) for t in self.text]
+        # The longest token that begins each prefix of a token (each path of the automaton's trie).
+        self.begins = {t[:n]: -1 for t in self.text for n in range(1, len(t) + 1)}
+        for prefix in sorted(self.begins, key=len):
+            self.begins[prefix] = node[prefix] if prefix in node else self.begins[prefix[:-1]]
         size = 1 + max([*self.id_of, *self.special.values()])
         raw = [b""] * size
         for i, t in zip(self.id_of, self.text, strict=True):
@@ -133,34 +138,45 @@ class Vocabulary:
 
     def longest(self, s: str, pos: int) -> int:
         """The longest token that starts at a position, from the automaton's trie."""
-        node = self.node
-        end = pos + self.automaton.longest_prefix(s[pos : pos + self.most])
-        while (i := node.get(s[pos:end])) is None:
-            end -= 1
-        return i
+        return self.begins[s[pos : pos + self.automaton.longest_prefix(s[pos : pos + self.most])]]
 
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of one pre-token."""
         s = piece.encode("utf-8", "surrogatepass").decode("latin-1")
-        compatible, id_of = self.compatible, self.id_of
+        compatible, id_of, known = self.compatible, self.id_of, self.pairs.get
         # Longest matches end to end; where all neighbours are compatible they are the answer.
         out = [i for _, i in self.automaton.iter_long(s)]
-        if all(map(compatible, out, out[1:])):
+        left = out[0] if out else -1
+        for k in range(1, len(out)):
+            right = out[k]
+            stays = known(left << 32 | right)
+            if not (compatible(left, right) if stays is None else stays):
+                break
+            left = right
+        else:
             return [id_of[i] for i in out]
+        # Up to that border the walk would take the same tokens.
         size, shorter, longest = self.size, self.shorter, self.longest
-        open_ = bytearray(b"\1") * (len(s) + 1)
-        out = []
-        pos, token = 0, longest(s, 0)
-        while pos < len(s):
+        total = len(s)
+        open_ = bytearray(b"\1") * (total + 1)
+        token = out[k]
+        del out[k:]
+        pos = sum(map(size.__getitem__, out))
+        while pos < total:
+            left = out[-1] if out else -1
             while token >= 0:
                 end = pos + size[token]
-                if open_[end] and (not out or compatible(out[-1], token)):
-                    break
+                if open_[end]:
+                    if left < 0:
+                        break
+                    stays = known(left << 32 | token)
+                    if compatible(left, token) if stays is None else stays:
+                        break
                 token = shorter[token]
             if token >= 0:
                 out.append(token)
                 pos = end
-                token = longest(s, pos) if pos < len(s) else -1
+                token = longest(s, pos) if pos < total else -1
             else:
                 open_[pos] = 0
                 token = out.pop()
@@ -189,6 +205,11 @@ class _Kept(dict):
         return made
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as little-endian unsigned numbers of 32 bits."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Encodes whole texts; keeps the ids of at most ``most`` pre-tokens and of as many chunks.
 
@@ -197,9 +218,9 @@ class Encoder:
 
     def __init__(self, path: str, most: int = 300_000):
         v = self.vocabulary = Vocabulary(path)
-        self.pieces = _Kept(lambda piece: np.array(v.encode_piece(piece), "<u4").tobytes(), most)
+        self.pieces = _Kept(lambda piece: packed(v.encode_piece(piece)), most)
         self.chunks = _Kept(lambda chunk: b"".join(map(self.pieces.__getitem__, PIECES.findall(chunk))), most)
-        self.spaced = _Kept(lambda chunk: self.chunks.make(" " + chunk), most)
+        self.spaced = _Kept(self._spaced, most)
         special = sorted(v.special, key=len, reverse=True)
         self.split = regex.compile("(" + "|".join(map(regex.escape, special)) + ")") if special else None
 
@@ -210,6 +231,12 @@ class Encoder:
         ids = b"".join(np.array([special[p]], "<u4").tobytes() if p in special else self._plain(p) for p in parts)
         return np.frombuffer(ids, "<u4")
 
+    def _spaced(self, chunk: str) -> bytes:
+        # Letters alone are one pre-token with their space (beyond Latin, the pattern's own tables decide).
+        if chunk.isalpha() and (chunk.isascii() or max(chunk) < "\u0250"):
+            return self.pieces[" " + chunk]
+        return self.chunks.make(" " + chunk)
+
     def _plain(self, text: str) -> bytes:
         if text[:1] in ("", " ") or text[-1] == " " or BESIDE.search(text):
             return b"".join(map(self.chunks.__getitem__, CHUNKS.findall(text)))
