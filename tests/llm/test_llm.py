@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -827,3 +828,60 @@ def test_most_frequent_words_equal_a_full_sort(spark):
     for n in (1, 50, 333, 600, 1000):
         assert [(bytes(r["word"]), r["c"]) for r in lmscore.most_frequent(df, n)] == want[:n]
     assert lmscore.most_frequent(df.limit(0), 5) == []
+
+
+# op5: words counted by buckets, outputs by chunks
+
+
+def test_tokens_of_a_block_are_those_of_each_text(texts):
+    odd = ["".join(map(chr, range(128))), "\x85a\x85 b\u00a0c\u2003d\u3000", "\x1c \x1d\x1e\x1f \x00", "\n", "", "ÄÖ Ab aB AB", " x", "x ", "a\vb\fc\rd"]
+    every = odd + [t or "" for t in texts]
+    words, codes, ends = lmscore.numbered(pa.array(every))
+    assert len(set(words.to_pylist())) == len(words)
+    assert [[words[int(k)].as_py() for k in x] for x in np.split(codes, ends[:-1])] == [lmscore.tokens(t) for t in every]
+
+
+def test_words_are_counted_by_one_row_per_block_and_bucket(spark, docs, texts):
+    """Counting costs rows by block and bucket, not by word, and gives the counts, the first words and the totals."""
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))}
+    want = Counter(w for i, t in enumerate(texts) if not held[i] for w in lmscore.tokens(t))
+    distinct = len({w for t in texts for w in lmscore.tokens(t)})
+    df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lmscore.held_out().alias("held_out")).repartition(2)
+    for buckets in (1, 7):
+        every = lmscore.encoded(df, 20_000, buckets).localCheckpoint()
+        own = every.filter("bucket is not null")
+        blocks = every.select("block").distinct().count()
+        assert blocks > 2 and own.count() <= blocks * buckets < distinct
+        found, few = {}, []
+        got = lmscore.counted(own, 50).collect()
+        for r in got:
+            n = np.frombuffer(r["lengths"], np.int32)
+            words = dict(zip(lmscore._words(r["words"], n).to_pylist(), np.frombuffer(r["c"], np.int64).tolist(), strict=True))
+            if r["block"] is None:
+                few += [(-c, w) for w, c in words.items()]
+            else:
+                assert all(want[w] == c for w, c in words.items())
+                found |= words
+        assert len(found) == distinct
+        first = sorted((-c, w) for w, c in want.items())[:50]
+        assert sorted(few)[:50] == first
+        sums = [sum(r[k] for r in got if r["block"] is None) for k in ("total", "distinct", "ended")]
+        assert sums == [sum(want.values()), len(want), want[lmscore.END]]
+
+
+@pytest.mark.parametrize("size", [0.3, 30.0])
+def test_outputs_by_chunks_are_the_plain_formula(size):
+    """Small weights and large ones, whose logits are cut at 60; chunks that end within and at the rows."""
+    rng = np.random.default_rng(4)
+    model = lmscore.Gru(rng.integers(1, 90, 40).astype(float), hidden=4)
+    model.w = {k: rng.normal(0, size, v.shape) for k, v in model.w.items()}
+    h, place = rng.uniform(-1, 1, (30, 4)), rng.integers(0, 40, 30)
+    one = np.concatenate([h, np.ones((30, 1))], axis=1)
+    s, o = np.minimum(one @ model.w["wc"].T, 60), np.minimum(one @ model.w["wo"].T, 60)
+    want = []
+    for i, p in enumerate(place):
+        k = model.cls[p]
+        a, b = model.bounds[k], model.bounds[k + 1]
+        want.append(s[i, k] - np.log(np.exp(s[i]).sum()) + o[i, p] - np.log(np.exp(o[i, a:b]).sum()))
+    for chunk in (1, 7, 15, 100):
+        assert np.allclose(model.outputs(h, place, chunk=chunk)[0], want)
