@@ -134,3 +134,35 @@ def test_connected_classes_are_not_compared_again(spark, monkeypatch):
     monkeypatch.setattr(clusters, "written", lambda df, name: names.append(name) or kept(df, name))
     got = clusters.membership(spark.createDataFrame(events, EVENT)).select("component").distinct().count()
     assert got == 1 and "decided" not in names
+
+
+@pytest.mark.parametrize(("lat", "lon", "wide"), [(10, 80, 1.5), (0, 0, 1), (62, 179.9, 2), (-85, -179.5, 3), (89.5, 10, 0.4)])
+def test_edges_by_blocks_and_shares(spark, lat, lon, wide):
+    rng = random.Random(lat + 1)
+    hour = 3600
+    times = [None, *(rng.randrange(-30 * 24, 60 * 24) * hour for _ in range(20)), 0, 168 * hour, 336 * hour]
+    places = scattered(rng, 120, lat, lon, wide, times) + scattered(rng, 80, lat, lon, 0.08, times)
+    events = [(f"e{rng.randrange(10**6):06d}-{i}", min(90.0, y), x, t) for i, (y, x, t) in enumerate(places)]
+    events += [(f"d{i}", *events[i][1:]) for i in range(20)]
+    want = sorted((min(a[0], b[0]), max(a[0], b[0])) for i, a in enumerate(events) for b in events[i + 1 :] if linked(a, b, 25.0, 168.0))
+    df = spark.createDataFrame(events, EVENT)
+    for sizes in ({}, {"most": 3, "wide": 2, "long": 2, "share": 10}):
+        assert sorted((r["id_a"], r["id_b"]) for r in clusters.event_edges(df, **sizes).collect()) == want
+
+
+def test_edges_shuffle_a_few_copies_of_an_event(spark):
+    rng = random.Random(8)
+    events = [(f"e{i:05d}", 10 + rng.uniform(0, 2), 80 + rng.uniform(0, 2), rng.randrange(28 * 24 * 3600)) for i in range(8000)]
+    df = spark.createDataFrame(events, EVENT).repartition(2)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    none = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def most_shuffled(run):
+        """Bytes that the stage writes which writes most, by ids of stages, as the list itself forgets old ones."""
+        stages = lambda: [s.apply(i) for s in [store.stageList(None, False, False, none, None)] for i in range(s.size())]
+        last = max((s.stageId() for s in stages()), default=-1)
+        run().write.format("noop").mode("overwrite").save()
+        return max(s.shuffleWriteBytes() for s in stages() if s.stageId() > last)
+
+    once = most_shuffled(lambda: df.repartition(4, "id"))
+    assert most_shuffled(lambda: clusters.event_edges(df)) <= 6 * once
